@@ -7,6 +7,8 @@ are spelled out.
 
 from __future__ import annotations
 
+import re
+
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 _CLASS = {"w": WORD, "d": r"\p{Nd}", "s": SPACE}
@@ -15,6 +17,20 @@ _BOUNDARY = {
     "B": rf"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))",
 }
 
+# An atom that always takes word characters, right after or right before a boundary.
+_ATOM = r"(?:\\[dw]|(?<!\\)[A-Za-z0-9_]|\[(?:[A-Za-z0-9](?:-[A-Za-z0-9])?|\\[dw])+\])"
+_WORD_NEXT = re.compile(_ATOM + r"(?!\?|\*|\{0)")
+_WORD_BEFORE = re.compile(_ATOM + r"(?:\+|\{[1-9]\d*(?:,\d*)?\})?$")
+
+
+def _boundary(before: str, after: str) -> str:
+    """A word boundary; one side suffices when the other side is known to be a word."""
+    if _WORD_NEXT.match(after):
+        return f"(?<![{WORD}])"
+    if _WORD_BEFORE.search(before):
+        return f"(?![{WORD}])"
+    return _BOUNDARY["b"]
+
 
 def java_regex(pattern: str, flags: str = "") -> str:
     """``pattern`` for Java, with ``flags`` (any of i, m, s) as an inline prefix."""
@@ -31,7 +47,9 @@ def java_regex(pattern: str, flags: str = "") -> str:
             elif n.lower() in _CLASS and n.isupper():
                 body = _CLASS[n.lower()]
                 out.append(f"[^{body}]")
-            elif n in _BOUNDARY and not in_class:
+            elif n == "b" and not in_class:
+                out.append(_boundary(pattern[: i - 2], pattern[i:]))
+            elif n == "B" and not in_class:
                 out.append(_BOUNDARY[n])
             else:
                 out.append("\\" + n)

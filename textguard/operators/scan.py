@@ -136,15 +136,14 @@ def _prepared(df: DataFrame, text: str, rules: list[Rule], keep: list[str]) -> D
     """Add the text forms the rules need and the lower-cased text for the gates."""
     used = {r.column for r in rules}
     d = df.select(*keep, F.col(text).alias("_raw"))
-    low = lowered(F.col("_raw"))
+    gate_text = F.col("_raw")
     if used & {"clean", "folded"}:
         d = d.select("*", clean(F.col("_raw")).alias("_clean"))
         d = d.select("*", F.when(is_ascii(F.col("_raw")), F.col("_raw")).otherwise(fold_confusables(F.col("_clean"))).alias("_folded"))
-        both = F.when(F.col("_folded") == F.col("_raw"), F.col("_raw")).otherwise(
+        gate_text = F.when(F.col("_folded") == F.col("_raw"), F.col("_raw")).otherwise(
             F.concat("_folded", F.lit("\n"), "_raw")
         )
-        low = lowered(both)
-    return d.select("*", low.alias(_LOW))
+    return d.select("*", gate_text.alias("_gate")).select("*", lowered(F.col("_gate")).alias(_LOW))
 
 
 def _valid(rule: Column, match: Column, rules: list[Rule]) -> Column:
@@ -190,8 +189,8 @@ def with_hits(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     d = _prepared(df, text, rules, df.columns)
     d = d.select("*", *gates.expressions())
     hits = F.expr(_hits(rules, gates)) if rules else F.array().cast(f"array<{HIT}>")
-    # rand() keeps Spark from copying the whole scan into filters placed on its result
-    return d.select(*df.columns, "_raw", F.when(F.rand(0) >= 0, hits).alias("_hits"))
+    # a condition Spark cannot fold keeps it from copying the scan into filters on its result
+    return d.select(*df.columns, "_raw", F.when(F.spark_partition_id() >= 0, hits).alias("_hits"))
 
 
 def matched_values(df: DataFrame, text: str, rules: list[Rule], out: str = "matches") -> DataFrame:

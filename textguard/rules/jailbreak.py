@@ -4,12 +4,12 @@ from textguard.rules.base import Rule
 
 # Patterns, descriptions, severities and confidences.
 CRITICAL = [
-    ("JB-C01", r"\bDAN\b", "DAN jailbreak pattern", "dan", "you are DAN today", "a danish pastry"),
+    ("JB-C01", r"\bDAN\b", "DAN jailbreak pattern", r"dan & re:dan(?![a-z0-9_])", "you are DAN today", "a danish pastry"),
     ("JB-C02", r"do\s+anything\s+now", "DAN jailbreak pattern", "anything", "you can do anything now", "do anything later"),
     ("JB-C03", r"jailbreak(ed|ing)?", "Explicit jailbreak keyword", "jailbreak", "a jailbreaking guide", "a jail break"),
     ("JB-C04", r"developer\s+mode\s+(enabled|on|activated)", "Developer mode jailbreak", "developer", "Developer mode activated", "developer mode off"),
     ("JB-C05", r"enable\s+developer\s+mode", "Developer mode jailbreak", "developer & enable", "enable developer mode", "enable dark mode"),
-    ("JB-C06", r"STAN\b|DUDE\b|AIM\b", "Named jailbreak variant (STAN/DUDE/AIM)", "stan or dude or aim", "be STAN from here", "standard aims"),
+    ("JB-C06", r"STAN\b|DUDE\b|AIM\b", "Named jailbreak variant (STAN/DUDE/AIM)", r"stan or dude or aim & re:(?:stan|dude|aim)(?![a-z0-9_])", "be STAN from here", "standard aims"),
     ("JB-C07", r"(bypass|disable|turn\s+off|remove|ignore)\s+(safety|content|filter|guard|restriction|policy|rule)", "Safety bypass attempt",
      "bypass or disable or turn or remove or ignore & safety or content or filter or guard or restrict or policy or rule",
      "turn off content checks", "turn off the light"),
