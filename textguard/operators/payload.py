@@ -63,7 +63,7 @@ def request_texts(payload: Column, dedupe_blocks: bool = True) -> Column:
     prompts = F.array_compact(F.transform(_array(doc, "$.prompt"), lambda p: F.try_variant_get(p, "$", "string")))
     parts = [message_texts(doc), _list(_string(doc, "$.prompt")), prompts]
     if not dedupe_blocks:
-        parts.append(F.flatten(F.transform(_array(doc, "$.messages"), _text_blocks)))
+        parts.append(F.flatten(F.transform(_array(doc, "$.messages"), lambda m: _text_blocks(m))))
     return not_blank(F.concat(*parts))
 
 

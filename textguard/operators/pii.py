@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.validators import value_hash
+from textguard.operators.payload import response_text
 from textguard.operators.scan import matched_values
 from textguard.rules import rule_pack
 
@@ -14,9 +15,9 @@ def _labels(rules) -> Column:
     return F.array(*[F.lit(r.label) for r in rules])
 
 
-def _masked(text: Column, matches: Column, rules) -> Column:
-    """Replace every occurrence of each matched value, in finding order."""
-    values = F.array_distinct(
+def _masks(matches: Column, rules) -> Column:
+    """The distinct (value, mask) pairs of a row's matches, in finding order."""
+    return F.array_distinct(
         F.transform(
             matches,
             lambda x: F.struct(
@@ -25,7 +26,11 @@ def _masked(text: Column, matches: Column, rules) -> Column:
             ),
         )
     )
-    return F.aggregate(values, text, lambda acc, v: F.replace(acc, v["value"], v["mask"]))
+
+
+def _masked(text: Column, masks: Column) -> Column:
+    """Replace every occurrence of each value, one value after the other."""
+    return F.aggregate(masks, text, lambda acc, v: F.replace(acc, v["value"], v["mask"]))
 
 
 def mask(df: DataFrame, text: str, out: str = "masked", enabled: bool = True) -> DataFrame:
@@ -35,10 +40,48 @@ def mask(df: DataFrame, text: str, out: str = "masked", enabled: bool = True) ->
     """
     rules = rule_pack(["pii"])
     d = matched_values(df, text, rules, "_matches")
-    value = _masked(F.col(text), F.col("_matches"), rules) if enabled else F.col(text)
+    value = _masked(F.col(text), _masks(F.col("_matches"), rules)) if enabled else F.col(text)
     return d.select(*df.columns, F.when(F.size("_matches") > 0, value).alias(out))
 
 
+# What a response document may hold; other members are not carried over.
+RESPONSE = (
+    "struct<id:string,object:string,type:string,role:string,model:string,created:bigint,"
+    "choices:array<struct<index:int,message:struct<role:string,content:string>,"
+    "delta:struct<role:string,content:string>,text:string,finish_reason:string>>,"
+    "content:array<struct<type:string,text:string>>,stop_reason:string,usage:map<string,bigint>>"
+)
+
+
+def mask_response(df: DataFrame, payload: str, out: str = "masked_payload") -> DataFrame:
+    """Adds each response document with personal data masked in its generated texts,
+    NULL where none was found.
+
+    Values are looked for in all texts of the response together and masked in every
+    text field by itself, so line breaks and quotes cannot hide them.
+    """
+    rules = rule_pack(["pii"])
+    d = df.withColumn("_text", response_text(F.col(payload)))
+    d = matched_values(d, "_text", rules, "_matches").withColumn("_masks", _masks(F.col("_matches"), rules))
+    doc, masks = F.from_json(payload, RESPONSE), F.col("_masks")
+
+    def masked(field: Column) -> Column:
+        return F.when(field.isNotNull(), _masked(field, masks))
+
+    choices = F.transform(
+        F.col("_doc.choices"),
+        lambda c: c.withField("message", c["message"].withField("content", masked(c["message"]["content"])))
+        .withField("delta", c["delta"].withField("content", masked(c["delta"]["content"])))
+        .withField("text", masked(c["text"])),
+    )
+    blocks = F.transform(
+        F.col("_doc.content"),
+        lambda b: b.withField("text", F.when(b["type"] == "text", masked(b["text"])).otherwise(b["text"])),
+    )
+    result = F.to_json(F.col("_doc").withField("choices", choices).withField("content", blocks))
+    return d.withColumn("_doc", doc).select(*df.columns, F.when(F.size("_masks") > 0, result).alias(out))
+
+
 def pii_values(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per personal-data match with the hash of the value, never the value."""
     rules = rule_pack(["pii"])
