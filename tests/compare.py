@@ -46,8 +46,8 @@ def differences(df, con, sql):
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}", len(got)
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3] if len(got) < 20000 else []
-        only_want = [r for r in want if r not in set(got)][:3] if len(got) < 20000 else []
+        only_got = sorted(set(got) - set(want), key=repr)[:3]
+        only_want = sorted(set(want) - set(got), key=repr)[:3]
         return f"{len(got)} rows vs {len(want)}; only spark {only_got}; only sql {only_want}", len(got)
     return "", len(got)
 

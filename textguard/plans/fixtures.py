@@ -132,13 +132,18 @@ def texts_sql(source: str, key: str, text: str = "text") -> str:
 PROVIDER_LIST = sql_list(PROVIDERS)
 
 
+def utc(col: str):
+    """The instant of a zoneless UTC time, whatever the session's time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(col)).cast("timestamp")
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request log out of the events."""
     k = F.get_json_object("props", "$.k").cast("long")
     error = F.col("event_type") == "error"
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"),
-        "ts",
+        utc("ts").alias("ts"),
         F.col("user_id").alias("client"),
         F.get(F.array(*[F.lit(p) for p in PROVIDERS]), (F.col("event_id") % 10).cast("int")).alias("provider"),
         error.alias("blocked"),
@@ -165,9 +170,9 @@ RATE_LIMIT = 5
 def rate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their time compressed, so that one-minute windows fill up."""
     return table(spark, sf_dir, "events").select(
-        "event_id", F.col("user_id").alias("client"), F.floor(F.unix_millis("ts") / RATE_DIVISOR).alias("ts_ms")
+        "event_id", F.col("user_id").alias("client"), F.floor(F.unix_millis(utc("ts")) / RATE_DIVISOR).alias("ts_ms")
     )
 
 
 RATE_EVENTS_SQL = f"""rate_events AS MATERIALIZED (
-  SELECT event_id, user_id AS client, CAST(floor(epoch_ms(ts) / {RATE_DIVISOR}) AS BIGINT) AS ts_ms FROM events)"""
+  SELECT event_id, user_id AS client, epoch_us(ts) // 1000 // {RATE_DIVISOR} AS ts_ms FROM events)"""
