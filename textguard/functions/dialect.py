@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE = r"\p{Z}\t-\r\x1c-\x1f\x85"
 _CLASS = {"w": WORD, "d": r"\p{Nd}", "s": SPACE}
 _BOUNDARY = {
     "b": rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))",

@@ -29,7 +29,8 @@ def strip_bidi(col: Column) -> Column:
 
 def nfkc(col: Column) -> Column:
     """NFKC form, computed in the JVM by the ICU library that Spark ships."""
-    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(True))
+    form = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(True))
+    return F.when(col.isNotNull(), form)
 
 
 def clean(col: Column) -> Column:

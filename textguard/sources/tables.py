@@ -27,4 +27,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
-    return df.repartition(4 * cores, key)
+    return df.repartition(2 * cores, key)
