@@ -80,8 +80,11 @@ def severity_cube(findings: DataFrame) -> DataFrame:
 
 
 def top_blocked(log: DataFrame, k: int) -> DataFrame:
-    """The k clients with most blocked requests of each provider.  The ranking window
-    works on one row per client, after the counts have been summed."""
+    """The k clients with most blocked requests of each provider.
+
+    Counts are summed first; Spark then keeps the best k of every partition before the
+    shuffle (WindowGroupLimit), so a provider with many clients does not meet in one task.
+    """
     counts = log.where("blocked").groupBy("provider", "client").agg(F.count(F.lit(1)).alias("blocked"))
     w = Window.partitionBy("provider").orderBy(F.desc("blocked"), "client")
     return counts.select("*", F.row_number().over(w).alias("place")).where(F.col("place") <= k)

@@ -10,6 +10,8 @@ from textguard.operators.decide import MAX_BATCH
 from textguard.operators.scan import harmful_words, pair_count
 from textguard.rules.jailbreak import MANY_SHOT_PAIRS
 
+SALTS = 32
+
 
 def transcripts(messages: DataFrame, conv: str, turn: str, role: str, text: str, limit: int = MAX_BATCH) -> DataFrame:
     """One ``Role: text`` transcript per conversation of at most ``limit`` messages.
@@ -19,7 +21,11 @@ def transcripts(messages: DataFrame, conv: str, turn: str, role: str, text: str,
     group grows beyond the limit.
     """
     counts = messages.groupBy(conv).agg(F.count(F.lit(1)).alias("message_count"))
-    short = messages.join(counts.where(F.col("message_count") <= limit).select(conv), conv, "left_semi")
+    # salted, so that the messages of a very long conversation are dropped by many tasks
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    kept = counts.where(F.col("message_count") <= limit).select(conv, salt)
+    salted = messages.select("*", F.pmod(F.xxhash64(turn), F.lit(SALTS)).cast("int").alias("_salt"))
+    short = salted.join(kept, [conv, "_salt"], "left_semi")
     joined = short.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, role, text))).alias("m")).select(
         conv,
         F.array_join(F.transform("m", lambda x: F.concat(F.initcap(x[role]), F.lit(": "), x[text])), "\n").alias("transcript"),

@@ -128,7 +128,11 @@ def stream_stats(spark, sf_dir):
     folder = shared_folder(spark)
     log = request_log(spark, sf_dir)
     log.write.parquet(f"{folder}/log/part=1")
-    ahead = log.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 100 YEARS")).withColumn("provider", F.lit("none"))
+    ahead = spark.range(1).select(*[
+        {"ts": (F.lit(START).cast("timestamp") + F.expr("INTERVAL 100 YEARS")), "provider": F.lit("none")}
+        .get(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in log.schema.fields
+    ])
     ahead.write.parquet(f"{folder}/log/part=2")
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/log").schema).parquet(f"{folder}/log").drop("part")
     run_available(windowed(stream, "1 hour", watermark="10 minutes"), f"{folder}/stats", f"{folder}/checkpoint")

@@ -9,11 +9,12 @@ from textguard.functions.dialect import java_regex
 from textguard.functions.validators import aadhaar, luhn, public_ip
 from textguard.operators.corpus import scan_distinct
 from textguard.operators.evaluate import findings_diff
+from textguard.operators.keywords import keyword_findings
 from textguard.operators.pii import exposure, mask, pii_values
 from textguard.operators.scan import scan
 from textguard.operators.transcripts import many_shot, transcripts
 from textguard.plans.finding_sql import COLUMNS, findings_sql, many_shot_counts, matches_sql
-from textguard.plans.fixtures import full_pack, lit, pack, planted, planted_sql, texts_sql
+from textguard.plans.fixtures import COMPANY, full_pack, lit, pack, planted, planted_sql, sql_list, texts_sql
 from textguard.rules import DETECTORS, rule_pack
 from textguard.rules.jailbreak import CONFUSABLES, MANY_SHOT_PAIRS
 from textguard.rules.pii import PRIVATE_IP
@@ -149,6 +150,31 @@ def rulepack_diff_sql():
     )
 
 
+def _keywords(spark, sf_dir):
+    """A blocklist out of the tables: the first three words of each benchmark passage,
+    all nation names, and the company's keywords."""
+    opening = F.array_join(F.slice(F.split(F.regexp_replace("text", r"[\n.,]", " "), " +"), 1, 3), " ")
+    passages = table(spark, sf_dir, "benchmark").select(opening.alias("keyword"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("keyword"))
+    own = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in COMPANY["blocked_keywords"]])).alias("keyword"))
+    return passages.unionByName(nations).unionByName(own)
+
+
+def blocked_keywords(spark, sf_dir):
+    return keyword_findings(planted(spark, sf_dir), "doc_id", "text", _keywords(spark, sf_dir))
+
+
+KEYWORDS_SQL = f"""WITH {planted_sql()},
+keywords AS (SELECT DISTINCT keyword FROM (
+  SELECT array_to_string(string_split_regex(regexp_replace(text, '[\\n.,]', ' ', 'g'), ' +')[1:3], ' ') AS keyword FROM benchmark
+  UNION ALL SELECT n_name FROM nation UNION ALL SELECT unnest({sql_list(COMPANY["blocked_keywords"])}))),
+pairs AS (SELECT doc_id, text, keyword, '(?i:\\b' || regexp_escape(keyword) || '\\b)' AS p FROM planted CROSS JOIN keywords
+          WHERE contains(lower(text), lower(keyword)))
+SELECT doc_id, keyword, '[KEYWORD: ' || regexp_extract(text, p, 0) || ']' AS matched_pattern,
+       CAST(length(regexp_extract(text, '^(?s:(.*?))' || p, 1)) AS INTEGER) AS position
+FROM pairs WHERE regexp_matches(text, p)"""
+
+
 # ---- personal data -------------------------------------------------------------
 
 def mask_pii(spark, sf_dir):
@@ -258,6 +284,7 @@ def entries():
         "many_shot_conversations": (
             many_shot_conversations, _many_shot_sql(TRANSCRIPTS + texts_sql("transcripts", "conv_id"), "conv_id")),
         "rulepack_diff": (rulepack_diff, rulepack_diff_sql()),
+        "blocked_keywords": (blocked_keywords, KEYWORDS_SQL),
         "mask_pii": (mask_pii, MASK_SQL.replace("{}", "doc_id, masked")),
         "mask_switch": (mask_switch, MASK_SQL.replace("{}", "doc_id, CASE WHEN masked IS NOT NULL THEN true END AS unchanged")),
         "pii_luhn": (_checked(CARD, "luhn_ok", luhn), _checked_sql(CARD, "luhn_ok", LUHN_CHECK)),
