@@ -168,10 +168,10 @@ KEYWORDS_SQL = f"""WITH {planted_sql()},
 keywords AS (SELECT DISTINCT keyword FROM (
   SELECT array_to_string(string_split_regex(regexp_replace(text, '[\\n.,]', ' ', 'g'), ' +')[1:3], ' ') AS keyword FROM benchmark
   UNION ALL SELECT n_name FROM nation UNION ALL SELECT unnest({sql_list(COMPANY["blocked_keywords"])}))),
-pairs AS (SELECT doc_id, text, keyword, '(?i:\\b' || regexp_escape(keyword) || '\\b)' AS p FROM planted CROSS JOIN keywords
-          WHERE contains(lower(text), lower(keyword)))
-SELECT doc_id, keyword, '[KEYWORD: ' || regexp_extract(text, p, 0) || ']' AS matched_pattern,
-       CAST(length(regexp_extract(text, '^(?s:(.*?))' || p, 1)) AS INTEGER) AS position
+pairs AS (SELECT doc_id, text, keyword, '(?s)^(|.*?[^\\pL\\pN_])((?i:' || regexp_escape(keyword) || '))(?:[^\\pL\\pN_]|$)' AS p
+          FROM planted CROSS JOIN keywords WHERE contains(lower(text), lower(keyword)))
+SELECT doc_id, keyword, '[KEYWORD: ' || regexp_extract(text, p, 2) || ']' AS matched_pattern,
+       CAST(length(regexp_extract(text, p, 1)) AS INTEGER) AS position
 FROM pairs WHERE regexp_matches(text, p)"""
 
 
