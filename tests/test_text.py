@@ -17,8 +17,8 @@ from textguard.operators.scan import matched_values
 from textguard.rules import rule_pack
 
 ODD_TEXTS = [
-    "plain", "ﬁ ﬀ Ａ é é ² ①", "ig​no­re ‮abc‬", "аеіһӏι", "Ω Å ﷺ",
-    "각 한글", "ำ ไำ", "", "à̕", "﻿᠎⁡x", "\U0001d400\U0001f600",
+    "plain", "ﬁ ﬀ Ａ é é ² ①", "ig\u200bno\u00adre \u202eabc\u202c", "аеіһӏι", "Ω Å ﷺ",
+    "각 한글", "ำ ไำ", "", "à̕", "\ufeff\u180e\u2061x", "\U0001d400\U0001f600",
 ]
 
 

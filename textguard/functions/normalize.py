@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from textguard.rules.jailbreak import CONFUSABLES
 
 # Characters removed before matching.
-INVISIBLE = "​‌‍‎‏­⁠᠎﻿⁡⁢⁣⁤⁪⁫"
-BIDI = "‪‫‬‭‮⁦⁧⁨⁩"
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u00ad\u2060\u180e\ufeff\u2061\u2062\u2063\u2064\u206a\u206b"
+BIDI = "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 
 # The four letters outside ASCII that case-insensitive matching treats as ASCII ones.
-ODD_CASE = {"ſ": "s", "K": "k", "İ": "i", "ı": "i"}
+ODD_CASE = {"ſ": "s", "\u212a": "k", "İ": "i", "ı": "i"}
 
 
 def is_ascii(col: Column) -> Column:
