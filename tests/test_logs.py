@@ -124,9 +124,9 @@ def test_percentiles_exact_and_approximate_agree(spark):
 
 
 def test_findings_diff_counts_copies(spark):
-    a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    a = spark.createDataFrame([(1,), (1,), (1,), (2,)], "x int")
     b = spark.createDataFrame([(1,), (3,)], "x int")
-    assert sorted(map(tuple, findings_diff(a, b, ["x"]).collect())) == [("added", 3), ("removed", 1), ("removed", 2)]
+    assert sorted(map(tuple, findings_diff(a, b, ["x"]).collect())) == [("added", 3, 1), ("removed", 1, 2), ("removed", 2, 1)]
 
 
 def chunk(text):

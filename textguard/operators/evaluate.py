@@ -37,7 +37,11 @@ def confusion(verdicts: DataFrame, labels: DataFrame, key: str, label: str) -> D
 
 
 def findings_diff(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
-    """Findings only one of two rule packs reports, with their multiplicity."""
-    gone = old.select(*columns).exceptAll(new.select(*columns)).select(F.lit("removed").alias("change"), "*")
-    came = new.select(*columns).exceptAll(old.select(*columns)).select(F.lit("added").alias("change"), "*")
-    return gone.unionByName(came)
+    """Findings that only one of two rule packs reports, with their number ``n``.
+
+    Each side is computed once; equal findings cancel out in one aggregation.
+    """
+    both = old.select(*columns, F.lit(-1).alias("_d")).unionByName(new.select(*columns, F.lit(1).alias("_d")))
+    d = both.groupBy(*columns).agg(F.sum("_d").alias("_d")).where(F.col("_d") != 0)
+    change = F.when(F.col("_d") > 0, "added").otherwise("removed")
+    return d.select(change.alias("change"), *columns, F.abs("_d").alias("n"))

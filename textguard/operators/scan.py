@@ -110,7 +110,10 @@ def _found(rules: list[tuple[int, Rule]], gates: _Gates) -> str:
             cond, hit = _all_matches(index, rule)
         else:
             cond, hit = _first_match(index, rule)
-        parts.append(f"CASE WHEN {' AND '.join([*gates.condition(rule), cond])} THEN {hit} END")
+        lead, *rest = gates.condition(rule) or ["true"]
+        # nested, because Spark would compute tests shared by several conditions for every row
+        checked = f"CASE WHEN {' AND '.join([*rest, cond])} THEN {hit} END"
+        parts.append(f"CASE WHEN {lead} THEN {checked} END")
     return f"array_compact(array({', '.join(parts)}))"
 
 

@@ -132,7 +132,7 @@ def rulepack_diff(spark, sf_dir):
     old = scan(d, ["doc_id"], "text", rule_pack())
     new = scan(d, ["doc_id"], "text", new_rules)
     diff = findings_diff(old, new, ["doc_id", "rule_id", "occurrence", "position"])
-    return diff.groupBy("change", "rule_id").agg(F.count(F.lit(1)).alias("n_findings"))
+    return diff.groupBy("change", "rule_id").agg(F.sum("n").alias("n_findings"))
 
 
 def rulepack_diff_sql():
