@@ -92,6 +92,7 @@ def test_chunks(spark):
         ("cohere", doc(type="content-delta", delta={"message": {"content": {"text": "e"}}})), ("ollama", doc(response="f")),
     ]
     d = spark.createDataFrame(rows, "p string, d string")
+    d = d.select("p", F.try_parse_json("d").alias("d"))
     i, o = chunk_usage(F.col("p"), F.col("d"))
     got = [tuple(r) for r in d.select(chunk_text(F.col("p"), F.col("d")).alias("t"), i.alias("i"), o.alias("o")).collect()]
     assert got == [("a", 3, 0), ("", None, None), ("", 0, 0), ("b", None, None), ("", 4, None), ("", None, 5), ("cd", None, None), ("e", None, None), ("", None, None)]

@@ -96,13 +96,16 @@ def normalized_response(provider: Column, payload: Column) -> Column:
 DELTA_PROVIDERS = ("openai", "groq", "mistral", "deepseek", "azure")
 
 
-def chunk_text(provider: Column, data: Column) -> Column:
-    """The text that one stream chunk adds; empty for other chunks and providers."""
+def chunk_text(provider: Column, doc: Column) -> Column:
+    """The text that one stream chunk adds; empty for other chunks and providers.
+
+    ``doc`` is the chunk as VARIANT, NULL where it is not JSON.
+    """
 
     def at(path: str) -> Column:
-        return F.get_json_object(data, path)
+        return F.try_variant_get(doc, path, "string")
 
-    parts = F.from_json(at("$.candidates[0].content.parts"), "array<struct<text:string>>")
+    parts = F.try_variant_get(doc, "$.candidates[0].content.parts", "array<struct<text:string>>")
     text = (
         F.when(provider.isin(*DELTA_PROVIDERS), at("$.choices[0].delta.content"))
         .when((provider == "anthropic") & (at("$.type") == "content_block_delta"), at("$.delta.text"))
@@ -112,15 +115,19 @@ def chunk_text(provider: Column, data: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def chunk_usage(provider: Column, data: Column) -> tuple[Column, Column]:
+def chunk_usage(provider: Column, doc: Column) -> tuple[Column, Column]:
     """Input and output tokens that one chunk reports; NULL leaves earlier values alone."""
-    delta = provider.isin(*DELTA_PROVIDERS) & F.try_parse_json(data).isNotNull()
-    kind = F.get_json_object(data, "$.type")
-    zero = F.lit(0).cast("long")
-    tokens_in = F.when(delta, F.coalesce(_long(data, "$.usage.prompt_tokens"), zero)).when(
-        (provider == "anthropic") & (kind == "message_start"), F.coalesce(_long(data, "$.message.usage.input_tokens"), zero)
+    delta = provider.isin(*DELTA_PROVIDERS) & doc.isNotNull()
+    anthropic = provider == "anthropic"
+    kind = F.try_variant_get(doc, "$.type", "string")
+
+    def tokens(path: str) -> Column:
+        return F.coalesce(F.try_variant_get(doc, path, "long"), F.lit(0).cast("long"))
+
+    tokens_in = F.when(delta, tokens("$.usage.prompt_tokens")).when(
+        anthropic & (kind == "message_start"), tokens("$.message.usage.input_tokens")
     )
-    tokens_out = F.when(delta, F.coalesce(_long(data, "$.usage.completion_tokens"), zero)).when(
-        (provider == "anthropic") & (kind == "message_delta"), F.coalesce(_long(data, "$.usage.output_tokens"), zero)
+    tokens_out = F.when(delta, tokens("$.usage.completion_tokens")).when(
+        anthropic & (kind == "message_delta"), tokens("$.usage.output_tokens")
     )
     return tokens_in, tokens_out

@@ -16,11 +16,12 @@ TIMEOUT = "120 seconds"
 
 
 def _pieces(chunks: DataFrame) -> DataFrame:
-    tokens_in, tokens_out = chunk_usage(F.col("provider"), F.col("data"))
-    return chunks.select(
+    tokens_in, tokens_out = chunk_usage(F.col("provider"), F.col("doc"))
+    d = chunks.select("*", F.try_parse_json("data").alias("doc"))
+    return d.select(
         "request_id", "provider", "seq", "ts",
         (F.col("data") == DONE).alias("done"),
-        chunk_text(F.col("provider"), F.col("data")).alias("delta"),
+        chunk_text(F.col("provider"), F.col("doc")).alias("delta"),
         tokens_in.alias("tokens_in"), tokens_out.alias("tokens_out"),
     )
 
