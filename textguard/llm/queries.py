@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textguard.llm.exact_dedup import exact_duplicates
-from textguard.llm.line_dedup import BLANKS, MIN_CHARS, MIN_DOCS, line_dedup
+from textguard.llm.line_dedup import MIN_CHARS, MIN_DOCS, line_dedup
+from textguard.llm.sentence_pieces import decode, encode
+from textguard.llm.token_counts import BUDGET, count_tokens
+
+
+#: Folder of the public vocabularies; none of them is part of this repository.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentence_pieces(spark, sf_dir):
+    """Ids of every whole text, and whether decoding them gives the text again."""
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    ids = encode(docs, model).withColumn("n_pieces", F.size("piece_ids").cast("long"))
+    ids = ids.withColumn("ids_sha256", F.sha2(F.array_join("piece_ids", ","), 256))
+    out = decode(ids, model)
+    return out.select("doc_id", "n_pieces", "ids_sha256", (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_duplicates(_docs(spark, sf_dir))
 
@@ -23,6 +39,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_token_counts(spark, sf_dir):
+    out = count_tokens(_docs(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return out.withColumn("over_limit", F.col("n_tokens") > BUDGET)
+
+
 def op7_line_dedup(spark, sf_dir):
     out = line_dedup(_docs(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,6 +65,8 @@ FROM marked GROUP BY doc_id
 def entries() -> dict:
     """Query and SQL (None where SQL cannot express it) by name."""
     return {
+        "op1_sentence_pieces": (op1_sentence_pieces, None),
         "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
+        "op5_token_counts": (op5_token_counts, None),
         "op7_line_dedup": (op7_line_dedup, OP7_SQL),
     }
