@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textguard.llm.exact_dedup import exact_duplicates
+from textguard.llm.language import fit, held_out, identify
 from textguard.llm.line_dedup import MIN_CHARS, MIN_DOCS, line_dedup
 from textguard.llm.sentence_pieces import decode, encode
 from textguard.llm.token_counts import BUDGET, count_tokens
@@ -62,6 +63,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9_language_id(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    model = fit(docs.where(~held_out()))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.rejected")
+
+
 def entries() -> dict:
     """Query and SQL (None where SQL cannot express it) by name."""
     return {
@@ -69,4 +77,5 @@ def entries() -> dict:
         "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
         "op5_token_counts": (op5_token_counts, None),
         "op7_line_dedup": (op7_line_dedup, OP7_SQL),
+        "op9_language_id": (op9_language_id, None),
     }
