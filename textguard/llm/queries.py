@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textguard.llm.exact_dedup import exact_duplicates
 from textguard.llm.language import fit, held_out, identify
 from textguard.llm.line_dedup import MIN_CHARS, MIN_DOCS, line_dedup
+from textguard.llm.ngram_join import near_duplicates
 from textguard.llm.sentence_pieces import decode, encode
 from textguard.llm.token_counts import BUDGET, count_tokens
 
@@ -63,6 +64,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_ngram_join(spark, sf_dir):
+    return near_duplicates(_docs(spark, sf_dir), words=4, percent=85)
+
+
 def op9_language_id(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     model = fit(docs.where(~held_out()))
@@ -77,5 +82,6 @@ def entries() -> dict:
         "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
         "op5_token_counts": (op5_token_counts, None),
         "op7_line_dedup": (op7_line_dedup, OP7_SQL),
+        "op8_ngram_join": (op8_ngram_join, None),
         "op9_language_id": (op9_language_id, None),
     }
