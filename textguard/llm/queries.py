@@ -8,10 +8,19 @@ from textguard.llm.exact_dedup import exact_duplicates
 from textguard.llm.language import fit, held_out, identify
 from textguard.llm.line_dedup import MIN_CHARS, MIN_DOCS, line_dedup
 from textguard.llm.ngram_join import near_duplicates
+from textguard.llm.repeat_removal import remove_repeats
 from textguard.llm.sentence_pieces import decode, encode
 from textguard.llm.token_counts import BUDGET, count_tokens
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    out = remove_repeats(_docs(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["to"] - x["from"])
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 #: Folder of the public vocabularies; none of them is part of this repository.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -80,6 +89,7 @@ def entries() -> dict:
     return {
         "op1_sentence_pieces": (op1_sentence_pieces, None),
         "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
+        "op3_suffix_array_dedup": (op3_suffix_array_dedup, None),
         "op5_token_counts": (op5_token_counts, None),
         "op7_line_dedup": (op7_line_dedup, OP7_SQL),
         "op8_ngram_join": (op8_ngram_join, None),
