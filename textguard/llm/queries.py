@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textguard.llm.exact_dedup import exact_duplicates
+from textguard.llm.fingerprints import CLAUSE, fingerprint, likeness, with_next
 from textguard.llm.language import fit, held_out, identify
 from textguard.llm.line_dedup import MIN_CHARS, MIN_DOCS, line_dedup
 from textguard.llm.ngram_join import near_duplicates
@@ -84,6 +85,49 @@ def op9_language_id(spark, sf_dir):
     return out.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.rejected")
 
 
+def op10_fingerprints(spark, sf_dir):
+    pairs = with_next(_docs(spark, sf_dir))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    out = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    out = out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"),
+        fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("next_fingerprint"),
+    )
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def _fingerprint_sql(text):
+    tree = f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{CLAUSE}'), lambda c: sha256(c))))"
+    sections = f"""list_transform({tree}, lambda ps: {{
+        'hash': sha256(array_to_string(list_transform(ps, lambda cs: sha256(array_to_string(cs, ''))), '')),
+        'codes': array_to_string(list_transform(ps, lambda cs: array_to_string(list_transform(cs, lambda h: h[1:8]), '.')), ',')}})"""
+    return f"""(SELECT sha256(array_to_string(list_transform(x, lambda s: s.hash), '')) || ':' ||
+        array_to_string(list_transform(x, lambda s: s.hash[1:16] || '=' || s.codes), '/') FROM (SELECT {sections} AS x))"""
+
+
+def _likeness_sql(a, b):
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+pairs AS (SELECT doc_id, text, n, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+edits AS (SELECT doc_id, text, n, next_text, substr(text, 1, n - n // 2) || substr(next_text, 1, n // 2) AS edited FROM pairs),
+fps AS (SELECT doc_id, n, sha256(edited) AS edited_sha256, {_fingerprint_sql('text')} AS f, {_fingerprint_sql('edited')} AS e, {_fingerprint_sql('next_text')} AS x FROM edits),
+codes AS (SELECT *, list_distinct(regexp_extract_all(f, '[=.,]([0-9a-f]{{8}})', 1)) AS cf, list_distinct(regexp_extract_all(e, '[=.,]([0-9a-f]{{8}})', 1)) AS ce,
+    list_distinct(regexp_extract_all(x, '[=.,]([0-9a-f]{{8}})', 1)) AS cx FROM fps)
+SELECT doc_id, n AS n_chars, edited_sha256, f AS fingerprint, e AS edited_fingerprint,
+       {_likeness_sql('cf', 'ce')} AS near_edited, {_likeness_sql('cf', 'cx')} AS near_next
+FROM codes
+"""
+
+
 def entries() -> dict:
     """Query and SQL (None where SQL cannot express it) by name."""
     return {
@@ -94,4 +138,5 @@ def entries() -> dict:
         "op7_line_dedup": (op7_line_dedup, OP7_SQL),
         "op8_ngram_join": (op8_ngram_join, None),
         "op9_language_id": (op9_language_id, None),
+        "op10_fingerprints": (op10_fingerprints, OP10_SQL),
     }
