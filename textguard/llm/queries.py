@@ -8,6 +8,7 @@ from textguard.llm.exact_dedup import exact_duplicates
 from textguard.llm.fingerprints import CLAUSE, fingerprint, likeness, with_next
 from textguard.llm.language import fit, held_out, identify
 from textguard.llm.line_dedup import MIN_CHARS, MIN_DOCS, line_dedup
+from textguard.llm.mixing import TARGETS, label_domain, mix
 from textguard.llm.ngram_join import near_duplicates
 from textguard.llm.repeat_removal import remove_repeats
 from textguard.llm.sentence_pieces import decode, encode
@@ -56,6 +57,13 @@ def op5_token_counts(spark, sf_dir):
     return out.withColumn("over_limit", F.col("n_tokens") > BUDGET)
 
 
+def op6_source_mixing(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("domain", label_domain())
+    out = mix(_docs(spark, sf_dir), labels)
+    shares = [F.coalesce(F.try_element_at("posterior", F.lit(d)), F.lit(0.0)).alias(f"p_{d}") for d in TARGETS]
+    return out.select("doc_id", "n_words", "domain", *shares, "rate")
+
+
 def op7_line_dedup(spark, sf_dir):
     out = line_dedup(_docs(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -135,6 +143,7 @@ def entries() -> dict:
         "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
         "op3_suffix_array_dedup": (op3_suffix_array_dedup, None),
         "op5_token_counts": (op5_token_counts, None),
+        "op6_source_mixing": (op6_source_mixing, None),
         "op7_line_dedup": (op7_line_dedup, OP7_SQL),
         "op8_ngram_join": (op8_ngram_join, None),
         "op9_language_id": (op9_language_id, None),
