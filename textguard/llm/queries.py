@@ -10,6 +10,8 @@ from textguard.llm.language import fit, held_out, identify
 from textguard.llm.line_dedup import MIN_CHARS, MIN_DOCS, line_dedup
 from textguard.llm.mixing import TARGETS, label_domain, mix
 from textguard.llm.ngram_join import near_duplicates
+from textguard.llm.pii_crf import KINDS, find_pii
+from textguard.llm.pii_crf import fit as fit_pii
 from textguard.llm.repeat_removal import remove_repeats
 from textguard.llm.sentence_pieces import decode, encode
 from textguard.llm.token_counts import BUDGET, count_tokens
@@ -23,6 +25,21 @@ def op3_suffix_array_dedup(spark, sf_dir):
     )
 
 
+def op4_pii_crf(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    out = find_pii(docs, fit_pii(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def line(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return out.select("doc_id", *map(_count, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def _count(kind):
+    return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
 #: Folder of the public vocabularies; none of them is part of this repository.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -142,6 +159,7 @@ def entries() -> dict:
         "op1_sentence_pieces": (op1_sentence_pieces, None),
         "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
         "op3_suffix_array_dedup": (op3_suffix_array_dedup, None),
+        "op4_pii_crf": (op4_pii_crf, None),
         "op5_token_counts": (op5_token_counts, None),
         "op6_source_mixing": (op6_source_mixing, None),
         "op7_line_dedup": (op7_line_dedup, OP7_SQL),
