@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textguard.llm.common import join_groups, join_same, stored, text_of
+from textguard.llm.common import fresh, join_groups, join_same, stored, text_of
 
 BLOCK = 4096
 
@@ -115,6 +115,7 @@ def exact_duplicates(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
-    staying = exact_duplicates(docs, id_col, text).where("kept").select(id_col, F.col("text_sha256").alias("_sha")).distinct()
-    met = join_same(docs.withColumn("_sha", F.sha2(text_of(text), 256)), staying, [id_col, "_sha"], "left_semi")
-    return met.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    sha = fresh(docs, "sha")
+    staying = exact_duplicates(docs, id_col, text).where("kept").select(id_col, F.col("text_sha256").alias(sha)).distinct()
+    met = join_same(docs.withColumn(sha, F.sha2(text_of(text), 256)), staying, [id_col, sha], "left_semi")
+    return met.dropDuplicates([id_col, sha]).drop(sha)

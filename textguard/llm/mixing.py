@@ -16,15 +16,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import stored
+from textguard.llm.common import fresh, join_same, stored, text_of
 
 #: Labelled documents that the classifier is fitted on, of each domain: a bounded sample, drawn by a hash of the id.
 PER_DOMAIN = 1500
 #: Words and traits that count for each domain: those that tell most about it.
 TERMS = 150
 LEAST_DOCS = 4
-#: ... and in this share more of the domain's documents than of the others.
+#: ... in this share more of the domain's documents than of the others, and in so many times their share.
 LEAST_LEAD = 0.02
+LEAST_LIFT = 2.0
 #: Posteriors are rounded to this many parts.
 PARTS = 1000
 STEPS = 40
@@ -90,7 +91,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
         a, b = F.col(f"n{i}") + 0.5, F.col("n") - F.col(f"n{i}") + 0.5
         inside, outside = a / (total[d] + 1.0), b / (everything - total[d] + 1.0)
         gain = F.log(inside / outside) * (inside - outside)
-        chosen.append(counts.where(inside - outside >= LEAST_LEAD).orderBy(gain.desc(), "term").limit(TERMS))
+        chosen.append(counts.where((inside - outside >= LEAST_LEAD) & (inside >= LEAST_LIFT * outside)).orderBy(gain.desc(), "term").limit(TERMS))
     rows = reduce(DataFrame.union, chosen).distinct().collect()
     prior = [found[d] / sum(found[x] for x in domains) for d in domains]
     weights = {}
@@ -128,19 +129,24 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     return seen.drop("_words", "_terms", "_hits", "_scores", "_top", "_sum", "_parts", "_off")
 
 
-def _rate(posterior: Column, steps: list[list[float]]) -> Column:
-    """The rate of a document after the steps: each takes off its part of every domain, but never below 0."""
+def _rate(posterior: Column, steps: list[list[float]], most: float | None) -> Column:
+    """The rate of a document after the steps: each takes off its part of every domain, but never below 0 (or above ``most``)."""
     out = F.lit(1.0)
     for step in steps:
         dot = reduce(lambda a, b: a + b, [F.get(posterior, F.lit(k)) * v for k, v in enumerate(step)])
         out = F.greatest(F.lit(0.0), out - dot)
+        if most is not None:
+            out = F.least(F.lit(float(most)), out)
     return out
 
 
-def fit_rates(seen: DataFrame, domains: list[str], targets: dict[str, float], tokens: float | None = None) -> list[list[float]]:
+def fit_rates(
+    seen: DataFrame, domains: list[str], targets: dict[str, float], keep: str | None = None, most: float | None = None
+) -> list[list[float]]:
     """The steps of projected gradient descent; ``seen`` has ``n_words`` and ``posterior``.
 
-    ``targets`` are shares of ``tokens`` (by default all tokens there are) by domain. Only tokens summed by
+    ``targets`` are shares by domain of all tokens there are, or of as many as make the target of the domain
+    ``keep`` just what it has. Only tokens summed by
     posterior, of which there are a bounded number, are read in each step; a step is one number a domain.
     """
     cells = stored(seen.groupBy("posterior").agg(F.sum("n_words").cast("double").alias("tokens")).where("tokens > 0"))
@@ -149,10 +155,11 @@ def fit_rates(seen: DataFrame, domains: list[str], targets: dict[str, float], to
     if not domains or not first[0]:
         return []
     whole, there = first[0], first[1:]
-    want = [targets.get(d, 0.0) * (tokens if tokens is not None else whole) for d in domains]
+    budget = there[domains.index(keep)] / targets[keep] if keep in domains and targets.get(keep) else whole
+    want = [targets.get(d, 0.0) * budget for d in domains]
     steps: list[list[float]] = []
     for _ in range(STEPS):
-        drawn = cells.withColumn("r", _rate(F.col("posterior"), steps))
+        drawn = cells.withColumn("r", _rate(F.col("posterior"), steps, most))
         now = drawn.agg(*[F.sum(F.col("tokens") * F.get("posterior", F.lit(k)) * F.col("r")) for k in range(len(domains))]).first()
         # squares weighted by one over the domain's tokens: the gradient's Lipschitz constant is then at most 1
         step = [(n - w) / t if t else 0.0 for n, w, t in zip(now, want, there)]
@@ -164,29 +171,41 @@ def fit_rates(seen: DataFrame, domains: list[str], targets: dict[str, float], to
 
 def mix(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text: str = "text",
-    tokens: float | None = None,
+    keep: str | None = None, most: float | None = None,
 ) -> DataFrame:
-    """id, ``n_words``, ``domain`` (the likeliest), ``posterior`` (map by domain) and ``rate`` of every row of ``docs``.
+    """id, ``text_hash``, ``n_words``, ``domain`` (the likeliest), ``posterior`` (map by domain) and ``rate`` of every row of ``docs``.
 
     Null and empty texts have no words and any rate is right for them; theirs follows from their
     posterior like any other. Without labels there are no domains: the map is empty and all rates are 1. A target
     that cannot be met (no document leans to the domain) is met as closely as squares allow. Ids may be
-    null or repeat; other columns are not read. An empty table gives an empty result.
+    null or repeat. ``most`` bounds the rates (1: nothing is drawn twice), and ``keep`` names a domain whose
+    documents are all wanted; targets are then shares of a corpus that has just those. Other columns are
+    not read. An empty table gives an empty result.
     """
     targets = targets or TARGETS
     model = fit_domains(docs, labelled, id_col, text)
     domains = model["domains"]
-    seen = stored(posteriors(docs.select(id_col, text), model, text).select(id_col, "n_words", "posterior"))
-    steps = fit_rates(seen, domains, targets, tokens)
+    own = docs.select(id_col, text, F.xxhash64(text_of(text)).alias("text_hash"))
+    seen = stored(posteriors(own, model, text).select(id_col, "text_hash", "n_words", "posterior"))
+    steps = fit_rates(seen, domains, targets, keep, most)
     names = F.array(*map(F.lit, domains)).cast("array<string>")
     likeliest = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")) if domains else F.lit(None).cast("string")
     return seen.select(
-        id_col, "n_words", likeliest.alias("domain"), F.map_from_arrays(names, "posterior").alias("posterior"),
-        _rate(F.col("posterior"), steps).alias("rate"),
+        id_col, "text_hash", "n_words", likeliest.alias("domain"), F.map_from_arrays(names, "posterior").alias("posterior"),
+        _rate(F.col("posterior"), steps, most).alias("rate"),
     )
 
 
-def drawn(mixed: DataFrame, id_col: str = "doc_id") -> Column:
-    """How often a row is taken at its rate: the whole part, and once more for the part after the point, by a hash of the id."""
-    u = F.pmod(F.xxhash64(F.lit("mix"), mixed[id_col].cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return (F.floor(mixed["rate"]) + F.when(u < mixed["rate"] - F.floor(mixed["rate"]), 1).otherwise(0)).cast("long")
+def draw(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` at the rates in ``mixed`` (of ``mix`` over the same rows), all columns kept.
+
+    A row comes as often as the whole part of its rate, and once more for what is left, by a hash of its id and text.
+    """
+    times, th = fresh(docs, "times"), fresh(docs, "th")
+    own = docs.withColumn(th, F.xxhash64(text_of(text)))
+    rates = mixed.select(id_col, F.col("text_hash").alias(th), "rate").dropDuplicates([id_col, th])
+    u = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col).cast("string"), F.col(th)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    n = F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    rates = rates.withColumn(times, n.cast("int")).where(F.col(times) > 0).select(id_col, th, times)
+    met = join_same(own, rates, [id_col, th], "inner")
+    return met.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import join_groups, join_same, stored
+from textguard.llm.common import fresh, join_groups, join_same, stored, text_of
 from textguard.llm.components import components
 
 #: Production values of near-duplicate stages; a query may set others.
@@ -229,7 +229,8 @@ def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles`` (long), ``component_id``, the smallest id reachable by links.
+    """One row per row of ``docs``: id, ``n_shingles`` (long), ``component_id`` (the smallest id reachable by links),
+    ``text_hash`` and ``kept`` (true for the component's row with the smallest id, then text hash).
 
     Two rows link when their sets of word n-grams have 100 * intersection >= percent * union. A null or empty text and one without
     words has an empty set and links with nothing, not even with its like: its component is its own id.
@@ -268,8 +269,24 @@ def near_duplicates(
 
     # 3: links and components
     nodes = _connect(entries, whole, percent)
-    classes = stored(sets.join(nodes, "sid", "left").select(*key, "w", "min_id", F.coalesce("comp", "sid").alias("comp")))
-    names = stored(classes.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.count(F.lit(1)).alias("_w")))
-    named = stored(join_groups(classes, names, ["comp"], "_w", F.xxhash64("f1")).select(*key, "component_id", "w"))
-    out = join_groups(rows.select("id", *key), named, key, "w", F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    classes = stored(sets.join(nodes, "sid", "left").select(*key, "w", "min_id", "id", "th", F.coalesce("comp", "sid").alias("comp")))
+    # the row that stays: the smallest id, then the smallest hash of the text; a row without an id only if all are
+    stays = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("min_id", "id").alias("id"), "th")).alias("s")
+    names = stored(classes.groupBy("comp").agg(F.min("min_id").alias("component_id"), stays, F.count(F.lit(1)).alias("_w")))
+    named = join_groups(classes, names, ["comp"], "_w", F.xxhash64("f1"))
+    named = stored(named.select(*key, "component_id", F.col("s.id").alias("stay_id"), F.col("s.th").alias("stay_th"), "w"))
+    out = join_groups(rows.select("id", "th", *key), named, key, "w", F.col("id"))
+    kept = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("th") == F.col("stay_th")))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+        F.col("th").alias("text_hash"), kept.alias("kept"),
+    )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component of similar texts, all columns kept; texts without words all stay."""
+    th = fresh(docs, "th")
+    staying = near_duplicates(docs, id_col, text, words, percent).where("kept").select(id_col, F.col("text_hash").alias(th)).distinct()
+    met = join_same(docs.withColumn(th, F.xxhash64(text_of(text))), staying, [id_col, th], "left_semi")
+    # rows repeated with the same id and text are one
+    return met.dropDuplicates([id_col, th]).drop(th)

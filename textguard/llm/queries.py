@@ -100,7 +100,7 @@ FROM marked GROUP BY doc_id
 
 
 def op8_ngram_join(spark, sf_dir):
-    return near_duplicates(_docs(spark, sf_dir), words=4, percent=85)
+    return near_duplicates(_docs(spark, sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_language_id(spark, sf_dir):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.common import fresh
 from textguard.llm.merge_pairs import PairTokens
 
 MARK = "▁"
@@ -210,7 +211,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "piece_i
     space. Null, repeated or clashing values in other columns do not matter; ``into`` replaces a column of that name.
     Narrow: no shuffle; a worker remembers a bounded number of words.
     """
-    keep = [c for c in docs.columns if c not in (text, into)]
+    keep, own_text = [c for c in docs.columns if c not in (text, into)], fresh(docs, "text_")
     proto = docs.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
@@ -218,13 +219,13 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "piece_i
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                packed = encoder.encode(batch.column("_text").to_pylist())
+                packed = encoder.encode(batch.column(own_text).to_pylist())
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names=[*keep, into])
 
-    own = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
-    return own.mapInArrow(run, own.drop("_text").withColumn(into, F.lit(None).cast("array<int>")).schema)
+    own = docs.select(*keep, F.coalesce(text, F.lit("")).alias(own_text))
+    return own.mapInArrow(run, own.drop(own_text).withColumn(into, F.lit(None).cast("array<int>")).schema)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "piece_ids", into: str = "text") -> DataFrame:
@@ -233,7 +234,7 @@ def decode(rows: DataFrame, model: str, ids: str = "piece_ids", into: str = "tex
     The inverse of ``encode`` but for marks in the text, which come back as spaces. Null ids give an empty
     text; ids of control pieces give nothing; bytes that are not UTF-8 give U+FFFD.
     """
-    keep = [c for c in rows.columns if c not in (ids, into)]
+    keep, own_ids = [c for c in rows.columns if c not in (ids, into)], fresh(rows, "ids_")
     proto = rows.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
@@ -241,7 +242,7 @@ def decode(rows: DataFrame, model: str, ids: str = "piece_ids", into: str = "tex
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                lists = batch.column("_ids")
+                lists = batch.column(own_ids)
                 ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
                 texts = []
                 for a, b in zip(ends[:-1], ends[1:]):
@@ -249,5 +250,5 @@ def decode(rows: DataFrame, model: str, ids: str = "piece_ids", into: str = "tex
                     texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, into])
 
-    own = rows.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
-    return own.mapInArrow(run, own.drop("_ids").withColumn(into, F.lit(None).cast("string")).schema)
+    own = rows.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(own_ids))
+    return own.mapInArrow(run, own.drop(own_ids).withColumn(into, F.lit(None).cast("string")).schema)
