@@ -87,8 +87,20 @@ def max_severity(findings: Column) -> Column:
     return F.coalesce(F.get(names, rank), F.lit("none"))
 
 
+def message_verdicts(
+    df: DataFrame, keys: list[str], role: str, text: str, findings: str = "findings", threshold: float = THRESHOLD
+) -> DataFrame:
+    """One row per message of a batch: its keys (batch and place), role, blocked and findings.
+
+    Blank messages have no findings and never block.
+    """
+    blank = F.trim(text) == ""
+    found = F.when(blank, F.filter(findings, lambda f: F.lit(False))).otherwise(F.col(findings))
+    return df.select(*keys, role, found.alias(findings)).select("*", is_blocked(F.col(findings), threshold).alias("blocked"))
+
+
 def batch_verdict(df: DataFrame, batch: str, text: str, findings: str = "findings", limit: int = MAX_BATCH) -> DataFrame:
-    """Totals per batch of messages; a batch over the limit is reported as rejected.
+    """Totals per batch of messages, whatever its length; ``over_limit`` marks those that a server would not take.
 
     Blank messages count as messages but never block.
     """
@@ -98,12 +110,6 @@ def batch_verdict(df: DataFrame, batch: str, text: str, findings: str = "finding
         F.count_if(hit).alias("blocked_count"),
         F.sum(F.when(F.trim(text) != "", F.size(findings)).otherwise(0)).alias("finding_count"),
     )
-    rejected = F.col("message_count") > limit
     return totals.select(
-        batch,
-        "message_count",
-        rejected.alias("rejected"),
-        F.when(~rejected, F.col("blocked_count")).alias("blocked_count"),
-        F.when(~rejected, F.col("finding_count")).alias("finding_count"),
-        F.when(~rejected, F.col("blocked_count") > 0).alias("blocked"),
+        "*", (F.col("message_count") > limit).alias("over_limit"), (F.col("blocked_count") > 0).alias("blocked")
     )

@@ -39,7 +39,7 @@ def quoted(value: str) -> str:
 
 def _holds(token: str, low: str) -> str:
     if token.startswith("re:"):
-        return f"rlike({low}, {quoted(token[3:])})"
+        return f"rlike({low}, {quoted(java_regex(token[3:]))})"
     return f"contains({low}, {quoted(token)})"
 
 

@@ -6,31 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.normalize import clean, fold_confusables
-from textguard.operators.decide import MAX_BATCH
 from textguard.operators.scan import harmful_words, pair_count
 from textguard.rules.jailbreak import MANY_SHOT_PAIRS
 
-SALTS = 32
+BLOCK = 1024
 
 
-def transcripts(messages: DataFrame, conv: str, turn: str, role: str, text: str, limit: int = MAX_BATCH) -> DataFrame:
-    """One ``Role: text`` transcript per conversation of at most ``limit`` messages.
+def transcripts(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """One ``Role: text`` transcript per conversation, of all its messages in the order of the turns.
 
-    Longer conversations are rejected as a batch would be: they keep their row, with a
-    NULL transcript.  They are recognised by a count before any text is gathered, so no
-    group grows beyond the limit.
+    Two steps: blocks of consecutive turns become strings first, then the strings of a conversation are
+    joined, so no task collects the messages of a long conversation. The transcript itself is one
+    string by definition.
     """
-    counts = messages.groupBy(conv).agg(F.count(F.lit(1)).alias("message_count"))
-    # salted, so that the messages of a very long conversation are dropped by many tasks
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    kept = counts.where(F.col("message_count") <= limit).select(conv, salt)
-    salted = messages.select("*", F.pmod(F.xxhash64(turn), F.lit(SALTS)).cast("int").alias("_salt"))
-    short = salted.join(kept, [conv, "_salt"], "left_semi")
-    joined = short.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, role, text))).alias("m")).select(
-        conv,
-        F.array_join(F.transform("m", lambda x: F.concat(F.initcap(x[role]), F.lit(": "), x[text])), "\n").alias("transcript"),
+    line = F.concat(F.initcap(role), F.lit(": "), F.col(text)).alias("line")
+    blocks = messages.groupBy(conv, F.floor(F.col(turn) / BLOCK).alias("_block")).agg(
+        F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), line))).alias("_m")
     )
-    return counts.join(joined, conv, "left")
+    strings = blocks.select(conv, "_n", F.struct("_block", F.array_join(F.transform("_m", lambda x: x["line"]), "\n").alias("s")).alias("_b"))
+    joined = strings.groupBy(conv).agg(F.sum("_n").alias("message_count"), F.array_sort(F.collect_list("_b")).alias("_b"))
+    return joined.select(conv, "message_count", F.array_join(F.transform("_b", lambda b: b["s"]), "\n").alias("transcript"))
 
 
 def many_shot(df: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -131,6 +131,21 @@ def texts_sql(source: str, key: str, text: str = "text") -> str:
 
 PROVIDER_LIST = sql_list(PROVIDERS)
 
+# Every 40th conversation is made longer than a server's limit on messages: 101 and 300 of them.
+LONGER = "CASE conv_id % 80 WHEN 0 THEN 101 WHEN 40 THEN 300 ELSE 0 END"
+
+
+def long_conversations(m):
+    """``m`` and, for some conversations, copies of their first message up to 101 or 300 in all."""
+    first = m.where("turn = 0").withColumn("turn", F.explode(F.expr(f"CASE WHEN {LONGER} > 0 THEN sequence(1000, 999 + {LONGER}) ELSE array() END")))
+    return m.unionByName(first.withColumn("turn", F.col("turn").cast("long")))
+
+
+LONG_SQL = f"""longer AS MATERIALIZED (SELECT * FROM messages UNION ALL BY NAME
+  SELECT conv_id, turn + 1000 + k AS turn, role, msg_id + 100000000 + k * 1000000000 AS msg_id, text
+  FROM (SELECT *, unnest(range({LONGER})) AS k FROM messages WHERE turn = 0)),
+"""
+
 
 def utc(col: str):
     """The instant of a zoneless UTC time, whatever the session's time zone."""

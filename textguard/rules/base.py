@@ -26,7 +26,8 @@ DETECTORS = (
     "toxic",
 )
 
-RULES_PER_DETECTOR = 100_000
+# Room for the rules of one detector in ``ord``.
+RULES_PER_DETECTOR = 100_000_000
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,8 @@ def numbered(rules: list[Rule]) -> list[Rule]:
     out = []
     for r in rules:
         seen[r.detector] = n = seen.get(r.detector, 0) + 1
+        if n >= RULES_PER_DETECTOR:
+            raise ValueError(f"too many rules for {r.detector}")
         out.append(replace(r, ord=DETECTORS.index(r.detector) * RULES_PER_DETECTOR + n))
     return out
 
