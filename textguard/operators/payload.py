@@ -132,7 +132,12 @@ def budget_text(payload: Column, mode: str = "top_level") -> Column:
     return F.array_join(F.transform(strings, lambda v: F.try_variant_get(v, "$", "string")), " ")
 
 
+def token_counts(payload: Column, mode: str = "top_level", limit: int = MAX_INPUT_TOKENS, prefix: str = "") -> list[Column]:
+    """The token count of a request and whether it exceeds the limit."""
+    n = estimated_tokens(budget_text(payload, mode))
+    return [n.alias(f"{prefix}token_count"), (n > limit).alias(f"{prefix}rejected")]
+
+
 def token_budget(df: DataFrame, keys: list[str], payload: str, limit: int = MAX_INPUT_TOKENS, mode: str = "top_level") -> DataFrame:
     """Adds the token count of each request and whether it exceeds the limit."""
-    n = estimated_tokens(budget_text(F.col(payload), mode))
-    return df.select(*keys, n.alias("token_count")).select("*", (F.col("token_count") > limit).alias("rejected"))
+    return df.select(*keys, *token_counts(F.col(payload), mode, limit))

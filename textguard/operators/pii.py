@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +46,39 @@ def mask(df: DataFrame, text: str, out: str = "masked", enabled: bool = True) ->
     return d.select(*df.columns, F.when(F.size("_matches") > 0, value).alias(out))
 
 
-# What a response document may hold; other members are not carried over.
-RESPONSE = (
-    "struct<id:string,object:string,type:string,role:string,model:string,created:bigint,"
-    "choices:array<struct<index:int,message:struct<role:string,content:string>,"
-    "delta:struct<role:string,content:string>,text:string,finish_reason:string>>,"
-    "content:array<struct<type:string,text:string>>,stop_reason:string,usage:map<string,bigint>>"
-)
+def _json(value: Column) -> Column:
+    """A variant as JSON text; a missing one as null."""
+    return F.coalesce(F.to_json(value), F.lit("null"))
+
+
+def _quoted(text: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _edited(doc: Column, edits: dict[str, Callable[[Column], Column]]) -> Column:
+    """An object (variant) as JSON text, with the members named in ``edits`` rewritten and all others as they are."""
+
+    def member(e: Column) -> Column:
+        value = _json(e["value"])
+        for name, edit in edits.items():
+            value = F.when(e["key"] == name, edit(e["value"])).otherwise(value)
+        return F.concat(_quoted(e["key"]), F.lit(":"), value)
+
+    members = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(members, member), ","), F.lit("}"))
+    return F.when(F.schema_of_variant(doc).startswith("OBJECT"), text).otherwise(_json(doc))
+
+
+def _each(items: Column, edit: Callable[[Column], Column]) -> Column:
+    """An array (variant) as JSON text with every element rewritten."""
+    array = F.try_variant_get(items, "$", "array<variant>")
+    text = F.concat(F.lit("["), F.array_join(F.transform(array, edit), ","), F.lit("]"))
+    return F.when(F.schema_of_variant(items).startswith("ARRAY"), text).otherwise(_json(items))
 
 
 def mask_response(df: DataFrame, payload: str, out: str = "masked_payload") -> DataFrame:
     """Adds each response document with personal data masked in its generated texts,
-    NULL where none was found.
+    NULL where none was found. All other members of the document stay as they are, in the order of their names.
 
     Values are looked for in all texts of the response together and masked in every
     text field by itself, so line breaks and quotes cannot hide them.
@@ -63,23 +86,23 @@ def mask_response(df: DataFrame, payload: str, out: str = "masked_payload") -> D
     rules = rule_pack(["pii"])
     d = df.withColumn("_text", response_text(F.col(payload)))
     d = matched_values(d, "_text", rules, "_matches").withColumn("_masks", _masks(F.col("_matches"), rules))
-    doc, masks = F.from_json(payload, RESPONSE), F.col("_masks")
 
     def masked(field: Column) -> Column:
-        return F.when(field.isNotNull(), _masked(field, masks))
+        text = F.try_variant_get(field, "$", "string")
+        return F.when(F.schema_of_variant(field) == "STRING", _quoted(_masked(text, F.col("_masks")))).otherwise(_json(field))
 
-    choices = F.transform(
-        F.col("_doc.choices"),
-        lambda c: c.withField("message", c["message"].withField("content", masked(c["message"]["content"])))
-        .withField("delta", c["delta"].withField("content", masked(c["delta"]["content"])))
-        .withField("text", masked(c["text"])),
-    )
-    blocks = F.transform(
-        F.col("_doc.content"),
-        lambda b: b.withField("text", F.when(b["type"] == "text", masked(b["text"])).otherwise(b["text"])),
-    )
-    result = F.to_json(F.col("_doc").withField("choices", choices).withField("content", blocks))
-    return d.withColumn("_doc", doc).select(*df.columns, F.when(F.size("_masks") > 0, result).alias(out))
+    def holder(field: Column) -> Column:
+        return _edited(field, {"content": masked})
+
+    def choice(item: Column) -> Column:
+        return _edited(item, {"message": holder, "delta": holder, "text": masked})
+
+    def block(item: Column) -> Column:
+        kind = F.try_variant_get(item, "$.type", "string")
+        return F.when(kind == "text", _edited(item, {"text": masked})).otherwise(_json(item))
+
+    result = _edited(F.try_parse_json(payload), {"choices": lambda x: _each(x, choice), "content": lambda x: _each(x, block)})
+    return d.select(*df.columns, F.when(F.size("_masks") > 0, result).alias(out))
 
 
 def pii_values(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -109,13 +132,15 @@ def exposure(values: DataFrame, key: str, source: str, exact: bool = True) -> Da
             F.count(F.lit(1)).alias("n_matches"),
             F.approx_count_distinct("value_hash").alias("n_values"),
         )
+    # every branch starts from this aggregate, so that the texts are scanned once and its exchange is reused
+    per_text = values.groupBy("label", "value_hash", source, key).agg(F.count(F.lit(1)).alias("n"))
     per_value = (
-        values.groupBy("label", "value_hash", source)
-        .agg(F.count(F.lit(1)).alias("n"))
+        per_text.groupBy("label", "value_hash", source)
+        .agg(F.sum("n").alias("n"))
         .groupBy("label", "value_hash")
         .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_sources"))
     )
-    texts = values.select("label", key).distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n_texts"))
+    texts = per_text.groupBy("label", key).agg(F.sum("n").alias("n")).groupBy("label").agg(F.count("n").alias("n_texts"))
     sums = per_value.groupBy("label").agg(
         F.sum("n").alias("n_matches"),
         F.count(F.lit(1)).alias("n_values"),

@@ -58,38 +58,46 @@ def to_cohere(messages: Column) -> Column:
     )
 
 
-def _long(payload: Column, path: str) -> Column:
-    return F.get_json_object(payload, path).cast("long")
-
-
 def normalized_response(provider: Column, payload: Column) -> Column:
     """Struct of text, input and output tokens from a Gemini, Cohere, Anthropic or
-    OpenAI-shaped response."""
+    OpenAI-shaped response. All texts of an answer are read, one per line: every part, text block and choice."""
+    doc = F.try_parse_json(payload)
 
-    def at(path: str) -> Column:
-        return F.get_json_object(payload, path)
+    def items(path: str) -> Column:
+        return F.coalesce(F.try_variant_get(doc, path, "array<variant>"), F.array().cast("array<variant>"))
+
+    def string(v: Column, path: str) -> Column:
+        return F.try_variant_get(v, path, "string")
+
+    def tokens(*paths: str) -> Column:
+        return F.coalesce(*[F.try_variant_get(doc, p, "long") for p in paths], F.lit(0).cast("long"))
 
+    def joined(texts: Column) -> Column:
+        return F.array_join(F.filter(texts, lambda t: t != ""), "\n")
+
+    def blocks(path: str) -> Column:
+        kinds = F.filter(items(path), lambda b: F.coalesce(string(b, "$.type"), F.lit("text")) == "text")
+        return joined(F.transform(kinds, lambda b: string(b, "$.text")))
+
+    parts = F.flatten(F.transform(items("$.candidates"), lambda c: F.coalesce(
+        F.try_variant_get(c, "$.content.parts", "array<variant>"), F.array().cast("array<variant>"))))
     text = (
-        F.when(provider == "gemini", at("$.candidates[0].content.parts[0].text"))
-        .when(provider == "cohere", F.coalesce(at("$.message.content[0].text"), at("$.text")))
-        .when(provider == "anthropic", at("$.content[0].text"))
-        .otherwise(at("$.choices[0].message.content"))
+        F.when(provider == "gemini", joined(F.transform(parts, lambda p: string(p, "$.text"))))
+        .when(provider == "cohere", F.coalesce(F.nullif(blocks("$.message.content"), F.lit("")), string(doc, "$.text")))
+        .when(provider == "anthropic", blocks("$.content"))
+        .otherwise(joined(F.transform(items("$.choices"), lambda c: string(c, "$.message.content"))))
     )
     tokens_in = (
-        F.when(provider == "gemini", _long(payload, "$.usageMetadata.promptTokenCount"))
-        .when(provider == "cohere", _long(payload, "$.meta.tokens.input_tokens"))
-        .otherwise(F.coalesce(_long(payload, "$.usage.prompt_tokens"), _long(payload, "$.usage.input_tokens")))
+        F.when(provider == "gemini", tokens("$.usageMetadata.promptTokenCount"))
+        .when(provider == "cohere", tokens("$.meta.tokens.input_tokens"))
+        .otherwise(tokens("$.usage.prompt_tokens", "$.usage.input_tokens"))
     )
     tokens_out = (
-        F.when(provider == "gemini", _long(payload, "$.usageMetadata.candidatesTokenCount"))
-        .when(provider == "cohere", _long(payload, "$.meta.tokens.output_tokens"))
-        .otherwise(F.coalesce(_long(payload, "$.usage.completion_tokens"), _long(payload, "$.usage.output_tokens")))
-    )
-    return F.struct(
-        F.coalesce(text, F.lit("")).alias("content"),
-        F.coalesce(tokens_in, F.lit(0)).alias("input_tokens"),
-        F.coalesce(tokens_out, F.lit(0)).alias("output_tokens"),
+        F.when(provider == "gemini", tokens("$.usageMetadata.candidatesTokenCount"))
+        .when(provider == "cohere", tokens("$.meta.tokens.output_tokens"))
+        .otherwise(tokens("$.usage.completion_tokens", "$.usage.output_tokens"))
     )
+    return F.struct(F.coalesce(text, F.lit("")).alias("content"), tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens"))
 
 
 # Providers whose stream chunks have the choices/delta form.

@@ -71,21 +71,20 @@ SELECT conv_id, turn, {_MESSAGE} || {_PROMPT.format("'  '")} AS request_text FRO
 
 
 def flatten_content(spark, sf_dir):
-    """Message contents as the batch scan reads them: all blocks, whatever their type."""
-    message = F.get(F.try_variant_get(P.parsed(F.col("payload")), "$.messages", "array<variant>"), 1)
-    d = requests(spark, sf_dir).select("conv_id", "turn", F.to_json(message).alias("message"))
-    return d.select("conv_id", "turn", P.flattened_content(F.col("message")).alias("content"))
+    """The contents of all messages of a request as the batch scan reads them: all blocks, whatever their type."""
+    messages_ = F.try_variant_get(P.parsed(F.col("payload")), "$.messages", "array<variant>")
+    d = requests(spark, sf_dir).select("conv_id", "turn", F.posexplode(messages_).alias("place", "m"))
+    return d.select("conv_id", "turn", "place", P.flattened_content(F.to_json("m")).alias("content"))
 
 
 FLATTEN_SQL = f"WITH {messages_sql()}" + f"""m AS (SELECT conv_id, turn, text FROM messages)
-SELECT conv_id, turn, text || CASE WHEN {_ODD} THEN ' not shown tail block   ' ELSE '' END AS content FROM m"""
+SELECT conv_id, turn, 0 AS place, 'You are helpful.' AS content FROM m UNION ALL
+SELECT conv_id, turn, 1 AS place, text || CASE WHEN {_ODD} THEN ' not shown tail block   ' ELSE '' END AS content FROM m"""
 
 
 def token_budget(spark, sf_dir):
-    r = requests(spark, sf_dir)
-    top = P.token_budget(r, ["conv_id", "turn"], "payload", 4).withColumnsRenamed({"token_count": "top_level_tokens", "rejected": "top_level_rejected"})
-    everything = P.token_budget(r, ["conv_id", "turn"], "payload", 512, mode="all_text")
-    return everything.join(top, ["conv_id", "turn"])
+    r = requests(spark, sf_dir).select("conv_id", "turn", *P.token_counts(F.col("payload"), "all_text", 512), *P.token_counts(F.col("payload"), "top_level", 4, "top_level_"))
+    return r.withColumnsRenamed({"top_level_token_count": "top_level_tokens"})
 
 
 _TOKENS = r"len(regexp_extract_all({}, '[\pL\pN_]+|[^\pL\pN_\s]'))"
@@ -101,13 +100,13 @@ def responses(spark, sf_dir):
     text, kind = quoted(F.col("text")), (F.col("conv_id") + F.col("turn")) % 3
     n = F.length("text").cast("string")
     choices = F.concat(
-        F.lit('{"id":"r1","object":"chat.completion","model":"small","choices":[{"index":0,"message":{"role":"assistant","content":'), text,
-        F.lit('},"finish_reason":"stop"},{"index":1,"delta":{"content":"more at info@corp.example"}},{"index":2,"text":"old form"}],"usage":{"prompt_tokens":'),
+        F.lit('{"id":"r1","object":"chat.completion","model":"small","choices":[{"index":0,"message":{"role":"assistant","tool_calls":[{"id":"t1","function":{"name":"f","arguments":"{}"}}],"content":'), text,
+        F.lit('},"finish_reason":"stop"},{"index":1,"delta":{"content":"more at info@corp.example"}},{"index":2,"text":"old form"}],"system_fingerprint":"fp1","usage":{"details":{"cached":1},"prompt_tokens":'),
         (F.col("turn") + 10).cast("string"), F.lit(',"completion_tokens":'), n, F.lit("}}"),
     )
     blocks = F.concat(
         F.lit('{"id":"r2","type":"message","content":[{"type":"text","text":'), text,
-        F.lit('},{"type":"tool_use","text":"not shown"}],"usage":{"input_tokens":'), (F.col("turn") + 20).cast("string"),
+        F.lit('},{"type":"tool_use","name":"search","input":{"q":"x"},"text":"not shown"}],"usage":{"input_tokens":'), (F.col("turn") + 20).cast("string"),
         F.lit(',"output_tokens":'), n, F.lit("}}"),
     )
     empty = F.lit('{"choices":[{"message":{"content":null}}],"content":[]}')
@@ -134,15 +133,25 @@ def mask_output(spark, sf_dir):
         "conv_id", "turn",
         P.response_text(F.coalesce("masked_payload", "payload")).alias("response_text"),
         F.col("masked_payload").isNotNull().alias("changed"),
+        F.col("masked_payload").alias("document"),
     )
 
 
 def mask_output_sql():
     answers = f"answers AS (SELECT conv_id, turn, msg_id, {_RESPONSE} AS answer FROM messages),\n"
     ctes = masked_sql("msg_id", messages_sql() + answers + texts_sql("answers", "msg_id", "answer"))
-    return f"""WITH {ctes}
-SELECT conv_id, turn, coalesce(masked, answer) AS response_text, masked IS NOT NULL AS changed
-FROM answers LEFT JOIN masked USING (msg_id)"""
+    return f"""WITH {ctes},
+m AS (SELECT conv_id, turn, answer, masked, regexp_extract(masked, 'more at ([^\n]*)\nold form$', 1) AS more, n
+      FROM answers LEFT JOIN masked USING (msg_id) JOIN (SELECT conv_id, turn, length(text) AS n FROM messages) USING (conv_id, turn))
+SELECT conv_id, turn, coalesce(masked, answer) AS response_text, masked IS NOT NULL AS changed,
+  CASE WHEN masked IS NULL THEN NULL WHEN (conv_id + turn) % 3 = 0 THEN
+    '{{"choices":[{{"finish_reason":"stop","index":0,"message":{{"content":' || to_json(masked[:length(masked) - length(more) - 18])
+    || ',"role":"assistant","tool_calls":[{{"function":{{"arguments":"{{}}","name":"f"}},"id":"t1"}}]}}}},{{"delta":{{"content":'
+    || to_json('more at ' || more) || '}},"index":1}},{{"index":2,"text":"old form"}}],"id":"r1","model":"small","object":"chat.completion",'
+    || '"system_fingerprint":"fp1","usage":{{"completion_tokens":' || n || ',"details":{{"cached":1}},"prompt_tokens":' || (turn + 10) || '}}}}'
+  ELSE '{{"content":[{{"text":' || to_json(masked) || ',"type":"text"}},{{"input":{{"q":"x"}},"name":"search","text":"not shown","type":"tool_use"}}],'
+    || '"id":"r2","type":"message","usage":{{"input_tokens":' || (turn + 20) || ',"output_tokens":' || n || '}}}}' END AS document
+FROM m"""
 
 
 def usage(spark, sf_dir):
@@ -163,13 +172,13 @@ def normalize_provider(spark, sf_dir):
     provider = F.get(F.array(*[F.lit(p) for p in ("gemini", "cohere", "anthropic", "openai")]), ((F.col("conv_id") + F.col("turn")) % 4).cast("int"))
     body = (
         F.when(F.col("provider") == "gemini", F.concat(
-            F.lit('{"candidates":[{"content":{"parts":[{"text":'), text, F.lit('}]}}],"usageMetadata":{"promptTokenCount":'), turn, F.lit(',"candidatesTokenCount":7}}')))
+            F.lit('{"candidates":[{"content":{"parts":[{"text":'), text, F.lit('},{"inlineData":{}},{"text":"part two"}]}}],"usageMetadata":{"promptTokenCount":'), turn, F.lit(',"candidatesTokenCount":7}}')))
         .when(F.col("provider") == "cohere", F.concat(
-            F.lit('{"id":"c","message":{"content":[{"type":"text","text":'), text, F.lit('}]},"meta":{"tokens":{"input_tokens":'), turn, F.lit(',"output_tokens":8}}}')))
+            F.lit('{"id":"c","message":{"content":[{"type":"thinking","thinking":"hm"},{"type":"text","text":'), text, F.lit('},{"type":"text","text":"part two"}]},"meta":{"tokens":{"input_tokens":'), turn, F.lit(',"output_tokens":8}}}')))
         .when(F.col("provider") == "anthropic", F.concat(
-            F.lit('{"content":[{"type":"text","text":'), text, F.lit('}],"usage":{"input_tokens":'), turn, F.lit(',"output_tokens":9}}')))
+            F.lit('{"content":[{"type":"thinking","thinking":"hm"},{"type":"text","text":'), text, F.lit('},{"type":"text","text":"part two"}],"usage":{"input_tokens":'), turn, F.lit(',"output_tokens":9}}')))
         .otherwise(F.concat(
-            F.lit('{"choices":[{"message":{"role":"assistant","content":'), text, F.lit('}}],"usage":{"prompt_tokens":'), turn, F.lit(',"completion_tokens":6}}')))
+            F.lit('{"choices":[{"message":{"role":"assistant","content":'), text, F.lit('}},{"message":{"role":"assistant","content":"part two"}}],"usage":{"prompt_tokens":'), turn, F.lit(',"completion_tokens":6}}')))
     )
     d = m.select("conv_id", "turn", "text", provider.alias("provider")).select("*", body.alias("payload"))
     return d.select("conv_id", "turn", "provider", normalized_response(F.col("provider"), F.col("payload")).alias("n")).select(
@@ -178,7 +187,7 @@ def normalize_provider(spark, sf_dir):
 
 
 NORMALIZE_SQL = f"WITH {messages_sql()}" + """m AS (SELECT conv_id, turn, text, CAST((conv_id + turn) % 4 AS INT) AS kind FROM messages)
-SELECT conv_id, turn, (['gemini', 'cohere', 'anthropic', 'openai'])[kind + 1] AS provider, text AS content,
+SELECT conv_id, turn, (['gemini', 'cohere', 'anthropic', 'openai'])[kind + 1] AS provider, text || chr(10) || 'part two' AS content,
        turn AS input_tokens, CAST((ARRAY[7, 8, 9, 6])[kind + 1] AS BIGINT) AS output_tokens FROM m"""
 
 
