@@ -22,7 +22,7 @@ QUERIES = [
     "scan_financial", "scan_cloud", "scan_toxic", "mask_pii", "pii_exposure", "verdict", "policy_verdict",
     "explain_report", "scan_batch", "many_shot_conversations", "char_entropy", "extract_request", "mask_output",
     "normalize_provider", "token_budget", "stats_rollup", "latency_percentiles", "top_blocked", "stats_sliding",
-    "rate_limit", "rate_limit_strict", "offender_sessions", "assemble_stream", "stream_findings",
+    "rate_limit", "offender_sessions", "assemble_stream", "stream_findings",
 ]
 
 

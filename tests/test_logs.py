@@ -103,6 +103,21 @@ def test_statistics_round_and_order_as_expected(spark):
     assert (total.requests, total.blocked, total.block_rate_pct) == (10, 2, 20.0)
 
 
+def test_rates_round_as_python_does(spark):
+    pairs = [(247, 2000)] + [(k, n) for n in (8, 40, 400, 2000) for k in range(0, n + 1, max(1, n // 400))]
+    d = spark.createDataFrame(pairs, "k long, n long")
+    got = [r[0] for r in d.select(S._rate(F.col("k"), F.col("n"))).collect()]
+    assert got == [round(k / n * 100, 1) for k, n in pairs]
+    assert got[0] == 12.3
+
+
+def test_requests_without_a_client_share_a_limit(spark):
+    d = spark.createDataFrame([(1, None, 0), (2, None, 5), (3, "a", 5)], "id int, client string, ts_ms long")
+    assert {r.id: (r.in_window, r.allowed) for r in rate_limit(d, 1).collect()} == {1: (1, True), 2: (2, False), 3: (1, True)}
+    assert all(r.allowed for r in rate_limit(d, 1, enabled=False).collect())
+    assert {r.id: r.allowed for r in rate_limit_strict(d, 1, "id").collect()} == {1: True, 2: False, 3: True}
+
+
 def test_empty_log_has_a_zero_total(spark):
     assert S.with_total(request_log(spark, [])).count() in (0, 1)
     assert S.by_provider(request_log(spark, [])).count() == 0

@@ -1,5 +1,9 @@
 """Scan results: what detectors block, and what must not change them."""
 
+import re
+import unicodedata
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,7 +113,8 @@ def test_partitioning_and_copies_do_not_change_findings(spark, sf):
 def test_scan_plan_reads_two_columns_and_does_not_shuffle(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = scan(docs, ["doc_id"], "text")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    # Arrow only for the texts that normalisation may change
+    assert "Exchange" not in plan and "BatchEvalPython" not in plan and plan.count("ArrowEvalPython") <= 1
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
@@ -140,3 +145,32 @@ def test_threshold_is_a_parameter(spark):
     d = scan_rows(spark.createDataFrame([(1, "override : now")], "id int, text string"), "text", rule_pack(["injection"]))
     f = F.col("findings")
     assert tuple(d.select(is_blocked(f, 0.85), is_blocked(f, 0.9)).first()) == (True, False)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_key_filters_reach_the_file_and_the_scan_runs_once(spark, sf):
+    from textguard.operators.decide import verdict
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for df in (
+        scan(docs, ["doc_id"], "text").where("doc_id = 5"),
+        verdict(scan_rows(docs, "text")).where("doc_id = 5 AND blocked"),
+    ):
+        plan = _plan(df)
+        assert "EqualTo(doc_id,5)" in plan
+        assert plan.count("FileScan") == 1 and plan.count("Generate inline(array(struct(_hits") == 1
+
+
+def test_gates_hold_for_every_blank(spark):
+    blanks = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and re.match(r"\s", chr(c))]
+    words = [b.join(w) for b in blanks for w in ("jailbreak", "ignore")] + ["j.a.i.l.b.r.e.a.k", "i.g.n.o.r.e"]
+    rules = [r for r in rule_pack(["jailbreak"]) if r.rule_id in ("JB-H10", "JB-H11")]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, text string")
+    found = {(r.id, r.rule_id) for r in scan(df, ["id"], "text", rules).collect()}
+    ungated = {(r.id, r.rule_id) for r in scan(df, ["id"], "text", [replace(r, needs="") for r in rules]).collect()}
+    assert found == ungated
+    want = {(i, r.rule_id) for i, w in enumerate(words) for r in rules if r.compiled().search(unicodedata.normalize("NFKC", w))}
+    assert found == want

@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WINDOW_MS = 60_000
+# Fixed value: requests per minute unless configured.
+DEFAULT_LIMIT = 60
 
 
-def rate_limit(requests: DataFrame, limit: int, client: str = "client", ts_ms: str = "ts_ms", window_ms: int = WINDOW_MS) -> DataFrame:
-    """Adds ``in_window`` and ``allowed``; denied requests count too.
+def rate_limit(
+    requests: DataFrame, limit: int = DEFAULT_LIMIT, client: str = "client", ts_ms: str = "ts_ms", window_ms: int = WINDOW_MS,
+    enabled: bool = True,
+) -> DataFrame:
+    """Adds ``in_window`` and ``allowed``; denied requests count too. With ``enabled=False`` all are allowed.
+    Requests without a client share one limit.
 
     Requests of a client within one millisecond count once.  Each millisecond is
     placed in its own window-long slot and in the next one, so a slot holds all that
@@ -33,9 +39,9 @@ def rate_limit(requests: DataFrame, limit: int, client: str = "client", ts_ms: s
         .where(F.col("_slot") == slot)
         .select(client, ts_ms, "in_window")
     )
-    return requests.join(counts, [client, ts_ms]).select(
-        *requests.columns, "in_window", (F.col("in_window") <= limit).alias("allowed")
-    )
+    counts = counts.select(F.col(client).alias("_client"), F.col(ts_ms).alias("_ts"), "in_window")
+    met = requests.join(counts, F.col(client).eqNullSafe(F.col("_client")) & F.col(ts_ms).eqNullSafe(F.col("_ts")))
+    return met.select(*requests.columns, "in_window", (F.lit(not enabled) | (F.col("in_window") <= limit)).alias("allowed"))
 
 
 def _replay(limit: int, window_ms: int, client: str):
@@ -77,7 +83,7 @@ def _replay(limit: int, window_ms: int, client: str):
 def rate_limit_strict(
     requests: DataFrame, limit: int, order: str, client: str = "client", ts_ms: str = "ts_ms", window_ms: int = WINDOW_MS
 ) -> DataFrame:
-    """Adds ``allowed`` where only allowed requests count against the limit.
+    """Adds ``allowed`` where only allowed requests count against the limit. A tool for small logs: see below.
 
     Each answer depends on the ones before it, so the log is first cut where the past
     cannot matter: at pauses of a window or longer, and before any stretch of a window
@@ -109,7 +115,7 @@ def rate_limit_strict(
     )
     # the calm slot before a stretch is replayed with it, since its requests still count
     lead_in = busy.groupBy(client, "_stretch").agg((F.min("_slot") - 1).alias("_slot")).select(client, "_slot", "_stretch")
-    rows = loads.select("*", slot.alias("_slot")).join(busy.unionByName(lead_in), [client, "_slot"])
+    rows = loads.select("*", slot.alias("_slot")).join(busy.unionByName(lead_in).withColumnsRenamed({client: "_c", "_slot": "_s"}), F.col(client).eqNullSafe(F.col("_c")) & (F.col("_slot") == F.col("_s")))
     types = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
     replayed = (
         rows.select(client, "_stretch", "_t", "_n")
@@ -117,14 +123,18 @@ def rate_limit_strict(
         .sortWithinPartitions(client, "_stretch", "_t")
         .mapInPandas(_replay(limit, window_ms, client), f"{client} {types[client]}, _t bigint, _allowed bigint")
     )
-    decided = loads.join(replayed, [client, "_t"], "left").select(
+    replayed = replayed.withColumnsRenamed({client: "_c", "_t": "_u"})
+    decided = loads.join(replayed, F.col(client).eqNullSafe(F.col("_c")) & (F.col("_t") == F.col("_u")), "left").select(
         client, F.col("_t").alias(ts_ms), F.coalesce("_allowed", "_n").alias("_allowed"), "_n"
     )
     # within one millisecond the first requests by ``order`` get through
     place = F.row_number().over(Window.partitionBy(client, ts_ms).orderBy(order))
     allowed = F.when(F.col("_allowed") >= F.col("_n"), True).otherwise(F.col("_place") <= F.col("_allowed"))
     return (
-        requests.join(decided, [client, ts_ms])
+        requests.join(
+            decided.withColumnsRenamed({client: "_client", ts_ms: "_ts"}),
+            F.col(client).eqNullSafe(F.col("_client")) & F.col(ts_ms).eqNullSafe(F.col("_ts")),
+        )
         .select("*", place.alias("_place"))
         .select(*requests.columns, allowed.alias("allowed"))
     )

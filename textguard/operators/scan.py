@@ -192,8 +192,9 @@ def with_hits(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     d = _prepared(df, text, rules, df.columns)
     d = d.select("*", *gates.expressions())
     hits = F.expr(_hits(rules, gates)) if rules else F.array().cast(f"array<{HIT}>")
-    # a condition Spark cannot fold keeps it from copying the scan into filters on its result
-    return d.select(*df.columns, "_raw", F.when(F.spark_partition_id() >= 0, hits).alias("_hits"))
+    # made by a generator, so that filters on its result stay above it (and do not repeat the scan),
+    # while filters on other columns pass on to the file
+    return d.select(*df.columns, "_raw", F.inline_outer(F.array(F.struct(hits.alias("_hits")))))
 
 
 def matched_values(df: DataFrame, text: str, rules: list[Rule], out: str = "matches") -> DataFrame:
@@ -260,4 +261,4 @@ def scan(
 ) -> DataFrame:
     """One row per finding of ``rules`` (default: all built-in ones) in column ``text``."""
     d = scan_rows(df.select(*keys, text), text, rules, context, "_findings")
-    return d.select(*keys, F.inline(F.array_compact("_findings")))
+    return d.select(*keys, F.inline_outer("_findings")).where("rule_id IS NOT NULL")

@@ -12,8 +12,21 @@ from textguard.operators.providers import PROVIDERS
 RETENTION_DAYS = 7
 
 
+def round_one(x: Column) -> Column:
+    """``x`` rounded to one digit as Python rounds it: by the exact value of the double, ties to even.
+
+    Only where the shortest decimal form of ``x`` ends in a 5 at the second digit does its exact value matter: it may lie a
+    little above or below. Then 20 * x is compared with the odd integer next to it, in two exact parts.
+    """
+    m = F.rint(x * 20)
+    high = x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)
+    off = (high * 20 - m) + (x - high) * 20
+    half = (F.abs(x * 20 - m) < 1e-9) & (F.abs(m % 2) == 1)
+    return F.when(~half | (off == 0), F.bround(x, 1)).when(off < 0, F.round((m - 1) / 20, 1)).otherwise(F.round((m + 1) / 20, 1))
+
+
 def _rate(blocked: Column, requests: Column) -> Column:
-    return F.when(requests > 0, F.bround(blocked / requests * 100, 1)).otherwise(F.lit(0.0))
+    return F.when(requests > 0, round_one(blocked / requests * 100)).otherwise(F.lit(0.0))
 
 
 def _sums() -> list[Column]:

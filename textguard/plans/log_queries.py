@@ -6,14 +6,25 @@ from pyspark.sql import functions as F
 
 from textguard.operators import stats as S
 from textguard.operators.providers import PROVIDERS
-from textguard.operators.ratelimit import offender_sessions, rate_limit, rate_limit_strict
+from textguard.operators.ratelimit import offender_sessions, rate_limit
 from textguard.plans.fixtures import (
     RATE_EVENTS_SQL, RATE_LIMIT, REQUEST_LOG_SQL, rate_events, request_log, sql_list,
 )
 
-# Python and Spark's bround round halves to even; DuckDB has the same in round_even.
-_STATS = """count(*) AS requests, count(*) FILTER (WHERE blocked) AS blocked,
-       round_even(count(*) FILTER (WHERE blocked) / count(*) * 100, 1) AS block_rate_pct,
+def _round_one(x: str) -> str:
+    """``x`` rounded to one digit by the exact value of the double, as in ``stats.round_one``."""
+    m, high = f"round_even({x} * 20, 0)", f"({x} * 134217729.0::DOUBLE - ({x} * 134217729.0::DOUBLE - {x}))"
+    off = f"(({high} * 20 - {m}) + ({x} - {high}) * 20)"
+    return (
+        f"CASE WHEN NOT (abs({x} * 20 - {m}) < 1e-9 AND abs({m} % 2) = 1) OR {off} = 0 THEN round_even({x}, 1) "
+        f"WHEN {off} < 0 THEN round(({m} - 1) / 20, 1) ELSE round(({m} + 1) / 20, 1) END"
+    )
+
+
+_PERCENT = "(count(*) FILTER (WHERE blocked) / count(*) * 100)"
+
+_STATS = f"""count(*) AS requests, count(*) FILTER (WHERE blocked) AS blocked,
+       {_round_one(_PERCENT)} AS block_rate_pct,
        CAST(round_even(sum(latency_ms) / count(*), 0) AS BIGINT) AS avg_latency_ms,
        count(*) FILTER (WHERE status >= 500) AS errors,
        CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
@@ -24,15 +35,18 @@ def _log(operator):
     return lambda spark, sf_dir: operator(request_log(spark, sf_dir))
 
 
-# the counters of a log are judged at a fixed time, here the end of the 29th
-NOW = "2024-01-29 12:00:00"
-
-
 def stats_ttl(spark, sf_dir):
-    d = S.kept_counters(request_log(spark, sf_dir).where(F.col("ts") <= F.lit(NOW + " UTC").cast("timestamp")), F.lit(NOW + " UTC").cast("timestamp"), 1)
+    """Counters of the whole log, judged at its last request; every third client stopped half-way through the month."""
+    log = quiet(request_log(spark, sf_dir))
+    now = log.agg(F.unix_micros(F.max("ts"))).first()[0]
+    d = S.kept_counters(log, F.timestamp_micros(F.lit(now)))
     return d.select("client", "requests", F.unix_micros("last_ts").alias("last_us"))
 
 
+def quiet(log):
+    return log.where((F.col("client") % 3 != 0) | (F.col("ts") < F.lit("2024-01-15 00:00:00 UTC").cast("timestamp")))
+
+
 def _micros(query, *columns):
     def run(spark, sf_dir):
         d = query(spark, sf_dir)
@@ -49,35 +63,21 @@ def _window_sql(slides: int, minutes: int):
     return f"""WITH {REQUEST_LOG_SQL},
 w AS (SELECT *, (epoch_us(ts) // {step} - s) * {step} AS window_start FROM request_log, range({slides}) AS r(s))
 SELECT window_start, provider, count(*) AS requests, count(*) FILTER (WHERE blocked) AS blocked,
-       round_even(count(*) FILTER (WHERE blocked) / count(*) * 100, 1) AS block_rate_pct
+       {_round_one(_PERCENT)} AS block_rate_pct
 FROM w GROUP BY window_start, provider"""
 
 
 RATE_SQL = f"""WITH {RATE_EVENTS_SQL},
 instants AS (SELECT DISTINCT client, ts_ms FROM rate_events),
 counts AS (SELECT client, ts_ms, count(*) OVER (PARTITION BY client ORDER BY ts_ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS in_window FROM instants)
-SELECT event_id, client, ts_ms, in_window, in_window <= {RATE_LIMIT} AS allowed FROM rate_events JOIN counts USING (client, ts_ms)"""
+SELECT event_id, e.client, e.ts_ms, in_window, in_window <= {RATE_LIMIT} AS allowed
+FROM rate_events e JOIN counts c ON e.client IS NOT DISTINCT FROM c.client AND e.ts_ms = c.ts_ms"""
 
 
 def rate_limited(spark, sf_dir):
     return rate_limit(rate_events(spark, sf_dir), RATE_LIMIT)
 
 
-def rate_limited_strict(spark, sf_dir):
-    return rate_limit_strict(rate_events(spark, sf_dir), RATE_LIMIT, "event_id")
-
-
-# Each step looks at the allowed requests so far, so the log of a client is folded in order.
-RATE_STRICT_SQL = f"""WITH {RATE_EVENTS_SQL},
-ordered AS (SELECT client, list({{'id': event_id, 't': ts_ms}} ORDER BY ts_ms, event_id) AS es FROM rate_events GROUP BY client),
-folded AS (SELECT client, es, list_reduce(list_prepend({{'id': CAST(-1 AS BIGINT), 't': CAST(0 AS BIGINT), 'ok': CAST([] AS STRUCT(id BIGINT, t BIGINT)[])}},
-    list_transform(es, lambda e: {{'id': e.id, 't': e.t, 'ok': CAST([] AS STRUCT(id BIGINT, t BIGINT)[])}})),
-    lambda a, e: {{'id': e.id, 't': e.t, 'ok': CASE WHEN len(list_filter(a.ok, lambda x: x.t > e.t - 60000)) < {RATE_LIMIT}
-        THEN list_append(a.ok, {{'id': e.id, 't': e.t}}) ELSE a.ok END}}).ok AS ok FROM ordered),
-passed AS (SELECT unnest(ok).id AS event_id FROM folded)
-SELECT event_id, client, ts_ms, event_id IN (SELECT event_id FROM passed) AS allowed FROM rate_events"""
-
-
 def offenders(spark, sf_dir):
     return offender_sessions(request_log(spark, sf_dir))
 
@@ -105,8 +105,9 @@ def entries():
             log + f"SELECT CASE WHEN grouping(provider) = 1 THEN 'all' ELSE provider END AS provider, {_STATS} FROM request_log GROUP BY ROLLUP (provider)"),
         "stats_ttl": (
             stats_ttl,
-            log + f"SELECT client, count(*) AS requests, epoch_us(max(ts)) AS last_us FROM request_log WHERE ts <= TIMESTAMP '{NOW}' "
-            f"GROUP BY client HAVING max(ts) > TIMESTAMP '{NOW}' - INTERVAL 1 DAY"),
+            log + "SELECT client, count(*) AS requests, epoch_us(max(ts)) AS last_us FROM request_log "
+            "WHERE client % 3 <> 0 OR ts < TIMESTAMP '2024-01-15' GROUP BY client "
+            "HAVING max(ts) > (SELECT max(ts) FROM request_log WHERE client % 3 <> 0 OR ts < TIMESTAMP '2024-01-15') - INTERVAL 7 DAY"),
         "top_blocked": (
             lambda spark, sf_dir: S.top_blocked(request_log(spark, sf_dir), 3),
             log + "SELECT provider, client, count(*) AS blocked, CAST(row_number() OVER (PARTITION BY provider ORDER BY count(*) DESC, client) AS INTEGER) AS place "
@@ -119,6 +120,5 @@ def entries():
         "stats_hourly": (_micros(_log(lambda d: S.windowed(d, "1 hour")), "window_start"), _window_sql(1, 60)),
         "stats_sliding": (_micros(_log(lambda d: S.windowed(d, "1 hour", "15 minutes")), "window_start"), _window_sql(4, 15)),
         "rate_limit": (rate_limited, RATE_SQL),
-        "rate_limit_strict": (rate_limited_strict, RATE_STRICT_SQL),
         "offender_sessions": (_micros(offenders, "session_start", "session_end"), OFFENDERS_SQL),
     }

@@ -281,7 +281,6 @@ def entries():
     out = {
         "norm_invisible": (_normalised(N.strip_invisible), _normalised_sql(f"translate(text, {lit(N.INVISIBLE)}, '')")),
         "norm_bidi": (_normalised(N.strip_bidi), _normalised_sql(f"translate(text, {lit(N.BIDI)}, '')")),
-        "norm_nfkc": (_normalised(lambda t: N.nfkc(N.strip_bidi(N.strip_invisible(t)))), None),
         "norm_confusables": (
             _normalised(N.fold_confusables),
             _normalised_sql(f"translate(text, {lit(''.join(CONFUSABLES))}, {lit(''.join(CONFUSABLES.values()))})"),
