@@ -4,10 +4,11 @@ import re
 
 from textguard.operators.keywords import keyword_findings
 
-KEYWORDS = ["Project Heron", "a.b+c", "(secret) plan", "naïve Ünder", "x", "C-3", "ſtop sign", "$cash", "o'neil [1]", "nothing like it"]
+KEYWORDS = ["Project Heron", "a.b+c", "(secret) plan", "naïve Ünder", "x", "C-3", "ſtop sign", "$cash", "o'neil [1]", "nothing like it",
+            "$$$", "µm", "Kelvin", "--"]
 TEXTS = [
     "the project  heron, no; PROJECT HERON yes", "a.b+c a.bbc", "a (secret) plan: x", "x", "xx x-x", "NAÏVE ÜNDER water, naïveé",
-    "c-3 and C-33", "stop sign", "some$cash here", "O'NEIL [1]a o'neil [1]", "éx x", "", "\U0001f600 x",
+    "c-3 and C-33", "stop sign", "some$cash here", "O'NEIL [1]a o'neil [1]", "éx x", "", "\U0001f600 x", "a$$$b", "$$$", "a $$$", "5 \u03bcm", "\u212aelvin", "$cash", "a--b -- c", "a (secret) plan(secret) plan",
 ]
 
 

@@ -100,6 +100,7 @@ def test_lower_case_for_gates_covers_all_case_pairs(spark):
 @pytest.mark.parametrize("pattern,flags", [
     (r"\bx\w+\b", ""), (r"[\s-]a", ""), (r"[^\w]\d\D\S\W", "i"), (r"\Bb", ""), (r"[]a[&&b]", ""), (r"[^]a]", "m"),
     (r"\b\d{0,3}\b", ""), (r"(?:é|K)\b", "i"), (r"a.b", ""), (r"a.b", "s"), (r"\b[\w.]+@", ""), (r"[a-z]\b.", "i"),
+    (r"(?P<x>a)(?P=x)?", ""), (r"\d{,2}x", ""), (r"(?#note)b", ""), (r"b\Z", ""), (r"\b\d{,2}\b", ""), (r"(?P<long_name>\w)\Z", ""), (r"\U0000006b", "i"),
 ])
 def test_java_form_means_the_same(spark, pattern, flags):
     texts = [
@@ -116,9 +117,9 @@ def test_java_form_means_the_same(spark, pattern, flags):
     assert [r.m for r in got] == want
 
 
-def test_invalid_patterns_are_reported_and_left_out():
+def test_invalid_patterns_are_reported_and_left_out(spark):
     good, bad = company.rules(COMPANY)
-    assert [b[0] for b in bad] == ["CO-8-4"] and len(good) == 15
+    assert [b[0] for b in bad] == ["CO-8-4", "CO-8-6"] and len(good) == 16
     assert company.rules({}) == ([], [])
     good, bad = rejected(cloud.extra_rules(EXTRA_CLOUD))
     assert [r.label for r in good] == ["NORTHWIND_RESOURCE"] and len(bad) == 1

@@ -19,7 +19,7 @@ _BOUNDARY = {
 
 # An atom that always takes word characters, right after or right before a boundary.
 _ATOM = r"(?:\\[dw]|(?<!\\)[A-Za-z0-9_]|\[(?:[A-Za-z0-9](?:-[A-Za-z0-9])?|\\[dw])+\])"
-_WORD_NEXT = re.compile(_ATOM + r"(?!\?|\*|\{0)")
+_WORD_NEXT = re.compile(_ATOM + r"(?!\?|\*|\{0|\{,)")
 _WORD_BEFORE = re.compile(_ATOM + r"(?:\+|\{[1-9]\d*(?:,\d*)?\})?$")
 
 
@@ -32,16 +32,50 @@ def _boundary(before: str, after: str) -> str:
     return _BOUNDARY["b"]
 
 
+_NAMED = re.compile(r"\(\?P<([^>]+)>")
+_REFERENCE = re.compile(r"\(\?P=([^)]+)\)")
+_COMMENT = re.compile(r"\(\?#[^)]*\)")
+_AT_MOST = re.compile(r"\{,(\d+)\}")
+_LONG_POINT = re.compile(r"\\U([0-9a-fA-F]{8})")
+
+
 def java_regex(pattern: str, flags: str = "") -> str:
-    """``pattern`` for Java, with ``flags`` (any of i, m, s) as an inline prefix."""
+    """``pattern`` for Java, with ``flags`` (any of i, m, s) as an inline prefix.
+
+    Groups keep their names in a form Java allows. What has no Java form comes out as it is; ``rules.base.rejected`` finds it.
+    """
     out: list[str] = []
     in_class = False
+    names: dict[str, str] = {}
     i = 0
     while i < len(pattern):
         c = pattern[i]
+        if not in_class:
+            if m := _NAMED.match(pattern, i):
+                out.append(f"(?<{names.setdefault(m[1], f'g{len(names)}')}>")
+                i = m.end()
+                continue
+            if m := _REFERENCE.match(pattern, i):
+                out.append(f"\\k<{names.get(m[1], 'unknown')}>")
+                i = m.end()
+                continue
+            if m := _COMMENT.match(pattern, i):
+                i = m.end()
+                continue
+            if m := _AT_MOST.match(pattern, i):
+                out.append(f"{{0,{m[1]}}}")
+                i = m.end()
+                continue
+        if m := _LONG_POINT.match(pattern, i):
+            out.append(f"\\x{{{m[1]}}}")
+            i = m.end()
+            continue
         if c == "\\" and i + 1 < len(pattern):
             n = pattern[i + 1]
             i += 2
+            if n == "Z" and not in_class:
+                out.append("\\z")
+                continue
             if n in _CLASS:
                 out.append(_CLASS[n] if in_class else f"[{_CLASS[n]}]")
             elif n.lower() in _CLASS and n.isupper():

@@ -44,12 +44,12 @@ def parse_tokens(spark: SparkSession, setting: str) -> DataFrame:
 
 
 def with_mode(requests: DataFrame, header: str, setting: str) -> DataFrame:
-    """Adds ``mode`` (none without a valid token).  The token list is one
-    configuration string, so its side of the join is small by construction."""
+    """Adds ``mode`` (none without a valid token).  The token list comes out of one configuration string;
+    Spark sees its size and chooses the join."""
     tokens = parse_tokens(requests.sparkSession, setting)
     return (
         requests.withColumn("_h", F.sha2(F.trim(header), 256))
-        .join(F.broadcast(tokens), F.col("_h") == F.col("token_hash"), "left")
+        .join(tokens, F.col("_h") == F.col("token_hash"), "left")
         .drop("_h", "token_hash")
         .withColumn("mode", F.coalesce("mode", F.lit("none")))
     )

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.operators.scan import scan
+from textguard.rules import Rule
+
 
 def accuracy(verdicts: DataFrame) -> DataFrame:
     """Hit rate on attacks and false alarms on benign texts, per detector.
@@ -45,3 +48,23 @@ def findings_diff(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFra
     d = both.groupBy(*columns).agg(F.sum("_d").alias("_d")).where(F.col("_d") != 0)
     change = F.when(F.col("_d") > 0, "added").otherwise("removed")
     return d.select(change.alias("change"), *columns, F.abs("_d").alias("n"))
+
+
+def pack_changes(df: DataFrame, keys: list[str], text: str, old: list[Rule], new: list[Rule]) -> DataFrame:
+    """Findings of ``text`` that only one of two packs reports: change, keys, rule_id, occurrence, position, ``n``.
+
+    The texts are scanned once, with the rules of both. A rule in both packs is told by its id and must be the same.
+    Packs whose rules end a detector's scan differently are scanned one by one.
+    """
+    columns = [*keys, "rule_id", "occurrence", "position"]
+
+    def ending(pack):
+        return {r.rule_id for r in pack if r.detector == "toxic" and r.shape == "hidden"}
+
+    if ending(old) != ending(new):
+        return findings_diff(scan(df, keys, text, old), scan(df, keys, text, new), columns)
+    before, after = {r.rule_id for r in old}, {r.rule_id for r in new}
+    both = [*old, *[r for r in new if r.rule_id not in before]]
+    added, removed = sorted(after - before), sorted(before - after)
+    found = scan(df, keys, text, both).where(F.col("rule_id").isin(*added, *removed))
+    return found.groupBy(F.when(F.col("rule_id").isin(*added), "added").otherwise("removed").alias("change"), *columns).agg(F.count(F.lit(1)).alias("n"))

@@ -61,14 +61,23 @@ def explain(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def explain_report(df: DataFrame, keys: list[str], findings: str = "findings") -> DataFrame:
-    """One row per text: verdict, number of findings and the summary sentence."""
+    """One row per text: verdict, number of findings, the summary sentence, and each finding with its sentences."""
     f = F.col(findings)
     blocked = is_blocked(f)
+    listed = F.transform(
+        f,
+        lambda x: F.struct(
+            x["category"].alias("category"), x["severity"].alias("severity"), (x["severity_rank"] >= HIGH).alias("blocked"),
+            explanation(x["category"], x["description"]).alias("explanation"),
+            recommendation(x["category"], x["severity"]).alias("recommendation"),
+        ),
+    )
     return df.select(
         *keys,
         blocked.alias("blocked"),
         F.size(f).alias("finding_count"),
         F.when(blocked, _fill(BLOCKED_SUMMARY, F.size(f).cast("string"))).otherwise(F.lit(PASSED_SUMMARY)).alias("explanation"),
+        listed.alias("findings"),
     )
 
 

@@ -1,7 +1,9 @@
 """Long blocklists: thousands of whole-word keywords against a corpus.
 
-A rule per keyword suits a short list.  For a long one the words of each text are
-joined with the keywords instead, and only the candidates are checked by pattern.
+A rule per keyword suits a short list.  For a long one texts and keywords are cut into words and what
+lies between them.  A whole-word occurrence of a keyword is then a run of equal parts, and the
+longest word of a keyword serves as join key.  Each word of a text takes its neighbours along, as
+many as the longest keyword needs, so the texts themselves never move.
 """
 
 from __future__ import annotations
@@ -9,45 +11,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.functions.columns import running_total
 from textguard.functions.dialect import WORD
 from textguard.functions.normalize import lowered
 
-_WORDS = f"[{WORD}]+"
-_EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+_PARTS = f"[{WORD}]+|[^{WORD}]+"
 _SPECIAL = r"([\\\[\](){}.*+?^$|#&\-])"
+#: A frequent word is dealt out over so many tasks; the keywords are repeated for each.
+SALTS = 16
 
 
-def _words(col: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(lowered(col), F.lit(_WORDS), F.lit(0)))
+def _parts(col: Column) -> Column:
+    return F.regexp_extract_all(col, F.lit(_PARTS), F.lit(0))
 
 
-def _pattern(keyword: Column) -> Column:
-    escaped = F.regexp_replace(keyword, _SPECIAL, r"\\$1")
-    return F.concat(F.lit(f"(?diu){_EDGE}"), escaped, F.lit(_EDGE))
+def _fold(col: Column) -> Column:
+    """One form for strings that differ in case only; upper case first, which joins letters such as U+00B5 and U+03BC."""
+    upper = F.upper(col)
+    return lowered(F.when(F.length(upper) == F.length(col), upper).otherwise(col))
+
+
+def _listed(keywords: DataFrame, column: str) -> DataFrame:
+    """keyword, its folded form, its number of parts, the place of its join part, that part, folded, and whether it has signs at its edges."""
+    parts = keywords.where(F.trim(column) != "").select(F.col(column).alias("keyword")).distinct().select("keyword", _parts(F.col("keyword")).alias("p"))
+    ranked = F.transform("p", lambda x, i: F.struct(x.rlike(f"^[{WORD}]").alias("word"), F.length(x).alias("n"), (-i).alias("i")))
+    best = parts.select("*", (-F.array_max(ranked)["i"]).alias("b"))
+    return best.select(
+        "keyword", _fold(F.col("keyword")).alias("_f"), F.size("p").alias("_k"), "b", _fold(F.get("p", F.col("b"))).alias("_w"),
+        *[(~F.get("p", F.lit(0) if edge == "_first" else F.size("p") - 1).rlike(f"^[{WORD}]")).alias(edge) for edge in ("_first", "_last")],
+    )
 
 
 def keyword_findings(df: DataFrame, key: str, text: str, keywords: DataFrame, column: str = "keyword") -> DataFrame:
     """The first whole-word occurrence of each keyword in each text, ignoring case.
 
-    The longest word of a keyword must occur in the text as a word of its own, so it
-    serves as join key.  Texts meet their candidates in a second join by ``key``;
-    texts without candidates never get there.  Keywords need at least one word character.
+    A keyword without any word character counts where it is all that lies between two words. Blank keywords are
+    left out. Only words with their neighbours are joined (by broadcast if Spark finds the list small), and
+    a word that many texts have is dealt out over tasks.
     """
-    words = _words(F.col(column))
-    longest = F.element_at(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), 1)
-    listed = keywords.select(F.col(column).alias("keyword")).distinct().select("keyword", longest.alias("_w")).where("_w IS NOT NULL")
-    candidates = (
-        df.select(key, F.explode(_words(F.col(text))).alias("_w")).join(listed, "_w").select(key, "keyword")
+    listed = _listed(keywords, column)
+    before, after = listed.agg(F.max("b"), F.max(F.col("_k") - F.col("b") - 1)).first()
+    before, after = before or 0, after or 0
+    cut = df.select(key, _parts(F.col(text)).alias("_p"))
+    cut = cut.select(key, "_p", running_total(F.transform("_p", lambda x: F.length(x))).alias("_e"))
+    # only parts that can be a join key: words, and signs between words
+    places = F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i >= 0) & ~F.get("_p", i).rlike(r"^\s+$"))
+    seen = F.transform(
+        F.when(F.size("_p") > 0, places),
+        lambda i: F.struct(
+            _fold(F.get("_p", i)).alias("_w"), i.alias("i"), F.size("_p").alias("n"), F.least(i, F.lit(before)).alias("at"), (F.get("_e", i) - F.length(F.get("_p", i))).alias("pos"),
+            F.slice("_p", F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)) + after + 1).alias("near"),
+        ),
     )
-    return (
-        df.select(key, text)
-        .join(candidates, key)
-        .select(key, "keyword", F.col(text).alias("_t"), _pattern(F.col("keyword")).alias("_p"))
-        .where(F.expr("_t RLIKE _p"))
-        .select(
-            key, "keyword",
-            F.expr("concat('[KEYWORD: ', regexp_extract(_t, _p, 0), ']')").alias("matched_pattern"),
-            F.expr("length(element_at(split(_t, _p, 2), 1))").alias("position"),
-        )
+    words = cut.select(key, F.explode(seen).alias("x")).select(key, "x.*")
+    words = words.withColumn("_salt", F.pmod(F.xxhash64(key, "pos"), F.lit(SALTS)).cast("int"))
+    salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    run = F.slice("near", F.greatest(F.col("at") - F.col("b"), F.lit(0)) + 1, F.col("_k"))
+    start = F.col("i") - F.col("b")
+    # a sign at an edge needs a word beyond it
+    whole = (~F.col("_first") | (start > 0)) & (~F.col("_last") | (start + F.col("_k") < F.col("n")))
+    met = words.join(salted, ["_w", "_salt"]).where((F.col("at") >= F.col("b")) & whole).select(
+        key, "keyword", "_f", F.array_join(run, "").alias("m"),
+        (F.col("pos") - F.coalesce(F.aggregate(F.slice("near", F.col("at") - F.col("b") + 1, F.col("b")), F.lit(0), lambda a, x: a + F.length(x)), F.lit(0))).alias("position"),
     )
-
+    # the fold joins a few letters more than a caseless match does
+    pattern = F.concat(F.lit("(?diu)^"), F.regexp_replace("keyword", _SPECIAL, r"\\$1"), F.lit("$"))
+    same = met.where(_fold(F.col("m")) == F.col("_f")).withColumn("_r", pattern).where(F.expr("m RLIKE _r"))
+    first = same.groupBy(key, "keyword").agg(F.min(F.struct("position", "m")).alias("x"))
+    return first.select(key, "keyword", F.concat(F.lit("[KEYWORD: "), F.col("x.m"), F.lit("]")).alias("matched_pattern"), F.col("x.position").alias("position"))

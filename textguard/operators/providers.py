@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Providers in reporting order, models used when a request names none.
+# Providers in reporting order.
 PROVIDERS = (
     "openai", "anthropic", "bedrock", "azure", "ollama",
     "gemini", "groq", "mistral", "cohere", "deepseek",
 )
-GEMINI_MODEL = "gemini-2.0-flash"
-COHERE_MODEL = "command-r-plus-08-2024"
+# By provider, the model of a request that names none, prefixes of model names, and the temperature.
+DEFAULTS = {
+    "gemini": ("gemini-2.0-flash", ("google/", "gemini/"), 1.0),
+    "cohere": ("command-r-plus-08-2024", ("cohere/",), 0.3),
+}
+MAX_TOKENS = 4096
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -58,6 +62,23 @@ def to_cohere(messages: Column) -> Column:
     )
 
 
+def request_settings(provider: Column, payload: Column) -> Column:
+    """Struct of model, max_tokens and temperature that a chat request becomes for Gemini and Cohere; NULL for other providers."""
+    doc = F.try_parse_json(payload)
+    out = F.lit(None)
+    for name, (model, prefixes, temperature) in DEFAULTS.items():
+        named = F.coalesce(F.try_variant_get(doc, "$.model", "string"), F.lit(model))
+        for prefix in prefixes:
+            named = F.replace(named, F.lit(prefix), F.lit(""))
+        settings = F.struct(
+            named.alias("model"),
+            F.coalesce(F.try_variant_get(doc, "$.max_tokens", "long"), F.lit(MAX_TOKENS)).alias("max_tokens"),
+            F.coalesce(F.try_variant_get(doc, "$.temperature", "double"), F.lit(temperature)).alias("temperature"),
+        )
+        out = F.when(provider == name, settings).otherwise(out)
+    return out
+
+
 def normalized_response(provider: Column, payload: Column) -> Column:
     """Struct of text, input and output tokens from a Gemini, Cohere, Anthropic or
     OpenAI-shaped response. All texts of an answer are read, one per line: every part, text block and choice."""

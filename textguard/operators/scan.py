@@ -7,6 +7,8 @@ which regexes run at all; extraction happens only for rules that match.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from textguard.functions.columns import constant, running_total
 from textguard.functions.dialect import java_regex
 from textguard.functions.normalize import clean, fold_confusables, is_ascii, lowered
 from textguard.functions.validators import VALIDATORS
-from textguard.rules import Rule, rule_pack
+from textguard.rules import Rule, rejected, rule_pack
 from textguard.rules.jailbreak import MANY_SHOT_PAIR, MANY_SHOT_PAIRS, MANY_SHOT_WORDS
 
 HIT = "struct<rule:int,matches:array<string>,gaps:array<int>,note:int>"
@@ -188,6 +190,10 @@ def _located(rules: list[Rule]):
 
 def with_hits(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     """``df`` plus ``_raw`` and ``_hits``, the array of rules that match each row."""
+    # a pattern made without a session may turn out to have no Java form: such a rule matches nothing
+    own = [r for r in rules if r.origin == "configured"]
+    usable = set(rejected(own)[0]) if own else set()
+    rules = [r if r.origin != "configured" or r in usable else replace(r, regex="(?!)", needs="") for r in rules]
     gates = _Gates(rules)
     d = _prepared(df, text, rules, df.columns)
     d = d.select("*", *gates.expressions())

@@ -6,6 +6,8 @@ lookahead rules out (or check the groups afterwards), then match the rest.
 
 from __future__ import annotations
 
+import re
+
 from textguard.plans.fixtures import lit
 from textguard.rules import Rule
 from textguard.rules.injection import BASE64_KEYWORDS
@@ -29,6 +31,9 @@ HIDDEN = {
 
 def _flagged(rule: Rule, regex: str | None = None) -> str:
     regex = rule.regex if regex is None else regex
+    if rule.origin == "configured":
+        # forms of Python that RE2 spells differently
+        regex = re.sub(r"\(\?#[^)]*\)", "", re.sub(r"\{,(\d+)\}", r"{0,\1}", regex)).replace(r"\Z", r"\z")
     return f"(?{rule.flags}:{regex})" if rule.flags else f"(?:{regex})"
 
 

@@ -31,6 +31,8 @@ COMPANY = {
         {"pattern": r"TCK-[0-9]{6}", "label": "Ticket", "severity": "low"},
         {"pattern": r"PAYROLL-[0-9]+", "label": "payroll", "severity": "unheard-of"},
         {"pattern": r"broken(", "label": "Broken", "severity": "high"},
+        {"pattern": r"(?P<team>NWT)-\d{,3}(?#ticket)\Z", "label": "Team", "severity": "low"},
+        {"pattern": r"(?(1)a|b)(c)?", "label": "No Java form", "severity": "low"},
     ],
 }
 EXTRA_CLOUD = [(r"\bNWC-\d{6}\b", "NORTHWIND_RESOURCE"), (r"bad[", "BAD")]
@@ -47,6 +49,8 @@ EXTRA_LINES = [
     "account 111122223333 in northwind-prod",
     "subscription 0A1B2C3D-0000-1111-2222-333344445555",
     "employee nw-12345 and customer cus-AB12CD34",
+    "seen by nwt-42",
+    "seen by nwt-42 twice",
     "the Project Heron and the harbor plan, PO-2024-AB, TCK-123456, payroll-77",
     "resource NWC-123456 is down",
     "card 2345 6789 0123 and 4532 0151 1283 0366, call +91 9876543210 or +1 415 555 0134",

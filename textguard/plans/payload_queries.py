@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textguard.operators import payload as P
 from textguard.operators.pii import mask_response
-from textguard.operators.providers import normalized_response, to_cohere, to_gemini
+from textguard.operators.providers import normalized_response, request_settings, to_cohere, to_gemini
 from textguard.plans.decision_queries import messages, messages_sql
 from textguard.plans.fixtures import texts_sql
 from textguard.plans.text_queries import masked_sql
@@ -220,8 +220,29 @@ SELECT conv_id, turn, 'user=Hello|model=Hi, turn ' || turn || '|user=' || text A
 FROM m"""
 
 
+SETTINGS = ['{"messages":[]}', '{"model":"google/gemini-x","max_tokens":64}', '{"model":"cohere/c-1","temperature":0.7}']
+
+
+def provider_settings(spark, sf_dir):
+    """What requests with and without settings of their own become for two providers."""
+    payload = F.get(F.array(*[F.lit(s) for s in SETTINGS]), ((F.col("conv_id") + F.col("turn")) % 3).cast("int"))
+    provider = F.get(F.array(F.lit("gemini"), F.lit("cohere"), F.lit("groq")), (F.col("conv_id") % 3).cast("int"))
+    d = messages(spark, sf_dir).select("conv_id", "turn", provider.alias("provider"), request_settings(provider, payload).alias("s"))
+    return d.select("conv_id", "turn", "provider", "s.*")
+
+
+SETTINGS_SQL = """SELECT conv_id, turn, provider,
+  CASE WHEN provider = 'groq' THEN NULL WHEN k = 0 THEN CASE provider WHEN 'gemini' THEN 'gemini-2.0-flash' ELSE 'command-r-plus-08-2024' END
+       WHEN k = 1 THEN CASE provider WHEN 'gemini' THEN 'gemini-x' ELSE 'google/gemini-x' END
+       ELSE CASE provider WHEN 'gemini' THEN 'cohere/c-1' ELSE 'c-1' END END AS model,
+  CASE WHEN provider <> 'groq' THEN CASE k WHEN 1 THEN 64 ELSE 4096 END END::BIGINT AS max_tokens,
+  CASE WHEN provider <> 'groq' THEN CASE WHEN k = 2 THEN 0.7 WHEN provider = 'gemini' THEN 1.0 ELSE 0.3 END END::DOUBLE AS temperature
+FROM (SELECT conv_id, turn, (['gemini', 'cohere', 'groq'])[CAST(conv_id % 3 AS INT) + 1] AS provider, (conv_id + turn) % 3 AS k FROM conversations)"""
+
+
 def entries():
     return {
+        "provider_settings": (provider_settings, SETTINGS_SQL),
         "extract_request": (extract_request, EXTRACT_REQUEST_SQL),
         "extract_request_stream": (extract_request_stream, EXTRACT_STREAM_SQL),
         "flatten_content": (flatten_content, FLATTEN_SQL),

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from textguard.operators.providers import PROVIDERS
 from textguard.operators.scan import scan_rows
 from textguard.operators.stats import windowed
-from textguard.plans.decision_queries import messages, messages_sql
+from textguard.plans.decision_queries import BLOCKING, messages, messages_sql
 from textguard.plans.finding_sql import COLUMNS, findings_sql
-from textguard.plans.fixtures import PROVIDER_LIST, pack, request_log, texts_sql
+from textguard.plans.fixtures import PROVIDER_LIST, pack, request_log, sql_list, texts_sql
 from textguard.plans.log_queries import _window_sql
 from textguard.plans.payload_queries import quoted
-from textguard.rules import rule_pack
+from textguard.rules import SEVERITIES, rule_pack
 from textguard.sources.shared import shared_folder
 from textguard.streaming.assemble import DONE, assemble
-from textguard.streaming.jobs import run_available, stream_findings, stream_response_scan
+from textguard.streaming.jobs import run_available, stream_audit, stream_findings, stream_response_scan
 
 FINDING_LIST = [c.strip() for c in COLUMNS.split(",")]
 START = "2024-01-01 00:00:00 UTC"
@@ -48,7 +48,15 @@ def chunks(spark, sf_dir):
         .otherwise(F.concat(F.lit('{"response":'), text, F.lit("}")))
     )
     ts = F.timestamp_millis(F.unix_millis(F.lit(START).cast("timestamp")) + F.col("request_id") + F.col("seq"))
-    return d.select("request_id", "provider", F.col("seq").cast("long").alias("seq"), ts.alias("ts"), data.alias("data"))
+    out = d.select("request_id", "provider", (F.col("seq") * 2).cast("long").alias("seq"), ts.alias("ts"), data.alias("data"))
+    # Anthropic reports usage at the start and before the end
+    usage = F.array(
+        F.struct(F.lit(-1).cast("long").alias("seq"), F.lit('{"type":"message_start","message":{"usage":{"input_tokens":12}}}').alias("data")),
+        F.struct((n * 2 - 1).cast("long").alias("seq"), F.concat(F.lit('{"type":"message_delta","usage":{"output_tokens":'), n.cast("string"), F.lit("}}")).alias("data")),
+    )
+    first = F.timestamp_millis(F.unix_millis(F.lit(START).cast("timestamp")) + F.col("request_id"))
+    extra = m.where(F.col("provider") == "anthropic").select("request_id", "provider", first.alias("ts"), F.inline(usage))
+    return out.unionByName(extra)
 
 
 _ASSEMBLED = f"""answers AS MATERIALIZED (
@@ -70,8 +78,8 @@ def stream_usage(spark, sf_dir):
 
 _DELTA = "provider IN ('openai', 'azure', 'groq', 'mistral', 'deepseek')"
 USAGE_SQL = f"""WITH {messages_sql()}{_ASSEMBLED}
-SELECT request_id, provider, CAST(CASE WHEN {_DELTA} THEN 11 ELSE 0 END AS BIGINT) AS input_tokens,
-       CAST(CASE WHEN {_DELTA} THEN n ELSE 0 END AS BIGINT) AS output_tokens FROM answers"""
+SELECT request_id, provider, CAST(CASE WHEN {_DELTA} THEN 11 WHEN provider = 'anthropic' THEN 12 ELSE 0 END AS BIGINT) AS input_tokens,
+       CAST(CASE WHEN {_DELTA} OR provider = 'anthropic' THEN n ELSE 0 END AS BIGINT) AS output_tokens FROM answers"""
 
 
 def scan_assembled(spark, sf_dir):
@@ -123,6 +131,30 @@ STREAM_FINDINGS_SQL = (
 )
 
 
+def audit_of_stream(spark, sf_dir):
+    """Audit entries of the conversations read as a stream."""
+    folder = shared_folder(spark)
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    provider = F.get(F.array(*[F.lit(p) for p in PROVIDERS]), ((F.col("conv_id") + F.col("turn")) % 10).cast("int"))
+    stream = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), provider.alias("provider"), F.col("turn").alias("latency_ms"), "text")
+    )
+    run_available(stream_audit(stream, "text"), f"{folder}/audit", f"{folder}/checkpoint")
+    listed = F.transform("findings", lambda f: F.concat_ws("|", f["category"], f["severity"], f["pattern_hash"]))
+    return spark.read.parquet(f"{folder}/audit").withColumn("findings", F.array_join(listed, ";"))
+
+
+STREAM_AUDIT_SQL = (
+    f"WITH numbered AS (SELECT conv_id * 1000 + turn AS msg_id, ({PROVIDER_LIST})[CAST((conv_id + turn) % 10 AS INT) + 1] AS provider, turn, text FROM conversations),\n"
+    f"{texts_sql('numbered', 'msg_id')},\n{findings_sql(rule_pack(), 'msg_id')}\n"
+    f"SELECT msg_id AS request_id, any_value(provider) AS provider, coalesce(bool_or({BLOCKING}), false) AS blocked, any_value(turn) AS latency_ms, "
+    f"coalesce(({sql_list(SEVERITIES)})[max(severity_rank) + 1], 'none') AS max_severity, CAST(count(rule_id) AS INTEGER) AS finding_count, "
+    "coalesce(string_agg(concat_ws('|', category, severity, substr(sha256(matched_pattern), 1, 16)), ';' ORDER BY ord, occurrence) FILTER (WHERE rule_id IS NOT NULL), '') AS findings "
+    "FROM numbered LEFT JOIN findings USING (msg_id) GROUP BY msg_id"
+)
+
+
 def stream_stats(spark, sf_dir):
     """Hourly statistics of the request log read as a stream, ten minutes of lateness allowed."""
     folder = shared_folder(spark)
@@ -146,5 +178,6 @@ def entries():
         "scan_assembled": (scan_assembled, SCAN_SQL),
         "stream_scan": (stream_scan, SCAN_SQL),
         "stream_findings": (findings_of_stream, STREAM_FINDINGS_SQL),
+        "stream_audit": (audit_of_stream, STREAM_AUDIT_SQL),
         "stream_stats": (stream_stats, _window_sql(1, 60)),
     }

@@ -8,7 +8,7 @@ from textguard.functions import normalize as N
 from textguard.functions.dialect import java_regex
 from textguard.functions.validators import aadhaar, luhn, public_ip
 from textguard.operators.corpus import scan_distinct
-from textguard.operators.evaluate import findings_diff
+from textguard.operators.evaluate import pack_changes
 from textguard.operators.keywords import keyword_findings
 from textguard.operators.pii import exposure, mask, pii_values
 from textguard.operators.scan import scan
@@ -146,9 +146,7 @@ def rulepack_diff(spark, sf_dir):
     """What a planned pack (company rules, no low-severity rules) changes against the built-in one."""
     d = planted(spark, sf_dir)
     new_rules = [r for r in full_pack() if r.severity != "low"]
-    old = scan(d, ["doc_id"], "text", rule_pack())
-    new = scan(d, ["doc_id"], "text", new_rules)
-    diff = findings_diff(old, new, ["doc_id", "rule_id", "occurrence", "position"])
+    diff = pack_changes(d, ["doc_id"], "text", rule_pack(), new_rules)
     return diff.groupBy("change", "rule_id").agg(F.sum("n").alias("n_findings"))
 
 
@@ -168,28 +166,37 @@ def rulepack_diff_sql():
 
 
 def _keywords(spark, sf_dir):
-    """A blocklist out of the tables: the first three words of each benchmark passage,
+    """A blocklist out of the tables: all runs of three words of the benchmark passages,
     all nation names, and the company's keywords."""
-    opening = F.array_join(F.slice(F.split(F.regexp_replace("text", r"[\n.,]", " "), " +"), 1, 3), " ")
-    passages = table(spark, sf_dir, "benchmark").select(opening.alias("keyword"))
+    words = F.filter(F.split(F.regexp_replace("text", r"[\n.,]", " "), " +"), lambda w: w != "")
+    starts = F.when(F.size("w") >= 3, F.sequence(F.lit(1), F.size("w") - 2))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))
+    passages = table(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.explode(runs).alias("keyword"))
     nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("keyword"))
-    own = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in COMPANY["blocked_keywords"]])).alias("keyword"))
+    own = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in [*COMPANY["blocked_keywords"], *SIGNS]])).alias("keyword"))
     return passages.unionByName(nations).unionByName(own)
 
 
+# Keywords that have no word character, or letters with two forms.
+SIGNS = ["$$$", " = ", "\u00b5m"]
+
+
 def blocked_keywords(spark, sf_dir):
     return keyword_findings(planted(spark, sf_dir), "doc_id", "text", _keywords(spark, sf_dir))
 
 
 KEYWORDS_SQL = f"""WITH {planted_sql()},
 keywords AS (SELECT DISTINCT keyword FROM (
-  SELECT array_to_string(string_split_regex(regexp_replace(text, '[\\n.,]', ' ', 'g'), ' +')[1:3], ' ') AS keyword FROM benchmark
-  UNION ALL SELECT n_name FROM nation UNION ALL SELECT unnest({sql_list(COMPANY["blocked_keywords"])}))),
-pairs AS (SELECT doc_id, text, keyword, '(?s)^(|.*?[^\\pL\\pN_])((?i:' || regexp_escape(keyword) || '))(?:[^\\pL\\pN_]|$)' AS p
-          FROM planted CROSS JOIN keywords WHERE contains(lower(text), lower(keyword)))
-SELECT doc_id, keyword, '[KEYWORD: ' || regexp_extract(text, p, 2) || ']' AS matched_pattern,
-       CAST(length(regexp_extract(text, p, 1)) AS INTEGER) AS position
-FROM pairs WHERE regexp_matches(text, p)"""
+  SELECT unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) AS keyword
+  FROM (SELECT list_filter(string_split_regex(regexp_replace(text, '[\\n.,]', ' ', 'g'), ' +'), lambda x: x <> '') AS w FROM benchmark)
+  UNION ALL SELECT n_name FROM nation UNION ALL SELECT unnest({sql_list([*COMPANY["blocked_keywords"], *SIGNS])}))),
+pairs AS (SELECT doc_id, text, keyword,
+          '(?s)^(|.*?' || CASE WHEN regexp_matches(keyword, '^[\\pL\\pN_]') THEN '[^\\pL\\pN_]' ELSE '[\\pL\\pN_]' END || ')((?i:' || regexp_escape(keyword) || '))'
+          || CASE WHEN regexp_matches(keyword, '[\\pL\\pN_]$') THEN '(?:[^\\pL\\pN_]|$)' ELSE '[\\pL\\pN_]' END AS p
+          FROM planted CROSS JOIN keywords WHERE contains(lower(text), lower(keyword))),
+found AS (SELECT *, regexp_extract(text, p, 1) AS head FROM pairs WHERE regexp_matches(text, p))
+SELECT doc_id, keyword, '[KEYWORD: ' || regexp_extract(text, p, 2) || ']' AS matched_pattern, CAST(length(head) AS INTEGER) AS position
+FROM found WHERE head <> '' OR regexp_matches(keyword, '^[\\pL\\pN_]')"""
 
 
 # ---- personal data -------------------------------------------------------------

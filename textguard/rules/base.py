@@ -13,6 +13,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
+from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from textguard.functions.dialect import java_regex
+
 # Severities in rising order, detectors in reporting order.
 SEVERITIES = ("low", "medium", "high", "critical")
 DETECTORS = (
@@ -81,13 +87,38 @@ def numbered(rules: list[Rule]) -> list[Rule]:
     return out
 
 
+# Groups that test another group, and flags that change what letters and digits are, have no Java form.
+_NO_JAVA_FORM = re.compile(r"(?<!\\)(?:\\\\)*\(\?(?:\(|[imsx]*[aLu])")
+
+
+def _refused(patterns: list[str]) -> dict[str, str]:
+    """Patterns that Spark's own matcher does not take, with the reason. Without a session it is not asked; a scan asks again."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or not patterns:
+        return {}
+
+    def reason(some: list[str]) -> str:
+        try:
+            spark.range(1).select(*[F.rlike(F.lit(""), F.lit(p)) for p in some]).collect()
+        except PySparkException as e:
+            return str(e).split("\n")[0]
+        return ""
+
+    return {p: r for p in patterns if (r := reason([p]))} if reason(patterns) else {}
+
+
 def rejected(rules: list[Rule]) -> tuple[list[Rule], list[tuple[str, str]]]:
-    """Split rules into usable ones and (rule_id, reason) for invalid regexes."""
+    """Split rules into usable ones and (rule_id, reason) for regexes that Python or Spark's matcher does not take."""
     good, bad = [], []
     for r in rules:
         try:
             r.compiled()
+            if _NO_JAVA_FORM.search(r.regex):
+                raise re.error("no form in Java")
             good.append(r)
-        except re.error as e:
+        except (re.error, OverflowError, RecursionError) as e:
             bad.append((r.rule_id, str(e)))
-    return good, bad
+    java = {r.rule_id: java_regex(r.regex, r.flags) for r in good}
+    refused = _refused(list(java.values()))
+    bad += [(r.rule_id, refused[java[r.rule_id]]) for r in good if java[r.rule_id] in refused]
+    return [r for r in good if java[r.rule_id] not in refused], bad

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_texts(spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None, **options) -> DataFrame:
-    """A table of texts from parquet, orc, json, csv or text files (by ending, or ``fmt``)."""
+def read_texts(
+    spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None, multi_line: bool = False, **options
+) -> DataFrame:
+    """A table of texts from parquet, orc, json, csv or text files (by ending, or ``fmt``).
+
+    ``multi_line`` reads CSV fields with line breaks; such a file cannot be split, so it is off by default.
+    """
     fmt = fmt or next((f for f in ("parquet", "orc", "json", "csv") if path.rstrip("/").endswith(f)), "parquet")
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        reader = reader.options(header=True, multiLine=multi_line, escape='"')
     return (reader.schema(schema) if schema else reader).load(path)
 
 

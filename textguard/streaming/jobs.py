@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from textguard.operators.audit import audit_rows
+from textguard.operators.decide import is_blocked
 from textguard.operators.scan import scan, scan_rows
 from textguard.rules import Rule, rule_pack
 from textguard.streaming.assemble import assemble_stream
@@ -16,6 +18,13 @@ def stream_findings(texts: DataFrame, keys: list[str], text: str, rules: list[Ru
     return scan(texts, keys, text, rules)
 
 
+def stream_audit(requests: DataFrame, text: str, rules: list[Rule] | None = None) -> DataFrame:
+    """Audit entries of a stream of requests (request_id, provider, latency_ms and the text). Stateless."""
+    d = scan_rows(requests, text, rules)
+    d = d.select("*", is_blocked(F.col("findings")).alias("blocked"))
+    return audit_rows(d, "request_id", "provider", "blocked", "latency_ms")
+
+
 def stream_response_scan(chunks: DataFrame) -> DataFrame:
     """Personal data in streamed responses, reported once each response has ended.
 
