@@ -59,6 +59,7 @@ def rules(config: dict) -> tuple[list[Rule], list[tuple[str, str]]]:
         rows.append(Rule(f"{code}-{n}", "company", regex, desc, severity, confidence, "pii_input",
                          flags=flags, label=label, shape=shape, needs=needs, origin="configured"))
 
+    # The patterns around configured values, and their severities and confidences.
     domains = [str(d) for d in company.get("internal_domains", [])]
     for d in domains:
         add("CO-1", r"[\w._%+\-]+@" + re.escape(d), f"Internal company email ({d})", "high", "INTERNAL_EMAIL", needs=_literal_need(d))

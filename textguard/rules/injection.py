@@ -117,6 +117,7 @@ TELUGU = [
     ("INJ-TE05", r"సూచనలను\s+విస్మరించు", "Telugu injection: ignore instructions", "సూచనల", "సూచనలను విస్మరించు", "సూచనలను చదువు"),
 ]
 
+# The encoded-payload check, and the least confidence that blocks.
 BASE64_KEYWORDS = ("ignore", "instructions", "system", "forget", "override", "act as")
 BASE64_RUN = r"[A-Za-z0-9+/]{64,}={0,2}"
 THRESHOLD = 0.75
@@ -139,7 +140,7 @@ def rules() -> list[Rule]:
         for group, severity, conf, flags in GROUPS
         for rid, regex, desc, needs, hit, miss in group
     ]
-    # the encoded-payload check is found by its own expression, see match.base64_finding
+    # matched like personal data, every run of it; ``validators.base64_payload`` then decodes each
     rows.append(
         Rule("INJ-B64", "injection", BASE64_RUN, "Base64-encoded injection payload detected",
              "critical", 0.90, "prompt_injection", column="clean", shape="blob30", needs=r"re:\S{64}",

@@ -53,6 +53,7 @@ MEDIUM = [
      "continue or complete & harmful or dangerous or illegal or unethical", "complete the following illegal plan", "complete the following form"),
 ]
 
+# Look-alike letters and what they stand for.
 CONFUSABLES = {
     "ι": "i",
     "і": "i",
@@ -62,6 +63,7 @@ CONFUSABLES = {
     "һ": "h",
 }
 
+# The many-shot check.
 MANY_SHOT_PAIR = r"(?:User|Human|Q)\s*:.{5,300}?(?:Assistant|AI|A)\s*:\s*(?:Sure|Of course|Certainly|Yes|Happy to|Absolutely|Here'?s?)"
 MANY_SHOT_WORDS = (
     "how to make", "how to build", "how to create", "step by step",

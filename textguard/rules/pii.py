@@ -38,6 +38,7 @@ PATTERNS = [
      "+", "dial +1 415 555 0134 please", "dial 415-555 please"),
 ]
 
+# Fixed value: addresses that are not reported.
 PRIVATE_IP = r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|127\.|::1|localhost)"
 
 
