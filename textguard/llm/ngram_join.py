@@ -19,6 +19,7 @@ Links are exact and complete between classes of connected sets: no cap on partne
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ RARE = 16
 CLASS = 4
 #: A prefix by hash is longer by this percentage of the set.
 EXTRA = 5
+#: Pairs for each set that are few enough to compare at once.
+ENOUGH = 4
 #: Rounds of comparing a group with one of its members, before all that is still apart is compared.
 ROUNDS = 12
 
@@ -160,70 +163,70 @@ def _keyed(rows: DataFrame, percent: int) -> DataFrame:
                 tokens = np.array([x["token"] for x in shared], np.int64)
                 counts = np.array([x["n_sets"] for x in shared], np.int64)
                 keys = signatures(n, tokens, counts, percent)
-                yield pd.DataFrame({"key": keys, "sid": np.full(len(keys), sid), "n": np.full(len(keys), n)})
+                # how far the set lies among others: tokens that many sets have, for each of its own
+                middle = float(counts.sum()) / n
+                yield pd.DataFrame({"key": keys, "sid": np.full(len(keys), sid), "n": np.full(len(keys), n), "middle": np.full(len(keys), middle)})
 
-    return rows.mapInPandas(run, "key long, sid long, n long")
+    return rows.mapInPandas(run, "key long, sid long, n long, middle double")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b, ca, cb) those that are similar enough, as links between ca and cb."""
+    """Of distinct pairs (a, b, ca, cb) those that are similar enough."""
     one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     met = pairs.join(one, "a").join(two, "b")
-    return met.where(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return met.where(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b", "ca", "cb")
 
 
-def _connect(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``sid``, ``comp`` for the sets that share a key with another and have a link."""
-    entries = stored(entries.withColumn("comp", F.col("sid")))
-    n_entries = entries.count()
+def _connect(entries: DataFrame, sets: DataFrame, percent: int, n_sets: int) -> DataFrame:
+    """``sid``, ``comp`` for the sets that share a key (key, sid, n, middle) with another and have a link.
+
+    In a round every group whose members are not known to be connected is compared with one member; groups
+    in which hardly more pairs than members are still apart are compared in full and are then done, and so are all
+    groups once their pairs together are in proportion to the number of sets. What rounds know of connections
+    may lag behind, which only costs comparisons; the components come from all links at the end.
+    """
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("ca") != F.col("cb"))
-    moves = []
+    entries, links = entries.withColumn("comp", F.col("sid")), []
     for round_ in range(ROUNDS + 1):
-        by_comp = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        top = F.max(F.struct("n", "comp"))["comp"].alias("main")
+        # first the member in the middle of its like, which has most links; then any
+        first = F.xxhash64("sid", F.lit(round_)) if round_ else -F.col("middle")
+        member = F.struct(first.alias("h"), "sid", "n", "comp")
+        by_comp = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(member).alias("p"))
         groups = by_comp.groupBy("key").agg(
-            F.sum("n").alias("m"), F.count(F.lit(1)).alias("comps"), top, F.sum(F.col("n") * F.col("n")).alias("square")
+            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("square"), F.count(F.lit(1)).alias("comps"),
+            F.max(F.struct("c", "comp"))["comp"].alias("main"), F.min("p").alias("p"),
         )
-        groups = stored(groups.where("comps > 1").select("key", "m", "main", "square"))
-        apart = groups.agg(F.sum((F.col("m") * F.col("m") - F.col("square")) / 2)).first()[0] or 0
-        if not apart:
+        apart = ((F.col("m") * F.col("m") - F.col("square")) / 2).alias("apart")
+        groups = stored(groups.where("comps > 1").select("key", "m", "main", apart, "p.sid", "p.n", "p.comp").toDF(
+            "key", "m", "main", "apart", "p_sid", "p_n", "p_comp"))
+        total = groups.agg(F.sum("apart")).first()[0]
+        if not total:
             break
-        last = apart <= n_entries or round_ == ROUNDS
-        # members of groups that are not connected yet
+        full = F.lit(True) if round_ == ROUNDS or total <= ENOUGH * n_sets else F.col("apart") <= 2 * F.col("m")
+        groups = groups.withColumn("full", full).drop("apart")
         open_ = stored(join_groups(entries, groups, ["key"], "m", F.col("sid")).where("m IS NOT NULL"))
-        if last:
-            rest = open_.where("comp <> main").select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("main").alias("_m"))
-            other = open_.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = rest.join(other, "key").where(near & ((F.col("cb") == F.col("_m")) | (F.col("a") < F.col("b"))))
-        else:
-            # the member with the smallest hash of this round, against all others
-            first = F.min(F.struct(F.xxhash64("sid", F.lit(round_)).alias("h"), "sid", "n", "comp")).alias("p")
-            pivots = open_.groupBy("key").agg(first, F.count(F.lit(1)).alias("w"))
-            pivots = stored(pivots.select("key", F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"), "w"))
-            members = open_.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = join_groups(members, pivots, ["key"], "w", F.col("b")).where(near)
-        pairs = stored(pairs.select("a", "b", "ca", "cb").distinct())
-        links = stored(_linked(pairs, sets, percent))
-        if not links.isEmpty():
-            roots = components(links)
-            moves.append(roots)
-            entries = stored(_moved(entries, roots))
-        if last:
-            break
-    nodes = stored(entries.select("sid").distinct().withColumn("comp", F.col("sid")))
-    for roots in moves:
-        nodes = _moved(nodes, roots)
-    return nodes
-
-
-def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``comp`` replaced by its new root."""
-    sizes = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("_w"))
-    known = stored(sizes.join(roots.withColumnRenamed("node", "comp"), "comp"))
-    out = join_groups(rows, known.select("comp", "root", "_w"), ["comp"], "_w", F.col("sid"))
-    return out.withColumn("comp", F.coalesce("root", "comp")).drop("root", "_w")
+        member = [F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")]
+        star = open_.where("NOT full").select(F.col("p_sid").alias("a"), F.col("p_n").alias("na"), F.col("p_comp").alias("ca"), *member)
+        rest = open_.where("full AND comp <> main").select(
+            "key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("main").alias("_m"))
+        rest = rest.join(open_.where("full").select("key", *member), "key").where((F.col("cb") == F.col("_m")) | (F.col("a") < F.col("b")))
+        pairs = star.unionByName(rest.select(star.columns)).where(near)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb").dropDuplicates(["a", "b"])
+        found = stored(_linked(pairs, sets, percent))
+        links.append(found.select("a", "b"))
+        # each component joins the smallest one it has a link to, and that one's smallest
+        ends = found.select(F.col("ca").alias("comp"), F.col("cb").alias("to")).unionByName(found.select(F.col("cb").alias("comp"), F.col("ca").alias("to")))
+        least = stored(ends.groupBy("comp").agg(F.least(F.min("to"), F.col("comp")).alias("to")))
+        further = least.select(F.col("comp").alias("to"), F.col("to").alias("further"))
+        moved = least.join(further, "to", "left").select("comp", F.coalesce("further", "to").alias("root"))
+        entries = open_.where("NOT full").select("key", "sid", "n", "middle", "comp").join(moved, "comp", "left")
+        entries = stored(entries.select("key", "sid", "n", "middle", F.coalesce("root", "comp").alias("comp")))
+    if not links:
+        return entries.select("sid", "comp").where(F.lit(False))
+    found = components(reduce(DataFrame.unionByName, links))
+    return found.select(F.col("node").alias("sid"), F.col("root").alias("comp"))
 
 
 def near_duplicates(
@@ -268,7 +271,7 @@ def near_duplicates(
     entries = join_groups(entries, several, ["key"], "w", F.col("sid")).where("w IS NOT NULL").drop("w")
 
     # 3: links and components
-    nodes = _connect(entries, whole, percent)
+    nodes = _connect(entries, whole, percent, sets.count())
     classes = stored(sets.join(nodes, "sid", "left").select(*key, "w", "min_id", "id", "th", F.coalesce("comp", "sid").alias("comp")))
     # the row that stays: the smallest id, then the smallest hash of the text; a row without an id only if all are
     stays = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("min_id", "id").alias("id"), "th")).alias("s")
