@@ -182,6 +182,33 @@ def test_language(spark, odd, sf):
     assert np.array_equal(whole, language.grams([text, ""])[:1])
 
 
+def test_foreign_texts_of_any_length_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where(~language.held_out()))
+    assert (model.floor > 0).all()
+    foreign = ["русский текст о том как люди живут и работают в большом городе ", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待 "]
+    for text in foreign:
+        for n in (40, 100, 600, 3000, 40_000, 400_000):
+            assert model.predict([(text * (n // len(text) + 1))[:n]])[2][0], (text, n)
+    # nothing of the known languages goes for that, short and long ones either
+    mine = [r["text"] for r in docs.where(language.held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).collect()]
+    rare = [t for t in mine if language.size_class([t])[0] <= 3 or language.size_class([t])[0] > 6]
+    assert len(rare) >= 5 and model.predict(rare)[2].mean() <= 0.02
+    cuts = [c for t in mine for c in language.excerpts(t)]
+    assert {0, 1, 2, 3, 4, 5} <= set(language.size_class(cuts)) and model.predict(cuts)[2].mean() <= 0.02
+    long = ["\n".join(t for t in mine if len(t) > 1000)[:n] for n in (20_000, 60_000)]
+    assert not model.predict(long)[2].any()
+
+
+def test_floors_of_small_languages(spark):
+    rows = [(i, f"the words of number {'abcdefghij'[i % 10]} and the other ones " * 3, "en") for i in range(60)]
+    rows += [(100 + i, f"les mots de la {'abc'[i]} et les autres", "fr") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    floor = language.fit(docs).floor
+    assert np.allclose(floor[0], floor[1]) and (floor > 0).all()
+    assert not language.fit(docs.where("lang = 'fr'")).floor.any()
+
+
 def test_windows_of_grams(monkeypatch):
     text = "the quick brown fox é " * 50
     whole = language.grams([text])

@@ -8,6 +8,7 @@ labelled texts of that language and about that length ever are.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,15 +18,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.common import stored
+
 SIZES = (2, 3)
 DIMS = 4096
 CENTROIDS = 4
 #: Labelled texts that a model is fitted on, for each language: a bounded sample, drawn by a hash of the id.
 PER_LANGUAGE = 500
 #: A text is rejected below this part of the lowest cosine of its language's labelled texts of its size class;
-#: a class with fewer than ``ENOUGH`` of them rejects nothing.
+#: where fewer than ``ENOUGH`` of them are, below this part of what all but ``ODD`` of the excerpts of that size reach.
 SLACK = 0.6
 ENOUGH = 20
+ODD = 0.01
 CLASSES = 12
 UNKNOWN = "und"
 #: Bytes worked on at a time, so that memory does not grow with the length of a text.
@@ -110,6 +114,18 @@ def size_class(texts: list[str]) -> np.ndarray:
     return np.minimum(np.log2(np.maximum([len(t) for t in texts], 1)).astype(int) // 2, CLASSES - 1)
 
 
+def excerpts(text: str) -> list[str]:
+    """One excerpt with a letter for each size class below the text's own, of the least length of the class; from the start of a word if one is near."""
+    out = []
+    for k in range(size_class([text])[0]):
+        n = 4**k
+        at = zlib.crc32(b"%d" % k + text[:4096].encode("utf-8", "replace")) % (len(text) - n + 1)
+        word = text.find(" ", at, min(len(text) - n, at + 64)) + 1
+        at = word or at
+        out.append(text[at : at + n])
+    return [t for t in out if _letter(t)]
+
+
 def _k_means(x: np.ndarray, k: int, seed: int = 7, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
@@ -125,6 +141,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label:
 
     At most about ``per_language`` rows of each language are used, those with the smallest hash of their id;
     the bound does not depend on the size of the table. Their whole texts are counted by the executors.
+
+    Sizes that are rare among them get their floor from excerpts of longer ones, sizes above them that of the
+    nearest size below. A language with too few texts gets the lowest floor of the others; nothing is
+    rejected only if no language has ``ENOUGH``.
     """
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.col(label).alias("l"))
     share = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -132,7 +152,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label:
         return Centroids([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, CLASSES)))
     size = 1 << 30
     rates = F.create_map(*[F.lit(v) for r in share for v in (r["l"], min(size, int(size * per_language / r["n"])))])
-    drawn = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(size)) < rates[F.col("l")])
+    drawn = stored(rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(size)) < rates[F.col("l")]).select("t", "l"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,13 +173,46 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label:
     label_of = np.array([languages.index(r["l"]) for r in order])
     parts = [_k_means(x[label_of == i], CENTROIDS) for i in range(len(languages))]
     sizes = np.array([r["s"] for r in order])
-    floor = np.zeros((len(parts), CLASSES))
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    model = Centroids(languages, idf, np.concatenate(parts) if parts else np.zeros((0, DIMS), np.float32), owner, np.zeros((len(parts), CLASSES)))
+    if not languages:
+        return model
+    cuts = _excerpt_cosines(drawn, model)
+    floor = np.full((len(parts), CLASSES), np.nan)
     for i, c in enumerate(parts):
         top = (x[label_of == i] @ c.T).max(axis=1)
         for k in range(CLASSES):
-            here = top[sizes[label_of == i] == k]
-            floor[i, k] = SLACK * here.min() if len(here) >= ENOUGH else 0
-    return Centroids(languages, idf, np.concatenate(parts) if parts else np.zeros((0, DIMS), np.float32), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), floor)
+            here, cut = top[sizes[label_of == i] == k], cuts.get((languages[i], k), [])
+            if len(here) >= ENOUGH:
+                floor[i, k] = SLACK * here.min()
+            elif len(here) + len(cut) >= ENOUGH:
+                floor[i, k] = SLACK * np.quantile(np.append(here, cut), ODD)
+            elif k:
+                # longer texts are nearer to their centroids
+                floor[i, k] = floor[i, k - 1]
+    lowest = np.where(np.isnan(floor), np.inf, floor).min(axis=0)
+    model.floor = np.where(np.isnan(floor), np.where(np.isinf(lowest), 0, lowest), floor)
+    return model
+
+
+def _excerpt_cosines(drawn: DataFrame, model: Centroids) -> dict[tuple[str, int], list[float]]:
+    """Cosines of the excerpts of the sample with the best centroid of their language, by language and size class."""
+    shared = drawn.sparkSession.sparkContext.broadcast(model)
+
+    def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for batch in batches:
+            for t, l in zip(batch["t"], batch["l"]):
+                cuts = excerpts(t) if t is not None and _letter(t) is not None else []
+                if cuts:
+                    top = (vectors(cuts, m.idf) @ m.centres[m.owner == m.languages.index(l)].T).max(axis=1)
+                    yield pd.DataFrame({"l": l, "s": size_class(cuts), "top": top.astype(float)})
+
+    out: dict[tuple[str, int], list[float]] = {}
+    # at most CLASSES numbers for each text of the sample
+    for r in drawn.mapInPandas(cosines, "l string, s int, top double").collect():
+        out.setdefault((r["l"], r["s"]), []).append(r["top"])
+    return out
 
 
 def identify(docs: DataFrame, model: Centroids, text: str = "text", into: str = "language") -> DataFrame:
