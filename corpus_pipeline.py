@@ -17,7 +17,7 @@ from textguard.llm.ngram_join import drop_near_copies
 from textguard.llm.queries import TOKENIZERS
 from textguard.llm.sentence_pieces import encode
 
-#: Shares of the mixture's tokens. All good documents stay; others are thinned, nothing is repeated.
+#: Shares of the mixture's tokens. All documents that are most likely good stay; others are thinned, nothing is repeated.
 TARGETS = {"good": 0.94, "low": 0.04, "toxic": 0.02}
 
 
@@ -38,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that bring the expected tokens of each domain to its target."""
+    """Documents drawn at the rates that bring the expected tokens of each domain near its target; all whose likeliest domain is good stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("domain", label_domain())
     return draw(docs, mix(docs, labels, TARGETS, keep="good", most=1.0))
 

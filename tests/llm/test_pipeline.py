@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
 from tests.llm.test_ngram_join import brute
+from textguard.llm import mixing
 
 
 def table(spark, tmp_path_factory):
@@ -75,6 +77,33 @@ def test_stages(spark, corpus):
     assert {r["doc_id"]: r["piece_ids"] for r in five} == {i: sp.encode(t) for i, t in texts.items()}
 
 
+def test_all_that_are_likely_good_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("domain", cp.label_domain())
+    mixed = cp.mix(docs, labels, cp.TARGETS, keep="good", most=1.0).collect()
+    good = {r["doc_id"] for r in mixed if r["domain"] == "good"}
+    assert any(0.5 < r["posterior"]["good"] < 0.95 for r in mixed)
+    assert {r["rate"] for r in mixed if r["domain"] == "good"} == {1.0}
+    left = {r["doc_id"] for r in cp.mixture(spark, docs, sf).collect()}
+    assert good <= left and len(left) < len(mixed)
+
+
+def test_rates_next_to_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    p = np.round(rng.dirichlet([0.8, 0.4, 0.4], 50), 3)
+    p[:, 2] = np.round(1 - p[:, 0] - p[:, 1], 3)
+    n = rng.integers(1, 500, 50)
+    seen = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_words long, posterior array<double>")
+    steps = mixing.fit_rates(seen, ["good", "low", "toxic"], cp.TARGETS, keep="good", most=1.0)
+    there, kept = n @ p, p.argmax(axis=1) == 0
+    want = there[0] / cp.TARGETS["good"] * np.array(list(cp.TARGETS.values()))
+    r = np.ones(50)
+    for step in steps:
+        assert np.allclose(step, ((n * r) @ p - want) / there)
+        r = np.where(kept, 1.0, np.clip(r - p @ np.array(step), 0, 1))
+    assert len(steps) > 1 and r[~kept].min() < 0.5
+
+
 def test_empty(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     for _, stage in cp.STAGES[:-1]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,15 +130,34 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     return seen.drop("_words", "_terms", "_hits", "_scores", "_top", "_sum", "_parts", "_off")
 
 
-def _rate(posterior: Column, steps: list[list[float]], most: float | None) -> Column:
-    """The rate of a document after the steps: each takes off its part of every domain, but never below 0 (or above ``most``)."""
-    out = F.lit(1.0)
-    for step in steps:
-        dot = reduce(lambda a, b: a + b, [F.get(posterior, F.lit(k)) * v for k, v in enumerate(step)])
-        out = F.greatest(F.lit(0.0), out - dot)
-        if most is not None:
-            out = F.least(F.lit(float(most)), out)
-    return out
+def _cells(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The different posteriors and their tokens. Of thousandths there are a bounded number, half a million for three domains."""
+    cells = seen.groupBy("posterior").agg(F.sum("n_words").cast("double").alias("tokens"))
+    rows = sorted((tuple(r["posterior"]), r["tokens"]) for r in cells.collect())
+    return np.array([p for p, _ in rows], float), np.array([n for _, n in rows], float)
+
+
+def _descend(
+    p: np.ndarray, tokens: np.ndarray, domains: list[str], targets: dict[str, float], keep: str | None, most: float | None
+) -> tuple[list[list[float]], np.ndarray]:
+    """The steps of projected gradient descent, and the rates of the cells after them."""
+    rates = np.ones(len(tokens))
+    if not domains or not tokens.sum():
+        return [], rates
+    whole, there = tokens.sum(), tokens @ p
+    budget = there[domains.index(keep)] / targets[keep] if keep in domains and targets.get(keep) else whole
+    want = np.array([targets.get(d, 0.0) for d in domains]) * budget
+    least = (p.argmax(axis=1) == domains.index(keep)).astype(float) if keep in domains else np.zeros(len(tokens))
+    steps: list[list[float]] = []
+    for _ in range(STEPS):
+        off = (tokens * rates) @ p - want
+        if np.abs(off).max() <= CLOSE * whole:
+            break
+        # squares weighted by one over the domain's tokens: the gradient's Lipschitz constant is then at most 1
+        step = np.divide(off, there, out=np.zeros(len(there)), where=there > 0)
+        rates = np.minimum(np.maximum(rates - p @ step, least), np.inf if most is None else most)
+        steps.append(step.tolist())
+    return steps, rates
 
 
 def fit_rates(
@@ -146,27 +166,20 @@ def fit_rates(
     """The steps of projected gradient descent; ``seen`` has ``n_words`` and ``posterior``.
 
     ``targets`` are shares by domain of all tokens there are, or of as many as make the target of the domain
-    ``keep`` just what it has. Only tokens summed by
-    posterior, of which there are a bounded number, are read in each step; a step is one number a domain.
+    ``keep`` just what it has; documents whose likeliest domain that is keep a rate of 1 or more. Each step
+    takes off its part of every domain from a rate, but never goes below that or 0 (or above ``most``).
+    Steps run on tokens summed by posterior; a step is one number a domain.
     """
-    cells = stored(seen.groupBy("posterior").agg(F.sum("n_words").cast("double").alias("tokens")).where("tokens > 0"))
-    share = [F.sum(F.col("tokens") * F.get("posterior", F.lit(k))) for k in range(len(domains))]
-    first = cells.agg(F.sum("tokens"), *share).first()
-    if not domains or not first[0]:
-        return []
-    whole, there = first[0], first[1:]
-    budget = there[domains.index(keep)] / targets[keep] if keep in domains and targets.get(keep) else whole
-    want = [targets.get(d, 0.0) * budget for d in domains]
-    steps: list[list[float]] = []
-    for _ in range(STEPS):
-        drawn = cells.withColumn("r", _rate(F.col("posterior"), steps, most))
-        now = drawn.agg(*[F.sum(F.col("tokens") * F.get("posterior", F.lit(k)) * F.col("r")) for k in range(len(domains))]).first()
-        # squares weighted by one over the domain's tokens: the gradient's Lipschitz constant is then at most 1
-        step = [(n - w) / t if t else 0.0 for n, w, t in zip(now, want, there)]
-        if max(abs(n - w) for n, w in zip(now, want)) <= CLOSE * whole:
-            break
-        steps.append(step)
-    return steps
+    return _descend(*_cells(seen), domains, targets, keep, most)[0]
+
+
+def rated(seen: DataFrame, domains: list[str], targets: dict[str, float], keep: str | None = None, most: float | None = None) -> DataFrame:
+    """``seen`` with the ``rate`` after the steps of ``fit_rates``: one for each posterior, so they go by broadcast."""
+    p, tokens = _cells(seen)
+    _, rates = _descend(p, tokens, domains, targets, keep, most)
+    rows = [(list(map(float, x)), float(r)) for x, r in zip(p, rates)]
+    table = stored(seen.sparkSession.createDataFrame(rows, "posterior array<double>, rate double"))
+    return seen.join(F.broadcast(table), "posterior")
 
 
 def mix(
@@ -179,20 +192,20 @@ def mix(
     posterior like any other. Without labels there are no domains: the map is empty and all rates are 1. A target
     that cannot be met (no document leans to the domain) is met as closely as squares allow. Ids may be
     null or repeat. ``most`` bounds the rates (1: nothing is drawn twice), and ``keep`` names a domain whose
-    documents are all wanted; targets are then shares of a corpus that has just those. Other columns are
-    not read. An empty table gives an empty result.
+    documents are all wanted: those it is the likeliest for get a rate of 1 or more, the rates of the others are solved against the
+    targets, which are then shares of a corpus that has just its tokens. Other columns are not read. An empty table gives an empty result.
     """
     targets = targets or TARGETS
     model = fit_domains(docs, labelled, id_col, text)
     domains = model["domains"]
     own = docs.select(id_col, text, F.xxhash64(text_of(text)).alias("text_hash"))
     seen = stored(posteriors(own, model, text).select(id_col, "text_hash", "n_words", "posterior"))
-    steps = fit_rates(seen, domains, targets, keep, most)
+    seen = rated(seen, domains, targets, keep, most) if domains else seen.withColumn("rate", F.lit(1.0))
     names = F.array(*map(F.lit, domains)).cast("array<string>")
     likeliest = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")) if domains else F.lit(None).cast("string")
     return seen.select(
         id_col, "text_hash", "n_words", likeliest.alias("domain"), F.map_from_arrays(names, "posterior").alias("posterior"),
-        _rate(F.col("posterior"), steps, most).alias("rate"),
+        "rate",
     )
 
 
