@@ -242,6 +242,23 @@ def test_mixing(spark, odd):
             assert np.allclose((n[:, None] * p * r[:, None]).sum(axis=0) / n.sum(), want, atol=0.01)
 
 
+def test_rates_converge_or_say_what_is_missing(caplog):
+    rng = np.random.default_rng(5)
+    # soft posteriors: the domains are hard to tell apart, so many steps are needed
+    p = rng.dirichlet([14, 6, 4], 400)
+    n = rng.integers(1, 500, 400).astype(float)
+    names, want = ["good", "low", "toxic"], {"good": 0.63, "low": 0.24, "toxic": 0.13}
+    steps, rates = mixing._descend(p, n, names, want, None, None)
+    assert len(steps) > 40 and not caplog.records
+    assert np.allclose((n * rates) @ p / n.sum(), list(want.values()), atol=1e-5)
+    # nobody leans that far: the rates end at the least squares, and the rest is reported
+    _, rates = mixing._descend(p, n, names, {"toxic": 1.0}, None, 1.0)
+    assert "toxic -0." in caplog.text
+    gradient = p @ (((n * rates) @ p - np.array([0.0, 0.0, 1.0]) * n.sum()) / (n @ p))
+    inside = (rates > 0) & (rates < 1)
+    assert (np.abs(gradient[inside]) < 0.01).all() and (gradient[rates == 0] > -0.01).all() and (gradient[rates == 1] < 0.01).all()
+
+
 def test_draw(spark, odd):
     mixed = odd.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.lit(2.0).alias("rate"))
     assert mixing.draw(odd, mixed).count() == 2 * len(ODD)

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from functools import reduce
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from textguard.llm.common import fresh, join_same, stored, text_of
 
+_log = logging.getLogger(__name__)
+
 #: Labelled documents that the classifier is fitted on, of each domain: a bounded sample, drawn by a hash of the id.
 PER_DOMAIN = 1500
 #: Words and traits that count for each domain: those that tell most about it.
@@ -29,8 +32,11 @@ LEAST_LEAD = 0.02
 LEAST_LIFT = 2.0
 #: Posteriors are rounded to this many parts.
 PARTS = 1000
-STEPS = 40
+#: Steps end when all domains are so close to their targets, or when a step moves no more than this: parts of all tokens.
 CLOSE = 1e-5
+STILL = 1e-8
+#: A bound that no step should meet; what error is left is written to the log.
+STEPS = 20_000
 
 #: What the query and the pipeline mix: shares of all tokens.
 TARGETS = {"good": 0.8, "low": 0.15, "toxic": 0.05}
@@ -140,7 +146,7 @@ def _cells(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _descend(
     p: np.ndarray, tokens: np.ndarray, domains: list[str], targets: dict[str, float], keep: str | None, most: float | None
 ) -> tuple[list[list[float]], np.ndarray]:
-    """The steps of projected gradient descent, and the rates of the cells after them."""
+    """The steps of projected gradient descent until nothing changes any more, and the rates of the cells after them."""
     rates = np.ones(len(tokens))
     if not domains or not tokens.sum():
         return [], rates
@@ -149,13 +155,19 @@ def _descend(
     want = np.array([targets.get(d, 0.0) for d in domains]) * budget
     least = (p.argmax(axis=1) == domains.index(keep)).astype(float) if keep in domains else np.zeros(len(tokens))
     steps: list[list[float]] = []
-    for _ in range(STEPS):
+    moved = whole
+    while True:
         off = (tokens * rates) @ p - want
         if np.abs(off).max() <= CLOSE * whole:
             break
+        if moved <= STILL * whole or len(steps) == STEPS:
+            missed = ", ".join(f"{d} {o / whole:+.5f}" for d, o in zip(domains, off))
+            _log.warning("targets not met after %d steps, off by parts of all tokens: %s", len(steps), missed)
+            break
         # squares weighted by one over the domain's tokens: the gradient's Lipschitz constant is then at most 1
         step = np.divide(off, there, out=np.zeros(len(there)), where=there > 0)
-        rates = np.minimum(np.maximum(rates - p @ step, least), np.inf if most is None else most)
+        new = np.minimum(np.maximum(rates - p @ step, least), np.inf if most is None else most)
+        moved, rates = tokens @ np.abs(new - rates), new
         steps.append(step.tolist())
     return steps, rates
 
@@ -190,7 +202,7 @@ def mix(
 
     Null and empty texts have no words and any rate is right for them; theirs follows from their
     posterior like any other. Without labels there are no domains: the map is empty and all rates are 1. A target
-    that cannot be met (no document leans to the domain) is met as closely as squares allow. Ids may be
+    that cannot be met (no document leans to the domain) is met as closely as squares allow, and what is missing is written to the log. Ids may be
     null or repeat. ``most`` bounds the rates (1: nothing is drawn twice), and ``keep`` names a domain whose
     documents are all wanted: those it is the likeliest for get a rate of 1 or more, the rates of the others are solved against the
     targets, which are then shares of a corpus that has just its tokens. Other columns are not read. An empty table gives an empty result.
