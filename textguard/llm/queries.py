@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textguard.llm import quality
+from textguard.llm.collocations import LONGEST, SUPPORT, TOP, collocations
+from textguard.llm.common import stored
 from textguard.llm.exact_dedup import exact_duplicates
 from textguard.llm.fingerprints import CLAUSE, fingerprint, likeness, with_next
 from textguard.llm.language import fit, held_out, identify
 from textguard.llm.line_dedup import MIN_CHARS, MIN_DOCS, line_dedup
 from textguard.llm.mixing import TARGETS, label_domain, mix
 from textguard.llm.ngram_join import near_duplicates
+from textguard.llm.periodic_runs import find_periodic
 from textguard.llm.pii_crf import KINDS, find_pii
 from textguard.llm.pii_crf import fit as fit_pii
 from textguard.llm.repeat_removal import remove_repeats
@@ -153,6 +157,61 @@ FROM codes
 """
 
 
+def op11_quality(spark, sf_dir):
+    measured = stored(quality.measure(_docs(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out())
+    out = quality.score(measured, quality.fit(measured, labels))
+    return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    """Runs of the texts; in a tenth of them all words from one on repeat a stretch of the text."""
+    words = F.filter(F.split(F.col("text"), r"[ \t-\r]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n, g = F.size("_w"), F.floor(h / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    repeated = F.transform(F.col("_w"), lambda w, i: F.when(i < a, w).otherwise(F.element_at("_w", (1 + a + F.pmod(i - a, p)).cast("int"))))
+    planted = F.col("_w").isNotNull() & (n > 0)
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.when(F.pmod(h, F.lit(10)) == 0, words).alias("_w"))
+    docs = docs.select("doc_id", F.when(planted, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    out = find_periodic(docs).select("doc_id", "periodic.*")
+    top = F.reduce("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), lambda m, r: F.when(m.isNull() | (r["length"] > m["length"]), r).otherwise(m))
+    line = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(line, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * top.length div top.period")
+    return out.select("doc_id", "n_runs", "top.*", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations(_docs(spark, sf_dir))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_MARKS = "chr(10) || chr(11) || chr(12) || chr(13)"
+OP13_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split(translate(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), ',;:!?' || {_MARKS}, '.........'), '.')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(string_split(translate(piece, chr(9), ' '), ' '), lambda w: w <> '') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM words, (SELECT unnest(range(1, {LONGEST + 1})) AS m))),
+f AS (SELECT lang, phrase, m, count(*)::HUGEINT AS a FROM grams GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+inside AS (SELECT DISTINCT lang, a, array_to_string(ws[i : i + s - 1], ' ') AS phrase
+  FROM (SELECT lang, a, ws, s, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM cand))),
+cuts AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n, k, (1000 * c.a * n) // (x.a * y.a) AS score
+  FROM (SELECT *, array_to_string(ws[1 : k], ' ') AS first, array_to_string(ws[k + 1 : m], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = first JOIN f y ON y.lang = c.lang AND y.phrase = rest JOIN totals t ON t.lang = c.lang),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+left_over AS (SELECT * FROM least ANTI JOIN inside USING (lang, phrase, a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM left_over QUALIFY rank <= {TOP}
+"""
+
+
 def entries() -> dict:
     """Query and SQL (None where SQL cannot express it) by name."""
     return {
@@ -166,4 +225,7 @@ def entries() -> dict:
         "op8_ngram_join": (op8_ngram_join, None),
         "op9_language_id": (op9_language_id, None),
         "op10_fingerprints": (op10_fingerprints, OP10_SQL),
+        "op11_quality": (op11_quality, None),
+        "op12_periodic_runs": (op12_periodic_runs, None),
+        "op13_collocations": (op13_collocations, OP13_SQL),
     }
