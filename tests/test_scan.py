@@ -1,5 +1,6 @@
 """Scan results: what detectors block, and what must not change them."""
 
+import random
 import re
 import unicodedata
 from dataclasses import replace
@@ -7,6 +8,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from textguard.functions.literals import Literals
 from textguard.operators.corpus import scan_distinct
 from textguard.operators.decide import is_blocked, max_severity, policy_blocks, verdict_by_detector
 from textguard.operators.scan import FINDING_COLUMNS, scan, scan_rows
@@ -113,8 +115,7 @@ def test_partitioning_and_copies_do_not_change_findings(spark, sf):
 def test_scan_plan_reads_two_columns_and_does_not_shuffle(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = scan(docs, ["doc_id"], "text")._jdf.queryExecution().executedPlan().toString()
-    # Arrow only for the texts that normalisation may change
-    assert "Exchange" not in plan and "BatchEvalPython" not in plan and plan.count("ArrowEvalPython") <= 1
+    assert "Exchange" not in plan and "Python" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
@@ -164,6 +165,16 @@ def test_key_filters_reach_the_file_and_the_scan_runs_once(spark, sf):
         assert plan.count("FileScan") == 1 and plan.count("Generate inline(array(struct(_hits") == 1
 
 
+def test_literals_of_all_rules_are_found_in_one_pass(spark):
+    tokens = {t for r in full_pack() for g in r.need_groups for t in g if not t.startswith("re:")}
+    wanted = Literals([*tokens, "a", "ab", "abc", "bca", "b.c", "\U0001f600x"])
+    rng = random.Random(4)
+    texts = ["".join(rng.choice([*wanted.all, "a", "b", "c", ".", "\n", "é"])[rng.choice([0, 0, 0, 1]) :] for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in d.select("t", wanted.found(F.col("t")).alias("f")).collect():
+        assert [x for x in wanted.all if set(wanted.standing_for(x)) & set(r.f)] == [x for x in wanted.all if x in r.t]
+
+
 def test_gates_hold_for_every_blank(spark):
     blanks = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and re.match(r"\s", chr(c))]
     words = [b.join(w) for b in blanks for w in ("jailbreak", "ignore")] + ["j.a.i.l.b.r.e.a.k", "i.g.n.o.r.e"]

@@ -1,6 +1,7 @@
 """Normalisation, masking, validators, entropy, running totals."""
 
 import math
+import random
 import unicodedata
 
 import pandas as pd
@@ -40,6 +41,23 @@ def test_all_assigned_characters_normalise_as_in_python(spark):
     assert column(spark, chars, N.nfkc) == [unicodedata.normalize("NFKC", c) for c in chars]
 
 
+def test_composition_of_random_marks_matches_python(spark):
+    rng = random.Random(3)
+    every = [chr(p) for p in range(0x80, 0x1F000) if not 0xD800 <= p < 0xE000]
+    marks = [c for c in every if unicodedata.combining(c)]
+    parts = [unicodedata.normalize("NFD", c) for c in every if unicodedata.normalize("NFD", c) != c and not 0xAC00 <= ord(c) < 0xD7A4]
+    jamo = [chr(p) for p in (*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A7, 0x11C3), 0xAC00, 0xAC1C)]
+    pools = [marks, [p[0] for p in parts], [p[-1] for p in parts], jamo, every, list("aeioucdq "), ["\ufb01", "\uff9e", "\uff76", "\u0344"]]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    texts += ["e" + "".join(rng.choice(marks) for _ in range(300)), "\u1112\u1161\u11ab" * 2000, unicodedata.normalize("NFD", "Việt \ud55c ") * 1000]
+    assert column(spark, texts, N.nfkc) == [unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_normal_forms_stay_in_the_jvm(spark, sf):
+    plan = spark.read.parquet(f"{sf}/documents.parquet").select(N.clean(F.col("text")).alias("t"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entropy(spark):
     texts = ["", "a", "aab", "abcd" * 5, "é中\U0001f600é"]
     want = []

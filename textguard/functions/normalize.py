@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-import unicodedata
-from functools import cache
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from textguard.functions.columns import let
+from textguard.functions.nfkc import nfkc
 from textguard.rules.jailbreak import CONFUSABLES
 
 # Characters removed before matching.
@@ -33,45 +29,9 @@ def strip_bidi(col: Column) -> Column:
     return F.translate(col, BIDI, "")
 
 
-BLOCK = 0x100
-
-
-@cache
-def _may_change() -> str:
-    """A character class of everything that NFKC may change: characters with another form, marks and Hangul parts."""
-
-    def listed(c: str) -> bool:
-        return unicodedata.normalize("NFKC", c) != c or unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff"
-
-    points = [p for p in range(0x80, sys.maxunicode + 1) if not 0xD800 <= p <= 0xDFFF and listed(chr(p))]
-    # ranges by blocks, so that a character is compared with the ranges of its own block only
-    blocks: dict[int, list[str]] = {}
-    start = points[0]
-    for p, following in zip(points, [*points[1:], -1]):
-        if following != p + 1 or following // BLOCK != p // BLOCK:
-            blocks.setdefault(p // BLOCK, []).append(f"\\x{{{start:x}}}-\\x{{{p:x}}}")
-            start = following
-    return "[" + "".join(f"[\\x{{{b * BLOCK:x}}}-\\x{{{b * BLOCK + BLOCK - 1:x}}}&&[{''.join(rs)}]]" for b, rs in blocks.items()) + "]"
-
-
-@F.pandas_udf(StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
-
-
-def nfkc(col: Column) -> Column:
-    """NFKC form. Only texts with a character that it may change leave the JVM, in Arrow batches; Spark has no function for it.
-
-    (Reflection into a JVM library would do without Python, but Spark takes it for nondeterministic and then
-    stops every filter above it.)
-    """
-    changes = ~is_ascii(col) & col.rlike(_may_change())
-    return F.when(changes, _composed(F.when(changes, col))).otherwise(col)
-
-
 def clean(col: Column) -> Column:
     """Invisible and direction marks removed, then NFKC.  ASCII text is its own result."""
-    return F.when(is_ascii(col), col).otherwise(nfkc(F.translate(col, INVISIBLE + BIDI, "")))
+    return F.when(is_ascii(col), col).otherwise(let(F.translate(col, INVISIBLE + BIDI, ""), nfkc))
 
 
 def fold_confusables(col: Column) -> Column:

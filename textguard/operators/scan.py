@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions.columns import constant, running_total
 from textguard.functions.dialect import java_regex
+from textguard.functions.literals import Literals
 from textguard.functions.normalize import clean, fold_confusables, is_ascii, lowered
 from textguard.functions.validators import VALIDATORS
 from textguard.rules import Rule, rejected, rule_pack
@@ -32,6 +33,8 @@ _TEXT = {"raw": "_raw", "clean": "_clean", "folded": "_folded"}
 # Lower-cased text for the gates.  Where normalisation changes a text it holds both
 # forms, so one column serves the rules of every form.
 _LOW = "_low"
+# The gates' literals that it holds.
+_FOUND = "_found"
 
 
 def quoted(value: str) -> str:
@@ -46,13 +49,17 @@ def _holds(token: str, low: str) -> str:
 
 
 class _Gates:
-    """Boolean columns for the first need group of each rule, shared between rules."""
+    """Boolean columns for the first need group of each rule, shared between rules.
+
+    All literals of these groups are looked for in one pass over the text; the columns look into the short list of those found.
+    """
 
     def __init__(self, rules: list[Rule]) -> None:
         self.columns: dict[str, str] = {}
         for r in rules:
             for t in r.need_groups[0] if r.need_groups else []:
                 self.columns.setdefault(t, f"_g{len(self.columns)}")
+        self.literals = Literals(t for t in self.columns if not t.startswith("re:"))
 
     def condition(self, rule: Rule) -> list[str]:
         return [
@@ -60,8 +67,16 @@ class _Gates:
             for group in rule.need_groups
         ]
 
+    def found(self) -> Column:
+        return self.literals.found(F.col(_LOW))
+
     def expressions(self) -> list[Column]:
-        return [F.expr(f"{_holds(t, _LOW)} AS {n}") for t, n in self.columns.items()]
+        def held(t: str) -> str:
+            if t.startswith("re:"):
+                return _holds(t, _LOW)
+            return " OR ".join(f"array_contains({_FOUND}, {quoted(x)})" for x in self.literals.standing_for(t))
+
+        return [F.expr(f"{held(t)} AS {n}") for t, n in self.columns.items()]
 
 
 def _hit(rule: int, matches: str, gaps: str, note: str = "CAST(NULL AS INT)") -> str:
@@ -196,7 +211,7 @@ def with_hits(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     rules = [r if r.origin != "configured" or r in usable else replace(r, regex="(?!)", needs="") for r in rules]
     gates = _Gates(rules)
     d = _prepared(df, text, rules, df.columns)
-    d = d.select("*", *gates.expressions())
+    d = d.select("*", gates.found().alias(_FOUND)).select("*", *gates.expressions())
     hits = F.expr(_hits(rules, gates)) if rules else F.array().cast(f"array<{HIT}>")
     # made by a generator, so that filters on its result stay above it (and do not repeat the scan),
     # while filters on other columns pass on to the file

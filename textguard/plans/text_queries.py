@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import normalize as N
 from textguard.functions.dialect import java_regex
+from textguard.functions.nfkc import decompositions
 from textguard.functions.validators import aadhaar, luhn, public_ip
 from textguard.operators.corpus import scan_distinct
 from textguard.operators.evaluate import pack_changes
@@ -42,6 +43,30 @@ def _normalised_sql(new):
     )
 
 
+#: Forms that composition must settle: ligatures, widths, marks out of order, marks on nothing, syllables in parts, singletons, exclusions.
+ODD_FORMS = [
+    "\ufb01x \ufb03 \u2460\u00bd", "\uff21\uff22\uff41 \uff76\uff9e\uff8a\uff9f", "e\u0302\u0323 o\u031b\u0323 a\u0316\u0301", "\u0301a \u0344",
+    "\u1112\u1161\u11ab \uac00\u11a8 \u1161", "\u212b\u2126\u212a \u1e9b\u0323", "\u0958 \u0915\u093c \u09c7\u09be", "\ufdfa \ufef7", "\U0001d400\U0001d7d8 \U0001f600",
+    "\u3000\u00a0\u2026 \u33c2", "q\u0307\u0323 d\u0307\u0327\u0323", "\u0dd9\u0dcf\u0dca \u1100\u1161\u11a8\u11a8",
+]
+
+
+def norm_nfkc(spark, sf_dir):
+    odd = F.get(F.array(*map(F.lit, ODD_FORMS)), (F.col("doc_id") % len(ODD_FORMS)).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), odd).alias("text"))
+    d = d.select("doc_id", "text", N.nfkc(F.col("text")).alias("new"))
+    return d.select("doc_id", (F.length("text") - F.length("new")).alias("n_removed"), F.md5("new").alias("text_md5"))
+
+
+def norm_nfkc_sql():
+    forms = decompositions()
+    return f"""WITH odd AS (SELECT doc_id, text || chr(10) || {sql_list(ODD_FORMS)}[doc_id % {len(ODD_FORMS)} + 1] AS text FROM documents),
+forms AS (SELECT unnest({sql_list(forms)}) AS c, unnest({sql_list(forms.values())}) AS form),
+chars AS (SELECT doc_id, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s:.)') AS cs FROM odd)),
+new AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(form, chars.c), '' ORDER BY i)) AS new FROM chars LEFT JOIN forms ON forms.c = chars.c GROUP BY doc_id)
+SELECT doc_id, CAST(length(text) - length(new) AS INTEGER) AS n_removed, md5(new) AS text_md5 FROM odd JOIN new USING (doc_id)"""
+
+
 def evasion_report(spark, sf_dir):
     d = planted(spark, sf_dir, cut=False)
     t = F.col("text")
@@ -288,6 +313,7 @@ def entries():
     out = {
         "norm_invisible": (_normalised(N.strip_invisible), _normalised_sql(f"translate(text, {lit(N.INVISIBLE)}, '')")),
         "norm_bidi": (_normalised(N.strip_bidi), _normalised_sql(f"translate(text, {lit(N.BIDI)}, '')")),
+        "norm_nfkc": (norm_nfkc, norm_nfkc_sql()),
         "norm_confusables": (
             _normalised(N.fold_confusables),
             _normalised_sql(f"translate(text, {lit(''.join(CONFUSABLES))}, {lit(''.join(CONFUSABLES.values()))})"),
