@@ -74,13 +74,14 @@ def test_empty_and_products_beyond_64_bits(spark):
 
 def test_trie_holds_all_phrases_and_no_others():
     rng = np.random.default_rng(1)
-    rows = np.unique(rng.zipf(1.3, (4000, 3)).clip(1, 300), axis=0)
+    # some words are followed by very many
+    rows = np.unique(rng.zipf(1.1, (60_000, 3)).clip(1, 9_000), axis=0)
     phrases = [" ".join(map(str, r)) for r in rows]
     half = len(rows) // 2
     mixed = rng.permutation(len(rows))
     trie = co.build_trie(["en"] * half, [phrases[i] for i in mixed[:half]])
     inside = set(trie.phrases)
-    for phrase in phrases:
+    for phrase in phrases[::10]:
         ids = np.array([trie.letters["en"].get(w, 0) for w in phrase.split()])
         at, of = co.advance(trie, ids, 3)
         assert [trie.phrases[i] for i in of] == ([phrase] if phrase in inside else [])

@@ -114,9 +114,14 @@ def _frequent_only(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
 
 @dataclass
 class Trie:
-    """A double-array trie: state s goes with letter x to base[s] + x if check[base[s] + x] is s. Letters are (language, word)."""
+    """A double-array trie whose letters are (language, word): state s goes with letter x to t = base + x if check[t] is s.
+
+    A state has one base for every 2 or so of its letters (``base[first[s] + (x & mask[s])]``), so that states with very many letters find room, too.
+    """
 
     letters: dict[str, dict[str, int]]
+    first: np.ndarray
+    mask: np.ndarray
     base: np.ndarray
     check: np.ndarray
     accept: np.ndarray
@@ -143,43 +148,39 @@ def build_trie(langs: list[str], phrases: list[str]) -> Trie:
         pairs, state = np.unique(np.stack([state, x[:, k]], axis=1), axis=0, return_inverse=True)
         levels.append(pairs)
     size = 2 * top + 3 * sum(map(len, levels)) + 1024
-    base, check = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    slots, rng = np.arange(top), np.random.default_rng(5)
+    first, mask, check = (np.zeros(size, np.int64) for _ in range(3))
+    # the slots of first states are taken
+    check[:top] = -1
+    slots, bases, rng = np.arange(top), [np.zeros(1, np.int64)], np.random.default_rng(5)
     for pairs in levels:
-        slots = _place(slots[pairs[:, 0]], pairs[:, 1], base, check, top, rng)
+        parents, letter = slots[pairs[:, 0]], pairs[:, 1]
+        some, fan = np.unique(parents, return_counts=True)
+        width = 1 << np.ceil(np.log2(np.maximum(fan / 2, 1))).astype(np.int64)
+        mask[some] = width - 1
+        first[some] = sum(map(len, bases)) + np.cumsum(width) - width
+        group = first[parents] + (letter & mask[parents]) - sum(map(len, bases))
+        found, slots = _place(parents, letter, group, int(width.sum()), check, top, rng)
+        bases.append(found)
     accept = np.full(size, -1, np.int64)
     accept[slots[state.ravel()]] = np.arange(len(phrases))
-    return Trie(dict(letters), base, check, accept, phrases)
-
-
-def _place(parents: np.ndarray, letter: np.ndarray, base: np.ndarray, check: np.ndarray, top: int, rng) -> np.ndarray:
-    """Slots for edges sorted by parent: a base for every parent at which the slots of all its letters are free."""
-    starts = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
-    fan = np.diff(np.concatenate([starts, [len(parents)]]))
-    owner = np.repeat(np.arange(len(starts)), fan)
-    found = np.zeros(len(starts), np.int64)
-    room = len(base) - top
-    for g in np.argsort(-fan, kind="stable")[: int((fan > 3).sum())]:
-        mine = letter[starts[g] : starts[g] + fan[g]]
-        while True:
-            at = int(rng.integers(top, room))
-            if not check[at + mine].any():
-                break
-        found[g] = at
-        check[at + mine] = parents[starts[g]]
-    left = np.flatnonzero(fan[owner] <= 3)
+    return Trie(dict(letters), first, mask, np.concatenate(bases), check, accept, phrases)
+
+
+def _place(parents: np.ndarray, letter: np.ndarray, group: np.ndarray, groups: int, check: np.ndarray, top: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """A base for every group of letters at which all their slots are free, and the slots. Groups without room try again elsewhere."""
+    found, left = np.zeros(groups, np.int64), np.arange(len(group))
     while len(left):
-        groups = np.unique(owner[left])
-        found[groups] = rng.integers(top, room, len(groups))
-        slots = found[owner[left]] + letter[left]
-        first = np.zeros(len(left), bool)
-        first[np.unique(slots, return_index=True)[1]] = True
-        bad = np.unique(owner[left][~first | (check[slots] != 0)])
-        good = ~np.isin(owner[left], bad)
+        there = np.unique(group[left])
+        found[there] = rng.integers(0, len(check) - top, len(there))
+        slots = found[group[left]] + letter[left]
+        alone = np.zeros(len(left), bool)
+        alone[np.unique(slots, return_index=True)[1]] = True
+        bad = np.zeros(len(found), bool)
+        bad[group[left][~alone | (check[slots] != 0)]] = True
+        good = ~bad[group[left]]
         check[slots[good]] = parents[left[good]]
         left = left[~good]
-    base[parents[starts]] = found
-    return found[owner] + letter
+    return found, found[group] + letter
 
 
 def advance(trie: Trie, ids: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +189,7 @@ def advance(trie: Trie, ids: np.ndarray, words: int) -> tuple[np.ndarray, np.nda
     state = ids[at]
     for k in range(1, words):
         letter = ids[at + k]
-        to = trie.base[state] + letter
+        to = trie.base[trie.first[state] + (letter & trie.mask[state])] + letter
         on = (letter > 0) & (trie.check[to] == state)
         at, state = at[on], to[on]
     return at, trie.accept[state]
