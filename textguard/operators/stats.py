@@ -68,11 +68,13 @@ def with_total(log: DataFrame) -> DataFrame:
 
 
 def kept_counters(log: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
-    """Request counters that are still alive: a counter ends ``days`` after its last request."""
+    """Request counters that are still alive: a counter ends ``days`` after its last request, and a later request starts it again from one."""
     return (
-        log.groupBy("client")
+        # Spark joins requests that lie exactly a gap apart, too
+        log.groupBy("client", F.session_window("ts", f"{days * 86_400 - 1} seconds 999999 microseconds"))
         .agg(F.count(F.lit(1)).alias("requests"), F.max("ts").alias("last_ts"))
         .where(F.col("last_ts") > now - F.make_dt_interval(days=F.lit(days)))
+        .select("client", "requests", "last_ts")
     )
 
 

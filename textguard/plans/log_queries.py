@@ -36,15 +36,39 @@ def _log(operator):
 
 
 def stats_ttl(spark, sf_dir):
-    """Counters of the whole log, judged at its last request; every third client stopped half-way through the month."""
-    log = quiet(request_log(spark, sf_dir))
+    """Counters of the whole log and of clients that stopped early or paused, judged at the last request."""
+    log = with_pauses(request_log(spark, sf_dir))
     now = log.agg(F.unix_micros(F.max("ts"))).first()[0]
     d = S.kept_counters(log, F.timestamp_micros(F.lit(now)))
     return d.select("client", "requests", F.unix_micros("last_ts").alias("last_us"))
 
 
-def quiet(log):
-    return log.where((F.col("client") % 3 != 0) | (F.col("ts") < F.lit("2024-01-15 00:00:00 UTC").cast("timestamp")))
+#: Added clients: by the last digits of the request that is copied, how far their numbers and times lie off (days).
+EARLY = ((0, 100_000, 40), (5, 200_000, 40), (15, 200_000, 0))
+
+
+def with_pauses(log):
+    """The log and copies of some requests by other clients: one kind stopped 40 days before, the other paused for some weeks."""
+    out = log.select("request_id", "client", "ts")
+    for digits, off, days in EARLY:
+        some = log.where(F.col("request_id") % 20 == digits)
+        out = out.unionByName(some.select("request_id", (F.col("client") + off).alias("client"), (F.col("ts") - F.make_dt_interval(days=F.lit(days))).alias("ts")))
+    return out
+
+
+def _ttl_sql(now: str) -> str:
+    """``now``: the moment of judgement, from the latest time t (microseconds)."""
+    copies = "".join(
+        f" UNION ALL SELECT request_id, client + {off}, epoch_us(ts) - {days * 86_400_000_000} FROM request_log WHERE request_id % 20 = {digits}"
+        for digits, off, days in EARLY
+    )
+    kept = S.RETENTION_DAYS * 86_400_000_000
+    return f"""WITH {REQUEST_LOG_SQL},
+longer AS (SELECT request_id, client, epoch_us(ts) AS us FROM request_log{copies}),
+marked AS (SELECT *, CASE WHEN us - lag(us) OVER w < {kept} THEN 0 ELSE 1 END AS new FROM longer WINDOW w AS (PARTITION BY client ORDER BY us, request_id)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY client ORDER BY us, request_id) AS run FROM marked)
+SELECT client, count(*) AS requests, max(us) AS last_us FROM runs GROUP BY client, run
+HAVING max(us) > (SELECT {now} FROM (SELECT max(us) AS t FROM longer)) - {kept}"""
 
 
 def _micros(query, *columns):
@@ -103,11 +127,7 @@ def entries():
         "stats_rollup": (
             _log(S.with_total),
             log + f"SELECT CASE WHEN grouping(provider) = 1 THEN 'all' ELSE provider END AS provider, {_STATS} FROM request_log GROUP BY ROLLUP (provider)"),
-        "stats_ttl": (
-            stats_ttl,
-            log + "SELECT client, count(*) AS requests, epoch_us(max(ts)) AS last_us FROM request_log "
-            "WHERE client % 3 <> 0 OR ts < TIMESTAMP '2024-01-15' GROUP BY client "
-            "HAVING max(ts) > (SELECT max(ts) FROM request_log WHERE client % 3 <> 0 OR ts < TIMESTAMP '2024-01-15') - INTERVAL 7 DAY"),
+        "stats_ttl": (stats_ttl, _ttl_sql("t")),
         "top_blocked": (
             lambda spark, sf_dir: S.top_blocked(request_log(spark, sf_dir), 3),
             log + "SELECT provider, client, count(*) AS blocked, CAST(row_number() OVER (PARTITION BY provider ORDER BY count(*) DESC, client) AS INTEGER) AS place "

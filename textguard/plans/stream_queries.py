@@ -9,13 +9,14 @@ from textguard.operators.scan import scan_rows
 from textguard.operators.stats import windowed
 from textguard.plans.decision_queries import BLOCKING, messages, messages_sql
 from textguard.plans.finding_sql import COLUMNS, findings_sql
-from textguard.plans.fixtures import PROVIDER_LIST, pack, request_log, sql_list, texts_sql
-from textguard.plans.log_queries import _window_sql
+from textguard.plans.fixtures import PROVIDER_LIST, RATE_LIMIT, REQUEST_LOG_SQL, pack, rate_events, request_log, sql_list, texts_sql
+from textguard.plans.log_queries import OFFENDERS_SQL, RATE_SQL, _ttl_sql, _window_sql, with_pauses
 from textguard.plans.payload_queries import quoted
 from textguard.rules import SEVERITIES, rule_pack
 from textguard.sources.shared import shared_folder
 from textguard.streaming.assemble import DONE, assemble
-from textguard.streaming.jobs import run_available, stream_audit, stream_findings, stream_response_scan
+from textguard.streaming.jobs import count_arrivals, run_audit, run_available, stream_audit, stream_findings, stream_response_scan
+from textguard.streaming.stateful import alive, state_store, stream_counters, stream_offenders, stream_rate_limit
 
 FINDING_LIST = [c.strip() for c in COLUMNS.split(",")]
 START = "2024-01-01 00:00:00 UTC"
@@ -140,9 +141,11 @@ def audit_of_stream(spark, sf_dir):
         spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
         .select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), provider.alias("provider"), F.col("turn").alias("latency_ms"), "text")
     )
-    run_available(stream_audit(stream, "text"), f"{folder}/audit", f"{folder}/checkpoint")
+    entries = stream_audit(stream, "text")
+    run_audit(entries, f"{folder}/audit", f"{folder}/checkpoint")
     listed = F.transform("findings", lambda f: F.concat_ws("|", f["category"], f["severity"], f["pattern_hash"]))
-    return spark.read.parquet(f"{folder}/audit").withColumn("findings", F.array_join(listed, ";"))
+    written = spark.read.schema(entries.schema).json(f"{folder}/audit").drop("batch")
+    return written.withColumn("findings", F.array_join(listed, ";"))
 
 
 STREAM_AUDIT_SQL = (
@@ -171,8 +174,77 @@ def stream_stats(spark, sf_dir):
     return spark.read.parquet(f"{folder}/stats").withColumn("window_start", F.unix_micros("window_start"))
 
 
+def in_batches(spark, batches, make, folder, arrivals=None):
+    """Every table of ``batches`` arrives after the query over the ones before it has ended; each time it goes on from its checkpoint."""
+    schema = batches[0].schema
+    for i, batch in enumerate(batches):
+        batch.select(*schema.fieldNames()).write.parquet(f"{folder}/in/part={i}")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in").drop("part")
+        with state_store(spark):
+            run_available(make(stream), f"{folder}/out", f"{folder}/checkpoint", arrivals=arrivals)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _ahead(spark, like, **values):
+    """One row of the schema of ``like``: the given columns (SQL), all others null."""
+    return spark.range(1).select(*[F.expr(values.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
+def rate_limited_stream(spark, sf_dir):
+    """Rate limits of a stream that is stopped and started again twice."""
+    rows = rate_events(spark, sf_dir)
+    half = rows.agg(F.expr("percentile_approx(ts_ms, 0.5)")).first()[0] or 0
+    end = _ahead(spark, rows, event_id="-1", ts_ms="unix_millis(timestamp'2124-01-01')")
+    batches = [rows.where(F.col("ts_ms") < half), rows.where(F.col("ts_ms") >= half), end]
+    return in_batches(spark, batches, lambda s: stream_rate_limit(s, RATE_LIMIT), shared_folder(spark))
+
+
+def counters_of_stream(spark, sf_dir):
+    """The counters that live at the end of the last minute."""
+    log = with_pauses(request_log(spark, sf_dir))
+    early, late = log.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    cut = [F.timestamp_micros(F.lit(early + (late - early) * k // 3)) for k in (1, 2)]
+    end = _ahead(spark, log, request_id="-1", ts=f"timestamp_micros({late // 60_000_000 * 60_000_000 + 60_000_000})")
+    batches = [log.where(F.col("ts") < cut[0]), log.where((F.col("ts") >= cut[0]) & (F.col("ts") < cut[1])), log.where(F.col("ts") >= cut[1]), end]
+    return alive(in_batches(spark, batches, lambda s: stream_counters(s, late="0 seconds"), shared_folder(spark)))
+
+
+def offenders_of_stream(spark, sf_dir):
+    log = request_log(spark, sf_dir)
+    end = _ahead(spark, log, ts="timestamp'2124-01-01 00:00:00 UTC'", blocked="true")
+    half = F.lit("2024-01-16 00:00:00 UTC").cast("timestamp")
+    batches = [log.where(F.col("ts") < half), log.where(F.col("ts") >= half), end]
+    return in_batches(spark, batches, stream_offenders, shared_folder(spark))
+
+
+def late_rows(spark, sf_dir):
+    """Requests that arrived, those counted in hourly statistics, and those that came too late for them."""
+    log = request_log(spark, sf_dir)
+    again = log.where("request_id % 10 = 3")
+    on_time = log.where("request_id % 10 = 4").withColumn("ts", F.col("ts") + F.expr("INTERVAL 60 DAYS"))
+    folder = shared_folder(spark)
+    batches = [log, again.unionByName(on_time), _ahead(spark, log, ts="timestamp'2124-01-01 00:00:00 UTC'", provider="'none'")]
+    counted = in_batches(spark, batches, lambda s: windowed(count_arrivals(s), "1 hour", watermark="10 minutes"), folder, f"{folder}/arrivals")
+    kept = counted.agg(F.sum("requests").alias("kept"))
+    # the last row's own window stays open
+    arrived = spark.read.parquet(f"{folder}/arrivals").agg((F.sum("arrived") - 1).alias("arrived"))
+    return arrived.join(kept).select("arrived", "kept", (F.col("arrived") - F.col("kept")).alias("late"))
+
+
+LATE_SQL = f"""WITH {REQUEST_LOG_SQL},
+mark AS (SELECT max(epoch_us(ts)) - 600000000 AS m FROM request_log),
+again AS (SELECT (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= m AS late FROM request_log, mark WHERE request_id % 10 = 3)
+SELECT n + again + on_time AS arrived, n + again + on_time - late AS kept, late
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE request_id % 10 = 4) AS on_time FROM request_log),
+     (SELECT count(*) AS again, count(*) FILTER (WHERE late) AS late FROM again)"""
+
+
 def entries():
     return {
+        "stream_rate_limit": (rate_limited_stream, RATE_SQL),
+        "stream_ttl": (counters_of_stream, _ttl_sql("(t // 60000000 + 1) * 60000000")),
+        "stream_offenders": (offenders_of_stream, OFFENDERS_SQL),
+        "stream_late_rows": (late_rows, LATE_SQL),
         "assemble_stream": (assembled, ASSEMBLED_SQL),
         "stream_usage": (stream_usage, USAGE_SQL),
         "scan_assembled": (scan_assembled, SCAN_SQL),
