@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -27,12 +28,19 @@ ODD = [
 ]
 
 
+def _placed(module, docs):
+    """The rows of ``with_next`` with their ranges."""
+    return module.in_ranges(docs.selectExpr("doc_id AS id", "text AS t"))
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and very long texts, repeated rows, and columns with names that operators use themselves."""
     names = ["t", "id", "sha", "row", "pos", "names", "bucket", "key", "n", "language", "_words", "posterior", "range", "next", "lang"]
     df = spark.createDataFrame(ODD, "doc_id long, text string").repartition(3)
-    return df.select("*", *[F.lit("x").alias(n) for n in names]).cache()
+    df = df.select("*", *[F.lit("x").alias(n) for n in names]).cache()
+    yield df
+    df.unpersist()
 
 
 def test_exact_duplicates(spark, odd):
@@ -116,6 +124,25 @@ def test_token_counts(spark, odd, tokenizer):
     assert {r["doc_id"]: r["n"] for r in cut} == {1: len("one two"), 2: 0}
 
 
+def test_long_runs_are_encoded_in_one_pass(tokenizer):
+    import sentencepiece
+
+    encoder = sentence_pieces.Encoder(sentence_pieces.Pieces(sentence_pieces.read_model(MODEL)))
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    counter = token_counts.Counter(token_counts.read_spec(VOCABULARY))
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([" ", "  ", "a", "the", "\n", "$$", "é", "中", ".", "7", "\t"]) for _ in range(rng.randint(0, 30))) for _ in range(800)]
+    texts += [" " * k + "b" * (k % 3) for k in range(70)]
+    assert [np.frombuffer(p, np.int32).tolist() for p in encoder.encode(texts)] == library.encode(texts)
+    for text in texts[:300]:
+        assert counter.prefixes(text) == [len(tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    t0 = time.time()
+    for char in " \n7":
+        assert np.frombuffer(encoder.encode([char * 1_000_000])[0], np.int32).tolist() == library.encode(char * 1_000_000)
+        assert counter.prefixes(char * 200_000)[-1] == counter.count([char * 200_000])[0]
+    assert time.time() - t0 < 120
+
+
 def test_sentence_pieces(spark, odd):
     import sentencepiece
 
@@ -289,6 +316,13 @@ def test_fingerprints(spark, odd):
     assert (out[1]["at"]["section"], out[1]["at"]["paragraph"]) == (0, 1) and 0 < out[1]["n"] < 1
     assert out[2]["at"]["section"] == 1 and out[3]["n"] == 0.0
     assert odd.select(fingerprints.fingerprint(F.col("text"))).count() == len(ODD)
+    # an outlying id does not put all others into one range, and what is cut follows the rows, not the ids
+    far = spark.range(6000).select(F.when(F.col("id") == 0, F.lit(10**17)).when(F.col("id") < 5, -(10**17) + F.col("id")).otherwise(F.col("id") * 3).alias("doc_id"))
+    far = far.withColumn("text", F.col("doc_id").cast("string"))
+    ids = sorted(r["doc_id"] for r in far.collect())
+    assert {int(r["text"]): int(r["next_text"]) for r in fingerprints.with_next(far).collect()} == dict(zip(ids[1:], ids)) | {ids[0]: ids[-1]}
+    sizes = [r["n"] for r in _placed(fingerprints, far).groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) <= fingerprints.LEAST_RANGE
     assert fingerprints.with_next(odd.limit(0)).collect() == []
 
 

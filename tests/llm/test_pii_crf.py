@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
@@ -50,6 +51,44 @@ def test_messages_are_exact_on_trees():
         assert np.allclose(marginals(unary, edges, pair), want / want.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def test_messages_settle_on_small_loops_and_long_chains():
+    """Beliefs next to all labellings: near them where loops are weak, exact along chains of any length."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        unary = rng.normal(size=(4, 3))
+        edges = np.array([(0, 1), (1, 2), (2, 3), (3, 0), (0, 2)])
+        pair = rng.normal(size=(5, 3, 3)) * 0.3
+        want = np.zeros((4, 3))
+        for labels in itertools.product(range(3), repeat=4):
+            score = sum(unary[i, l] for i, l in enumerate(labels)) + sum(pair[k, labels[a], labels[b]] for k, (a, b) in enumerate(edges))
+            for i, l in enumerate(labels):
+                want[i, l] += np.exp(score)
+        got = marginals(unary, edges, pair)
+        assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=0.03)
+    # one certain end tells the other end of a chain of 40
+    n = 40
+    unary = np.zeros((n, 2))
+    unary[0] = (0, 20)
+    edges = np.array([(i, i + 1) for i in range(n - 1)])
+    got = marginals(unary, edges, np.repeat(np.eye(2)[None] * 6.0, n - 1, axis=0))
+    e = np.exp(6.0)
+    assert abs(got[-1, 1] - (1 + ((e - 1) / (e + 1)) ** (n - 1)) / 2) < 1e-6
+
+
+def test_long_runs_end_soon():
+    t0 = time.time()
+    for text in ("7" * 1_000_000, "1." * 300_000, "a" * 500_000 + " @b " + "a@" * 2000, "1 " * 300_000, "+" + "1" * 300_000, "a" * 4095 + " " + "a" * 4000 + "@ " * 500):
+        base_spans(text)
+    assert time.time() - t0 < 10
+
+
+def test_potentials_are_counted_over_all_rows(spark):
+    text = "4111 1111 1111 1111"
+    df = spark.createDataFrame([(i, text if i else "4111 1111 1111 1112") for i in range(5001)], "doc_id long, text string").repartition(4)
+    lead = fit(df).shape["number 16"]
+    assert np.allclose(np.exp(lead), [1.5 / 5003.5, 0.5 / 5003.5, 0.5 / 5003.5, 5000.5 / 5003.5, 0.5 / 5003.5])
+
+
 def added(text):
     return sorted((k, text[a:b]) for k, a, b in all_spans(text, Potentials())[1])
 

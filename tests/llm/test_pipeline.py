@@ -77,8 +77,15 @@ def test_stages(spark, corpus):
     assert {r["doc_id"]: r["piece_ids"] for r in five} == {i: sp.encode(t) for i, t in texts.items()}
 
 
+@pytest.fixture(autouse=True)
+def nothing_stays_cached(spark):
+    """Later plans over the same files would read the cache."""
+    yield
+    spark.catalog.clearCache()
+
+
 def test_all_that_are_likely_good_stay(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("domain", cp.label_domain())
     mixed = cp.mix(docs, labels, cp.TARGETS, keep="good", most=1.0).collect()
     good = {r["doc_id"] for r in mixed if r["domain"] == "good"}

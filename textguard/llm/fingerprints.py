@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textguard.functions.columns import let
+from textguard.functions.columns import constant, let
 
 #: Up to seven words that do not end a sentence and one more, with the blanks around them.
 CLAUSE = r"\s*(?:\S*[^\s.!?]\s+){0,7}\S+\s*|\s+"
@@ -96,6 +96,37 @@ def first_difference(a: Column, b: Column) -> Column:
     )
 
 
+def _cut(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` whose ``range`` (a first id) is cut get the part that their id lies in."""
+    met = rows.join(F.broadcast(cuts), F.col("range") == F.col("_key"), "left")
+    # in decimals, as differences of longs may be too large
+    off = F.floor((F.col("id").cast("decimal(20,0)") - F.col("_first")) / F.col("_width")) * F.col("_width")
+    part = (F.col("_first") + off).cast("long")
+    return met.select(*[c for c in rows.columns if c != "range"], F.coalesce(part, F.col("range")).alias("range"))
+
+
+def in_ranges(own: DataFrame) -> DataFrame:
+    """``own`` (id, ...) with ``range``: consecutive ids, of bounded row count whatever the ids; rows without an id share the first one's."""
+    ids = own.where("id IS NOT NULL").select("id")
+    n, low, high = ids.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
+    most = max(LEAST_RANGE, -(-(n or 0) // RANGES))
+    # a range that holds too many rows is cut into equal parts of what its ids span, until none does or all its ids are equal
+    some, levels = ids.withColumn("range", F.lit(low)), []
+    full = [(low, low, high, n)] if n and n > most and low < high else []
+    while full:
+        cuts = [{"_key": key, "_first": a, "_width": -(-(b - a + 1) // (2 * -(-c // most)))} for key, a, b, c in full]
+        cuts = constant(cuts, "array<struct<_key: bigint, _first: bigint, _width: decimal(20,0)>>")
+        levels.append(own.sparkSession.range(1).select(F.inline(cuts)))
+        some = _cut(some, levels[-1])
+        parts = some.groupBy("range").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("c"))
+        # fewer than RANGES rows
+        full = [tuple(r) for r in parts.where((F.col("c") > most) & (F.col("a") < F.col("b"))).collect()]
+    own = own.withColumn("range", F.lit(low or 0).cast("long"))
+    for cuts in levels:
+        own = _cut(own, cuts)
+    return own
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", into: str = "next_text") -> DataFrame:
     """id, text and the text of the document with the next smaller id; after the smallest id comes the largest.
 
@@ -104,21 +135,19 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", into:
     each range also to the range before it.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("t"))
-    low, high = own.agg(F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
-    width = max(LEAST_RANGE, -(-(high - low + 1) // RANGES))
-    # the range of an id is found in decimals, as differences of longs may be too large
-    at = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
-    own = own.withColumn("range", F.coalesce(at, -1 - F.pmod(F.xxhash64("t"), F.lit(256))))
-    heads = own.groupBy("range").agg(F.max("id").alias("head"))
+    own = in_ranges(own)
+    # the few ranges of rows without an id have numbers of their own
+    alone = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("t"), F.lit(256)) + 1).otherwise(0)
+    own = own.withColumn("alone", alone)
+    heads = own.groupBy("range", "alone").agg(F.max("id").alias("head"))
     whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rising = Window.orderBy("range")
-    ring = heads.where("range >= 0").withColumn("to", F.coalesce(F.lead("range").over(rising), F.first("range").over(whole)))
-    alone = heads.where("range < 0").withColumn("to", F.col("range"))
-    heads = ring.unionByName(alone).select(F.col("range").alias("r"), "head", "to")
-    met = own.join(F.broadcast(heads), (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("head")), "left")
+    ring = heads.where("alone = 0").withColumn("to", F.coalesce(F.lead("range").over(rising), F.first("range").over(whole)))
+    heads = ring.unionByName(heads.where("alone > 0").withColumn("to", F.col("range")))
+    heads = heads.select(F.col("range").alias("r"), F.col("alone").alias("o"), "head", "to")
+    met = own.join(F.broadcast(heads), (F.col("range") == F.col("r")) & (F.col("alone") == F.col("o")) & F.col("id").eqNullSafe(F.col("head")), "left")
     copies = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("to").alias("range"), F.lit(1).alias("guest")))
-    placed = met.select("id", "t", F.explode(F.when(F.col("to").isNull(), F.slice(copies, 1, 1)).otherwise(copies)).alias("p")).select("id", "t", "p.*")
-    order = Window.partitionBy("range").orderBy("guest", F.col("id").desc_nulls_last(), F.xxhash64("t"))
+    placed = met.select("id", "t", "alone", F.explode(F.when(F.col("to").isNull(), F.slice(copies, 1, 1)).otherwise(copies)).alias("p")).select("id", "t", "alone", "p.*")
+    order = Window.partitionBy("range", "alone").orderBy("guest", F.col("id").desc_nulls_last(), F.xxhash64("t"))
     out = placed.withColumn("next", F.lead("t").over(order)).where("guest = 0")
     return out.select(F.col("id").alias(id_col), F.col("t").alias(text), F.col("next").alias(into))

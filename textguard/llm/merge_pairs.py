@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 from math import inf
 
 Rank = Callable[[str, str], float | None]
@@ -43,16 +44,24 @@ class PairTokens:
         return {k: (*sorted(v, reverse=True), *ALWAYS) for k, v in found.items()}
 
     def merged(self, word: str, least: int = 1) -> list[str]:
-        """The tokens by plain merging, down to ``least`` of them; for short strings."""
-        parts = list(word)
-        while len(parts) > least:
-            ranks = [self.rank(a, b) for a, b in zip(parts, parts[1:])]
-            best = min((r for r in ranks if r is not None), default=None)
-            if best is None:
-                break
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        """The tokens by plain merging, down to ``least`` of them: of all neighbours the pair with the smallest rank, then the first, is merged."""
+        parts: list[str | None] = list(word)
+        after, before, left = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)], len(parts)
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(word, word[1:])) if (r := self.rank(a, b)) is not None]
+        heapify(heap)
+        while heap and left > least:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            # a part may have been merged since
+            if parts[i] != a or j < 0 or parts[j] != b:
+                continue
+            parts[i], parts[j], after[i], left = a + b, None, after[j], left - 1
+            if after[i] >= 0:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (r := self.rank(parts[x], parts[y])) is not None:
+                    heappush(heap, (r, x, parts[x], parts[y]))
+        return [p for p in parts if p is not None]
 
     def _split(self, token: str) -> tuple[str, str] | None:
         """The two parts whose merge makes the token; None for a unit and for a token that merging never makes."""

@@ -5,7 +5,7 @@ they often write differently: a card with other gaps or a wrong digit group, a p
 the name of a mailbox alone. Such tokens look like data but prove nothing by themselves. In the field every
 mention is a node with a label; neighbours in the text are joined by a chain, and mentions that repeat or
 resemble each other, however far apart, by skip edges. Loopy message passing then carries the certainty of the
-proven mentions to the others. The potentials are counted from a bounded sample of documents.
+proven mentions to the others. The potentials are counted over all documents.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ LABELS = ("none", *KINDS)
 # The patterns of the four kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same; a run of digits that fails at its start fails everywhere, so no other place is tried.
+_IP = re.compile(r"(?<![0-9])" + IP.pattern)
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _ANY = re.compile(r"[0-9@]").search
-_MAILBOX = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_MAILBOX = re.compile(r"[A-Za-z0-9._%+-]+")
 #: Mentions that are not proven: numbers with gaps, addresses with their signs spelled out, single words.
 _NUMBER = re.compile(r"[0-9](?:[\x20().,/_-]{0,3}[0-9]){6,18}")
 _SPELLED = re.compile(
@@ -54,13 +56,13 @@ def _luhn(digits: str) -> bool:
 
 
 def _emails(text: str):
-    """Matches of EMAIL. Between two signs no match can begin, so only what stands before each sign is tried."""
+    """Matches of EMAIL. Between two signs no match can begin, so only what stands before each sign is tried, read from its end."""
     at, free = text.find("@"), 0
     while at >= 0:
-        box = _MAILBOX.search(text, max(free, at - 4096), at)
-        if box and box.start() > free and box.start() == at - 4096:
-            box = _MAILBOX.search(text, free, at)
-        if box and (m := EMAIL.match(text, box.start())):
+        size = 256
+        while (box := _MAILBOX.match(text[max(free, at - size) : at][::-1])) and box.end() == size and at - size > free:
+            size *= 4
+        if box and (m := EMAIL.match(text, at - box.end())):
             yield m
             free = m.end()
         at = text.find("@", max(at + 1, free))
@@ -71,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     if not _ANY(text):
         return []
     out = [("email", m.start(), m.end()) for m in _emails(text)]
-    for m in IP.finditer(text):
+    for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
@@ -173,20 +175,19 @@ class Potentials:
     skip: np.ndarray = field(default_factory=lambda: np.eye(len(LABELS)) * 4.0)
 
 
-#: Documents that potentials are counted from: a bounded sample, those with the smallest hash of their id.
-SAMPLE = 4000
 #: No token outside the patterns is taken for data by its look alone: "none" leads by at least this much.
 DOUBT = 1.0
 #: Lead of the kind of a whole form before anything was counted.
 SURE = 3.0
-ROUNDS = 12
+#: Messages that have not settled after a round for every node are halved with those before; graphs that swing on end after so many rounds for every node.
+SWINGS = 20
 PROVEN = 30.0
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Beliefs (nodes x labels) by loopy sum-product; ``edges`` (k x 2), ``pair`` (k x labels x labels) in logarithms.
 
-    Exact where the edges form no loop shorter than the rounds.
+    Rounds go on until the messages settle, so certainty passes along chains of any length; exact where the edges form no loop.
     """
     n = len(unary)
     k = len(edges)
@@ -198,13 +199,15 @@ def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: in
     table = np.concatenate([pair, pair.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(k, 2 * k), np.arange(k)])
     messages = np.zeros((2 * k, unary.shape[1]))
-    for _ in range(max(rounds, 1)):
+    for round_ in range(SWINGS * (n + 1)):
         total = unary.copy()
         np.add.at(total, target, messages)
         out = (total[source] - messages[back])[:, :, None] + table
         top = out.max(axis=1, keepdims=True)
         new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
         new -= new.max(axis=1, keepdims=True)
+        if round_ > n:
+            new = (new + messages) / 2
         done = np.abs(new - messages).max() < 1e-6
         messages = new
         if done:
@@ -266,18 +269,14 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Potentials:
-    """Potentials counted from about ``sample`` documents, whatever the size of the table.
+def fit(docs: DataFrame, text: str = "text") -> Potentials:
+    """Potentials counted over all documents; a task gives one small table of counts.
 
     How often a shape is proven data of each kind, which kinds follow each other, and how often mentions of one key agree.
     """
-    n = docs.count()
-    size = 1 << 30
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(size)) < int(size * min(1.0, sample / max(n, 1))))
-
     def count(batches):
+        seen: Counter = Counter()
         for batch in batches:
-            seen: Counter = Counter()
             for t in batch.column("t").to_pylist():
                 base = base_spans(t)
                 inside = {(a, b): k for k, a, b in base}
@@ -295,10 +294,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int
                 for ks in groups.values():
                     for x, y in zip(ks, ks[1:]):
                         seen["skip", "same" if x == y else "other", ""] += 1
-            rows = [(*k, v) for k, v in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 3 else pa.string()) for i in range(4)], ["what", "a", "b", "n"])
+        rows = [(*k, v) for k, v in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 3 else pa.string()) for i in range(4)], ["what", "a", "b", "n"])
 
-    counted = some.select(F.coalesce(text, F.lit("")).alias("t")).mapInArrow(count, "what string, a string, b string, n long")
+    counted = docs.select(F.coalesce(text, F.lit("")).alias("t")).mapInArrow(count, "what string, a string, b string, n long")
+    # as many rows as there are kinds of shapes and pairs of labels
     rows = counted.groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     out = Potentials()
     shapes: dict[str, Counter] = defaultdict(Counter)

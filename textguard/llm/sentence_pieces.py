@@ -27,7 +27,7 @@ from textguard.llm.common import fresh
 from textguard.llm.merge_pairs import PairTokens
 
 MARK = "▁"
-#: Entries of a worker's memory of words; when it is full it starts anew.
+#: Entries of a worker's memory of words; when it is full, words that came once go.
 MEMORY = 200_000
 #: Texts are encoded in windows of about so many characters, cut at a space.
 WINDOW = 1 << 20
@@ -103,11 +103,15 @@ class Encoder:
         if pieces.bpe:
             order = {n: -pieces.scores[i] for n, i in self.ids.items()}
             self.pairs = PairTokens(self.ids, lambda a, b: order.get(a + b))
+            # no merge crosses two characters that no piece has next to each other
+            self.adjacent = {n[i : i + 2] for n in self.ids for i in range(len(n) - 1)}
             self.own, self.sizes = [self.ids[n] for n in self.pairs.names], [len(n) for n in self.pairs.names]
         else:
             scores = {n: pieces.scores[i] for n, i in self.ids.items()}
             self.sums = BestSums(scores, min(scores.values()) - 10)
         self.of_word: dict[str, bytes | None] = {"": None}
+        self.again: set[str] = set()
+        self.of_part: dict[str, bytes] = {}
         self.of_marked: dict[str, bytes] = {}
 
     def _outside(self, char: str) -> list[int]:
@@ -148,9 +152,34 @@ class Encoder:
     def _learn(self, marked: set[str]) -> None:
         self.of_marked.update(self.segment(sorted(marked.difference(self.of_marked))))
 
+    def _parts(self, word: str) -> list[str]:
+        """A marked word in parts that are encoded apart."""
+        adjacent = self.adjacent
+        cuts = [i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in adjacent]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
     def _learn_words(self, words: set[str]) -> None:
-        for word, packed in self.segment(sorted(MARK + w for w in words.difference(self.of_word))):
-            self.of_word[word[1:]] = packed
+        new = words.difference(self.of_word)
+        self.again |= words.difference(new)
+        if not self.pieces.bpe:
+            for word, packed in self.segment(sorted(MARK + w for w in new)):
+                self.of_word[word[1:]] = packed
+            return
+        parts = {w: self._parts(MARK + w) for w in new}
+        self.of_part.update(self.segment(sorted({p for ps in parts.values() for p in ps}.difference(self.of_part))))
+        for w, ps in parts.items():
+            self.of_word[w] = self.of_part[ps[0]] if len(ps) == 1 else b"".join(map(self.of_part.__getitem__, ps))
+
+    def _forget(self) -> None:
+        if len(self.of_word) > MEMORY:
+            self.again.discard("")
+            kept = self.again if len(self.again) <= MEMORY // 2 else ()
+            self.of_word = {"": None, **{w: self.of_word[w] for w in kept}}
+            self.again = set()
+        if len(self.of_part) > MEMORY:
+            self.of_part.clear()
+        if len(self.of_marked) > MEMORY:
+            self.of_marked.clear()
 
     def windows(self, text: str) -> Iterator[str]:
         """``text`` in parts that are encoded apart: a part ends before a space between two other characters, which the next part's mark stands for."""
@@ -166,9 +195,7 @@ class Encoder:
         yield text[start:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.of_word) > MEMORY or len(self.of_marked) > MEMORY:
-            self.of_word = {"": None}
-            self.of_marked.clear()
+        self._forget()
         split = [[p.split(" ") for p in self.windows(t.replace(MARK, " "))] if t else [] for t in texts]
         self._learn_words(set().union(*(words for parts in split for words in parts)))
         out = []
@@ -201,7 +228,8 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-BATCH = 256
+#: Texts whose words are learnt together.
+BATCH = 1024
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", into: str = "piece_ids") -> DataFrame:

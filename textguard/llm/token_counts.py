@@ -42,6 +42,10 @@ def _letters() -> dict[str, int]:
     return out | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+#: Longer pieces are not remembered.
+LONG = 64
+
+
 class Counter:
     """Counts for the vocabulary in ``spec``, the text of a tokenizers JSON file (byte-level BPE)."""
 
@@ -120,7 +124,8 @@ class Counter:
         return out
 
     def prefixes(self, text: str) -> list[int]:
-        """The token count of every prefix of ``text`` by code points, from the empty prefix on."""
+        """The token count of every prefix of ``text`` by code points, from the empty prefix on; one forward pass, nothing is encoded again."""
+        self._forget()
         out, start = [0], 0
         marks = [(m.start(), m.end()) for m in self.cut_special.finditer(text)] + [(len(text), len(text))]
         for begin, end in marks:
@@ -135,8 +140,8 @@ class Counter:
 
     def _segment(self, text: str) -> list[int]:
         out, base = [0], 0
-        run, run_base = 0, 0  # where the white space that the last prefix ends in began, and the count before it
-        at = 0
+        counts_of_run, run = (0,), 0  # of the white space that a prefix ends in, and where it begins
+        run_base, at = 0, 0
         for piece in self.find(text):
             counts = self._inside(piece)
             for k, char in enumerate(piece, 1):
@@ -145,16 +150,19 @@ class Counter:
                     out.append(base + counts[k])
                     continue
                 if k == 1 and (at == 0 or not blank(text[at - 1])):
-                    run, run_base = at, base
+                    run, run_base, stop = at, base, end
+                    while stop < len(text) and blank(text[stop]):
+                        stop += 1
+                    counts_of_run = self._inside(text[run:stop])
                 # a prefix that ends in white space has all of that run as its last piece
-                out.append(run_base + self._plain(text[run:end]))
+                out.append(run_base + counts_of_run[end - run])
             base += counts[-1]
             at += len(piece)
         return out
 
-    def _inside(self, piece: str) -> list[int]:
+    def _inside(self, piece: str) -> tuple[int, ...]:
         """Counts of the prefixes of one piece; a contraction that is not whole is two pieces."""
-        return list(_piece_prefixes(self, piece))
+        return _piece_prefixes(self, piece) if len(piece) <= LONG else _prefixes_of(self, piece)
 
     def fitting(self, text: str, budget: int) -> int:
         """Code points of the longest prefix with at most ``budget`` tokens."""
@@ -164,6 +172,10 @@ class Counter:
 
 @lru_cache(100_000)
 def _piece_prefixes(counter: Counter, piece: str) -> tuple[int, ...]:
+    return _prefixes_of(counter, piece)
+
+
+def _prefixes_of(counter: Counter, piece: str) -> tuple[int, ...]:
     units = piece.encode().decode("latin-1")
     for _, _, count in counter.pairs.sweep([units]):
         ends = [0, *accumulate(len(c.encode()) for c in piece)]
@@ -208,7 +220,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text:
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, and in ``counts`` the exact token count of every prefix by code points, from the empty one on (array<int>)."""
+    """id, and in ``counts`` the exact token count of every prefix by code points, from the empty one on (array<int>).
+
+    A null text counts as empty and has the one count 0. Null and repeated ids, an empty table and other columns of any name are fine.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(vocabulary))
 
     def run(batches):
