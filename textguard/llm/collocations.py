@@ -3,9 +3,10 @@
 Texts are tokenised once into blocks: the words of many texts of one language as numbers into a small word list of the block.
 Then, level by level:
 
-1. *Candidates.* A phrase can only be frequent if its parts are, so a phrase of k words is proposed where a frequent phrase of k - 1 words
-   is followed by a frequent word (and, if one trie holds them all, by a frequent phrase). Blocks give each proposal once, with how often they
-   have it; those with enough support in all blocks are candidates.
+1. *Candidates.* A phrase can only be frequent if its parts are, and if the bucket that it hashes into is. So a phrase of k words is
+   hashed where a frequent phrase of k - 1 words is followed by a frequent word (and, if one trie holds them all, by a frequent phrase).
+   Blocks send the places of their buckets, not phrases; buckets are summed range by range, and the full ones come
+   back as a bitmap of bounded size. Phrases in full buckets are candidates: a superset of the frequent ones.
 2. *Tries.* Candidates go into double-array tries of bounded size, which are broadcast one after the other. A task moves the states of all
    positions of a block at once, word by word, and counts the accepting states; the counts of all blocks are summed.
 
@@ -14,6 +15,7 @@ The scores are joins of these counts with those of the phrases' parts, in exact
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,7 +24,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +34,16 @@ SUPPORT = 100
 TOP = 2000
 UNKNOWN = "und"
 #: Words of a block, and words that a task keeps in open blocks at most (one text more).
-BLOCK = 1 << 20
-OPEN = 1 << 22
+BLOCK = 1 << 18
+OPEN = 1 << 21
 #: Candidates of a trie: bounds what the driver holds and broadcasts at a time (some 30 MB).
 TRIE = 300_000
+#: Buckets of a range at most (one array of counts in a task), ranges at least, and bits of a broadcast bitmap at most (16 MB).
+RANGE = 1 << 24
+RANGES = 256
+BITS = 1 << 27
+#: Candidates that a task remembers at most.
+GIVEN = 500_000
 #: Rows that one task ranks, roughly, before the ranks of a language are merged.
 RANKED = 50_000
 
@@ -49,10 +56,9 @@ def words_of(text: str) -> list[bytes]:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """block, lang, words (distinct ones), counts (of each), codes (int32: 1 + place in ``words``, 0 between pieces)."""
+    """lang, words (distinct ones), counts (of each), codes (1 + place in ``words``, 0 between pieces)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, made = TaskContext.get().partitionId() << 33, itertools.count()
         held: dict[str, list[np.ndarray]] = defaultdict(list)
         number: dict[str, defaultdict] = {}
         size: dict[str, int] = defaultdict(int)
@@ -62,13 +68,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
             codes = np.concatenate(held.pop(lang))
             size.pop(lang)
             counts = np.bincount(codes, minlength=len(known) + 1)[1:]
+            codes = _packed(codes, len(known))
             lists = [
                 pa.ListArray.from_arrays([0, len(known)], pa.array(known, pa.binary()).cast(pa.string())),
                 pa.ListArray.from_arrays([0, len(known)], pa.array(counts, pa.int64())),
             ]
             return pa.RecordBatch.from_arrays(
-                [pa.array([first + next(made)], pa.int64()), pa.array([lang]), *lists, pa.array([codes.tobytes()], pa.binary())],
-                ["block", "lang", "words", "counts", "codes"],
+                [pa.array([lang]), *lists, pa.array([codes], pa.binary())],
+                ["lang", "words", "counts", "codes"],
             )
 
         for batch in batches:
@@ -85,31 +92,149 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     yield from [close(each) for each in list(size)]
         yield from [close(each) for each in list(size)]
 
-    return docs.mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, codes binary")
+    return docs.mapInArrow(run, "lang string, words array<string>, counts array<long>, codes binary")
 
 
-def _frequent_only(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Blocks (lang, words, codes) with frequent words alone; a 0 stands for all that is between."""
-    seen = blocks.select("block", "lang", F.posexplode("words").alias("pos", "word"))
-    marks = seen.join(frequent.select("lang", "word"), ["lang", "word"], "left_semi").groupBy("block").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+def _hash(lang: str, words: list[str]) -> np.ndarray:
+    """64 bits for every word of a language."""
+    start = hashlib.blake2b(f"{lang}\0".encode(), digest_size=8)
 
+    def one(word: str) -> int:
+        h = start.copy()
+        h.update(word.encode())
+        return int.from_bytes(h.digest(), "little")
+
+    return np.fromiter(map(one, words), np.uint64, len(words))
+
+
+def _extended(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hashes of phrases with one word more."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
+    return h ^ (h >> np.uint64(29))
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """How hashes fall into buckets: a power of two of them, dealt out over ranges by their lowest bits."""
+
+    size: int
+    ranges: int
+
+    @staticmethod
+    def of(words: int) -> Buckets:
+        """About a bucket for every word, so that few are full that hold no frequent phrase."""
+        size = 1 << max(16, int(words).bit_length())
+        return Buckets(size, max(RANGES, size // RANGE))
+
+    @property
+    def bits(self) -> int:
+        """Bits of a range's part of the bitmap; places beyond share them."""
+        return max(8, min(self.size, BITS) // self.ranges)
+
+    def split(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = h & np.uint64(self.size - 1)
+        return (bucket & np.uint64(self.ranges - 1)).astype(np.int64), (bucket // np.uint64(self.ranges)).astype(np.int64)
+
+    def rows(self, h: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        """(range, places, counts) of all buckets that occur, as bytes that compress well: differences, lowest bytes first."""
+        of, place = self.split(h)
+        code, n = np.unique(of * (self.size // self.ranges) + place, return_counts=True)
+        of, place = np.divmod(code, self.size // self.ranges)
+        n = np.minimum(n, 0xFFFFFFFF).astype(np.uint32)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
+            yield int(of[a]), _bytes_apart(np.diff(place[a:b], prepend=0).astype(np.uint32)), _bytes_apart(n[a:b])
+
+    def full(self, rows: DataFrame, support: int) -> np.ndarray:
+        """The bitmap of the buckets with enough support: a row of bits for every range."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total = None, np.zeros(0, np.int64)
+
+            def close():
+                hot = np.zeros(self.bits, bool)
+                hot[np.flatnonzero(total >= support) % self.bits] = True
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(hot).tobytes()], pa.binary())], ["range", "hot"])
+
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["range"] != now:
+                        if now is not None:
+                            yield close()
+                        now, total = r["range"], np.zeros(self.size // self.ranges, np.int64)
+                    total[np.cumsum(_bytes_together(r["places"]))] += _bytes_together(r["counts"])
+            if now is not None:
+                yield close()
+
+        out = np.zeros((self.ranges, max(1, self.bits // 8)), np.uint8)
+        dealt = rows.repartition("range").sortWithinPartitions("range")
+        # BITS bits at most
+        for r in dealt.mapInArrow(run, "range long, hot binary").collect():
+            out[r["range"]] = np.frombuffer(r["hot"], np.uint8)
+        return out
+
+    def among(self, h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        of, place = self.split(h)
+        place %= self.bits
+        return (hot[of, place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _bytes_apart(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _bytes_together(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _word_buckets(frequent: DataFrame, buckets: Buckets) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                words, places = (batch.column(c)[row].values for c in ("words", "places"))
-                places = places.to_numpy()
-                new = np.zeros(len(words) + 1, np.int32)
-                new[places + 1] = np.arange(1, len(places) + 1)
-                codes = new[np.frombuffer(batch.column("codes")[row].as_py(), np.int32)]
-                # several gaps in a row are one
-                codes = codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]
-                kept = words.take(pa.array(places))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(row, 1), pa.ListArray.from_arrays([0, len(kept)], kept), pa.array([codes.tobytes()], pa.binary())], ["lang", "words", "codes"]
-                )
-
-    met = blocks.select("block", "lang", "words", "codes").join(marks, "block")
-    return met.mapInArrow(run, "lang string, words array<string>, codes binary")
+            of_lang: dict[str, list[str]] = defaultdict(list)
+            for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist()):
+                of_lang[lang].append(word)
+            for lang, words in of_lang.items():
+                yield _range_batch(list(buckets.rows(_hash(lang, words))))
+
+    return frequent.select("lang", "word").mapInArrow(run, "range long, places binary, counts binary")
+
+
+def _range_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    of, places, counts = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], ["range", "places", "counts"])
+
+
+def _frequent_only(blocks: DataFrame, buckets: Buckets, hot: np.ndarray) -> DataFrame:
+    """Blocks (lang, words, codes) without the words that are surely rare; a 0 stands for all that is between."""
+    shared = blocks.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, codes in _rows(batches):
+            places = np.flatnonzero(buckets.among(_hash(lang, words), shared.value))
+            new = np.zeros(len(words) + 1, np.int32)
+            new[places + 1] = np.arange(1, len(places) + 1)
+            codes = new[codes]
+            # several gaps in a row are one
+            codes = codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]
+            kept = pa.array([words[i] for i in places], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang]), pa.ListArray.from_arrays([0, len(kept)], kept), pa.array([_packed(codes, len(kept))], pa.binary())], ["lang", "words", "codes"]
+            )
+
+    return blocks.select("lang", "words", "codes").mapInArrow(run, "lang string, words array<string>, codes binary")
+
+
+def _packed(codes: np.ndarray, words: int) -> bytes:
+    return codes.astype(np.uint16 if words < 1 << 16 else np.uint32).tobytes()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    """lang, words and codes of blocks."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words = batch.column("words")[row].as_py()
+            raw = batch.column("codes")[row].as_buffer()
+            yield batch.column("lang")[row].as_py(), words, np.frombuffer(raw, np.uint16 if len(words) < 1 << 16 else np.uint32).astype(np.int64)
 
 
 @dataclass
@@ -195,48 +320,95 @@ def advance(trie: Trie, ids: np.ndarray, words: int) -> tuple[np.ndarray, np.nda
     return at, trie.accept[state]
 
 
-def _support(blocks: DataFrame, words: int, trie: Trie | None, whole: bool, more: bool) -> DataFrame:
-    """(lang, phrase, counted, n) of every block: occurrences of the trie's phrases, and of proposals with one word more."""
-    shared = blocks.sparkSession.sparkContext.broadcast(trie)
+@dataclass
+class _Step:
+    """What a pass over blocks needs: the trie of phrases of ``words`` words (none: single words), and whether it holds all of them."""
+
+    words: int
+    trie: Trie | None
+    whole: bool
+
+    def begin(self, lang: str, known: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Where phrases begin, which they are, and their list."""
+        if self.trie is None:
+            at = np.flatnonzero(codes)
+            return at, codes[at] - 1, known
+        letters = self.trie.letters.get(lang, {})
+        at, of = advance(self.trie, np.array([0, *[letters.get(w, 0) for w in known]], np.int64)[codes], self.words)
+        return at, of, self.trie.phrases
+
+    def longer(self, lang: str, known: list[str], codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the places have a frequent word behind the phrase, and a frequent phrase from the next word on; the hashes of phrases and word."""
+        starts = np.zeros(len(codes) + 1, bool)
+        starts[at] = True
+        end = at + self.words
+        on = np.flatnonzero((end < len(codes)) & (starts[at + 1] if self.whole else True))
+        on = on[codes[end[on]] > 0]
+        of_word = np.concatenate([[0], _hash(lang, known)]).astype(np.uint64)
+        h = of_word[codes[at[on]]]
+        for k in range(1, self.words + 1):
+            h = _extended(h, of_word[codes[at[on] + k]])
+        return on, h
+
+
+def _counted(blocks: DataFrame, step: _Step, buckets: Buckets | None) -> DataFrame:
+    """(lang, phrase, n) of the trie's phrases in all blocks of a task, and (range, places, counts) of every block's buckets of phrases with one word more."""
+    shared = blocks.sparkSession.sparkContext.broadcast(step)
+    names = ["lang", "phrase", "n", "range", "places", "counts"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
-    def rows(lang, phrases, n, counted):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array([counted] * len(phrases), pa.bool_()), pa.array(n, pa.int64())],
-            ["lang", "phrase", "counted", "n"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value.trie
+        total, of_lang = np.zeros(len(trie.phrases) if trie else 0, np.int64), {}
+        with np.errstate(over="ignore"):
+            for lang, known, codes in _rows(batches):
+                at, of, _ = shared.value.begin(lang, known, codes)
+                if trie:
+                    seen = np.bincount(of, minlength=len(total))
+                    total += seen
+                    # a phrase of the trie belongs to one language
+                    of_lang[lang] = seen > 0 if lang not in of_lang else of_lang[lang] | (seen > 0)
+                if buckets:
+                    rows = _range_batch(list(buckets.rows(shared.value.longer(lang, known, codes, at)[1])))
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(rows.num_rows, k) for k in kinds[:3]], *rows.columns], names)
+        for lang, there in of_lang.items():
+            there = np.flatnonzero(there)
+            counted = [[lang] * len(there), [trie.phrases[i] for i in there], total[there]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(counted, kinds)], *[pa.nulls(len(there), k) for k in kinds[3:]]], names)
+
+    return blocks.mapInArrow(run, "lang string, phrase string, n long, range long, places binary, counts binary")
+
+
+def _candidates(blocks: DataFrame, step: _Step, buckets: Buckets, hot: np.ndarray) -> DataFrame:
+    """(lang, phrase) of phrases with one word more in full buckets; a task remembers a bounded number of those it has given."""
+    shared = blocks.sparkSession.sparkContext.broadcast((step, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                lang, known = batch.column("lang")[row].as_py(), batch.column("words")[row].as_py()
-                codes = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)
-                if t is None:
-                    at, of, phrases = np.flatnonzero(codes), None, known
-                    of = codes[at].astype(np.int64) - 1
-                else:
-                    letters = t.letters.get(lang, {})
-                    ids = np.array([0, *[letters.get(w, 0) for w in known]], np.int64)[codes]
-                    at, of = advance(t, ids, words)
-                    phrases = t.phrases
-                    seen = np.bincount(of)
-                    there = np.flatnonzero(seen)
-                    yield rows(lang, [phrases[i] for i in there], seen[there], True)
-                if more:
-                    starts = np.zeros(len(codes) + 1, bool)
-                    starts[at] = True
-                    end = at + words
-                    then = np.where(end < len(codes), codes[np.minimum(end, len(codes) - 1)], 0) if len(codes) else at
-                    on = (then > 0) & (starts[at + 1] if whole else True)
-                    pair, n = np.unique(of[on] * (len(known) + 1) + then[on], return_counts=True)
-                    heads, tails = np.divmod(pair, len(known) + 1)
-                    yield rows(lang, [f"{phrases[i]} {known[j - 1]}" for i, j in zip(heads.tolist(), tails.tolist())], n, False)
-
-    return blocks.mapInArrow(run, "lang string, phrase string, counted boolean, n long")
-
-
-def _summed(seen: DataFrame, support: int) -> DataFrame:
-    return seen.groupBy("lang", "phrase", "counted").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+        step, hot = shared.value
+        given: dict[str, set[str]] = defaultdict(set)
+        with np.errstate(over="ignore"):
+            for lang, known, codes in _rows(batches):
+                at, of, phrases = step.begin(lang, known, codes)
+                on, h = step.longer(lang, known, codes, at)
+                on = on[buckets.among(h, hot)]
+                heads, tails = np.divmod(np.unique(of[on] * (len(known) + 1) + codes[at[on] + step.words]), len(known) + 1)
+                found = {f"{phrases[i]} {known[j - 1]}" for i, j in zip(heads.tolist(), tails.tolist())} - given[lang]
+                if sum(map(len, given.values())) > GIVEN:
+                    given.clear()
+                given[lang] |= found
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string())], ["lang", "phrase"])
+
+    return blocks.mapInArrow(run, "lang string, phrase string")
+
+
+def _tries(phrases: DataFrame, words: int, trie: int) -> Iterator[_Step]:
+    """Tries of about ``trie`` phrases, one after the other."""
+    parts = -(-phrases.count() // trie)
+    dealt = phrases.select("lang", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, parts))).alias("part"))
+    for part in range(parts):
+        mine = dealt.where(F.col("part") == part).select("lang", "phrase").toArrow()
+        if mine.num_rows:
+            yield _Step(words, build_trie(mine.column("lang").to_pylist(), mine.column("phrase").to_pylist()), parts == 1)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, longest: int = LONGEST, trie: int = TRIE) -> tuple[DataFrame, DataFrame]:
@@ -250,23 +422,23 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", suppo
     totals = stored(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
     frequent = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= support))
     counts = [frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")]
-    blocks = stored(_frequent_only(blocks, frequent))
-    proposed = stored(_summed(_support(blocks, 1, None, True, True), support)) if longest > 1 else None
+    buckets = Buckets.of(totals.agg(F.sum("n")).first()[0] or 0)
+    blocks = stored(_frequent_only(blocks, buckets, buckets.full(_word_buckets(frequent, buckets), 1)))
+
+    steps, rows = [_Step(1, None, True)], _counted(blocks, _Step(1, None, True), buckets)
     for k in range(2, longest + 1):
-        total = proposed.count()
-        parts = -(-total // trie)
-        dealt = stored(proposed.select("lang", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, parts))).alias("part")))
-        seen = []
-        for part in range(parts):
-            # about ``trie`` phrases at a time
-            mine = dealt.where(F.col("part") == part).select("lang", "phrase").toArrow()
-            built = build_trie(mine.column("lang").to_pylist(), mine.column("phrase").to_pylist())
-            seen.append(stored(_summed(_support(blocks, k, built, parts == 1, k < longest), support)))
+        hot = buckets.full(rows.where("range IS NOT NULL").select("range", "places", "counts"), support)
+        found = reduce(DataFrame.unionByName, [_candidates(blocks, step, buckets, hot) for step in steps])
+        found = stored(found.distinct())
+        last, seen, steps = k == longest, [], []
+        for step in _tries(found, k, trie):
+            seen.append(stored(_counted(blocks, step, None if last else buckets)))
+            steps.append(step)
         if not seen:
             break
-        seen = reduce(DataFrame.unionByName, seen)
-        counts.append(seen.where("counted").select("lang", "phrase", F.lit(k).alias("words"), F.col("n").alias("f")))
-        proposed = seen.where("NOT counted")
+        rows = reduce(DataFrame.unionByName, seen)
+        f = rows.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+        counts.append(stored(f.select("lang", "phrase", F.lit(k).alias("words"), "f")))
     return stored(reduce(DataFrame.unionByName, counts)), totals
 
 
