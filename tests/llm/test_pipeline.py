@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline as cp
 from tests.llm.test_ngram_join import brute
-from textguard.llm import mixing
+from tests.llm.test_operators import _descended, _rates_of
 
 
 def table(spark, tmp_path_factory):
@@ -97,18 +97,14 @@ def test_all_that_are_likely_good_stay(spark, sf):
 
 def test_rates_next_to_a_plain_version(spark):
     rng = np.random.default_rng(4)
-    p = np.round(rng.dirichlet([0.8, 0.4, 0.4], 50), 3)
-    p[:, 2] = np.round(1 - p[:, 0] - p[:, 1], 3)
+    p = rng.dirichlet([0.8, 0.4, 0.4], 50)
     n = rng.integers(1, 500, 50)
-    seen = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_words long, posterior array<double>")
-    steps = mixing.fit_rates(seen, ["good", "low", "toxic"], cp.TARGETS, keep="good", most=1.0)
-    there, kept = n @ p, p.argmax(axis=1) == 0
-    want = there[0] / cp.TARGETS["good"] * np.array(list(cp.TARGETS.values()))
-    r = np.ones(50)
-    for step in steps:
-        assert np.allclose(step, ((n * r) @ p - want) / there)
-        r = np.where(kept, 1.0, np.clip(r - p @ np.array(step), 0, 1))
-    assert len(steps) > 1 and r[~kept].min() < 0.5
+    names = ["good", "low", "toxic"]
+    _, rates = _rates_of(spark, p, n, names, cp.TARGETS, keep="good", most=1.0)
+    want = _descended(p, n, names, cp.TARGETS, "good", 1.0)
+    kept = p.argmax(axis=1) == 0
+    assert (rates[kept] == 1).all() and rates[~kept].min() < 0.5
+    assert np.allclose((n * rates) @ p, (n * want) @ p, atol=0.005 * n.sum())
 
 
 def test_empty(spark, corpus):

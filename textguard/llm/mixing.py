@@ -1,11 +1,12 @@
 """Mixing a corpus to target weights of domains, with soft membership.
 
 1. *Classifier.* Domains come from a table of labelled documents. Naive Bayes over words and a few traits of
-   the text (share of capitals, signs, digits, different words) gives every document a posterior for every domain, in
-   thousandths. Everything is counted and scored with SQL functions.
+   the text (share of capitals, signs, digits, different words) gives every document a posterior for every domain.
+   Everything is counted and scored with SQL functions.
 2. *Rates.* Every document gets a rate r >= 0, how often it should be drawn. Projected gradient
-   descent on the weighted squares of (expected tokens of a domain - its target), from r = 1 for all. Documents
-   with equal posteriors move alike, so the steps run on tokens summed by posterior.
+   descent on the weighted squares of (expected tokens of a domain - its target), from r = 1 for all. The gradient is the same
+   for all documents but for their posteriors, so all steps together are one number a domain, and a rate is the projection of what they
+   leave. Each step is one pass of sums over all documents, which also tries several lengths of the step.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.functions.columns import constant
 from textguard.llm.common import fresh, join_same, stored, text_of
 
 _log = logging.getLogger(__name__)
@@ -30,13 +32,14 @@ LEAST_DOCS = 4
 #: ... in this share more of the domain's documents than of the others, and in so many times their share.
 LEAST_LEAD = 0.02
 LEAST_LIFT = 2.0
-#: Posteriors are rounded to this many parts.
-PARTS = 1000
-#: Steps end when all domains are so close to their targets, or when a step moves no more than this: parts of all tokens.
+#: Steps end when all domains are so close to their targets (parts of all tokens), or when none takes off more than this part of the squares.
 CLOSE = 1e-5
-STILL = 1e-8
+STILL = 1e-4
+#: Lengths that a step is tried with, with and without going on in the direction of the last one.
+LENGTHS = (0.5, 1.0, 3.0, 10.0, 40.0, 300.0)
+ONWARD = (0.0, 0.7)
 #: A bound that no step should meet; what error is left is written to the log.
-STEPS = 20_000
+STEPS = 200
 
 #: What the query and the pipeline mix: shares of all tokens.
 TARGETS = {"good": 0.8, "low": 0.15, "toxic": 0.05}
@@ -109,7 +112,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
 
 
 def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words`` (long) and ``posterior`` (array<double> in the order of the domains, thousandths that add up to 1)."""
+    """``docs`` with ``n_words`` (long) and ``posterior`` (array<double> in the order of the domains, adding up to 1)."""
     seen = _terms(docs, text).withColumn("n_words", F.size("_words").cast("long"))
     domains, weights = model["domains"], model["weights"]
     if not domains:
@@ -128,70 +131,76 @@ def posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     seen = seen.withColumn("_scores", scores).withColumn("_top", F.array_max("_scores"))
     seen = seen.withColumn("_scores", F.transform("_scores", lambda s: F.exp(s - F.col("_top"))))
     seen = seen.withColumn("_sum", F.aggregate("_scores", F.lit(0.0), lambda a, s: a + s))
-    parts = F.transform("_scores", lambda s: F.round(s / F.col("_sum") * PARTS))
-    seen = seen.withColumn("_parts", parts).withColumn("_off", PARTS - F.aggregate("_parts", F.lit(0.0), lambda a, s: a + s))
-    # what rounding left over goes to the likeliest domain
-    at = F.array_position("_parts", F.array_max("_parts")) - 1
-    seen = seen.withColumn("posterior", F.transform("_parts", lambda s, i: F.when(i == at, s + F.col("_off")).otherwise(s) / PARTS))
-    return seen.drop("_words", "_terms", "_hits", "_scores", "_top", "_sum", "_parts", "_off")
-
-
-def _cells(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The different posteriors and their tokens. Of thousandths there are a bounded number, half a million for three domains."""
-    cells = seen.groupBy("posterior").agg(F.sum("n_words").cast("double").alias("tokens"))
-    rows = sorted((tuple(r["posterior"]), r["tokens"]) for r in cells.collect())
-    return np.array([p for p, _ in rows], float), np.array([n for _, n in rows], float)
-
-
-def _descend(
-    p: np.ndarray, tokens: np.ndarray, domains: list[str], targets: dict[str, float], keep: str | None, most: float | None
-) -> tuple[list[list[float]], np.ndarray]:
-    """The steps of projected gradient descent until nothing changes any more, and the rates of the cells after them."""
-    rates = np.ones(len(tokens))
-    if not domains or not tokens.sum():
-        return [], rates
-    whole, there = tokens.sum(), tokens @ p
-    budget = there[domains.index(keep)] / targets[keep] if keep in domains and targets.get(keep) else whole
-    want = np.array([targets.get(d, 0.0) for d in domains]) * budget
-    least = (p.argmax(axis=1) == domains.index(keep)).astype(float) if keep in domains else np.zeros(len(tokens))
-    steps: list[list[float]] = []
-    moved = whole
-    while True:
-        off = (tokens * rates) @ p - want
-        if np.abs(off).max() <= CLOSE * whole:
-            break
-        if moved <= STILL * whole or len(steps) == STEPS:
-            missed = ", ".join(f"{d} {o / whole:+.5f}" for d, o in zip(domains, off))
-            _log.warning("targets not met after %d steps, off by parts of all tokens: %s", len(steps), missed)
-            break
-        # squares weighted by one over the domain's tokens: the gradient's Lipschitz constant is then at most 1
-        step = np.divide(off, there, out=np.zeros(len(there)), where=there > 0)
-        new = np.minimum(np.maximum(rates - p @ step, least), np.inf if most is None else most)
-        moved, rates = tokens @ np.abs(new - rates), new
-        steps.append(step.tolist())
-    return steps, rates
+    seen = seen.withColumn("posterior", F.transform("_scores", lambda s: s / F.col("_sum")))
+    return seen.drop("_words", "_terms", "_hits", "_scores", "_top", "_sum")
+
+
+def _rate(p: list[Column], taken: list[Column], least: Column, most: float | None) -> Column:
+    """The rate that the steps leave: 1 less the document's part of each domain, not below ``least`` or above ``most``."""
+    left = reduce(lambda a, b: a - b, [x * u for x, u in zip(p, taken)], F.lit(1.0))
+    left = F.greatest(left, least)
+    return left if most is None else F.least(left, F.lit(float(most)))
+
+
+def _least(domains: list[str], keep: str | None) -> Column:
+    """1 for documents whose likeliest domain is the kept one, 0 for others."""
+    if keep not in domains:
+        return F.lit(0.0)
+    at = F.array_position("posterior", F.array_max("posterior"))
+    return F.when(at == domains.index(keep) + 1, 1.0).otherwise(0.0)
 
 
 def fit_rates(
     seen: DataFrame, domains: list[str], targets: dict[str, float], keep: str | None = None, most: float | None = None
-) -> list[list[float]]:
-    """The steps of projected gradient descent; ``seen`` has ``n_words`` and ``posterior``.
+) -> list[float]:
+    """What projected gradient descent takes off the rates, by domain; ``seen`` has ``n_words`` and ``posterior``.
 
     ``targets`` are shares by domain of all tokens there are, or of as many as make the target of the domain
-    ``keep`` just what it has; documents whose likeliest domain that is keep a rate of 1 or more. Each step
-    takes off its part of every domain from a rate, but never goes below that or 0 (or above ``most``).
-    Steps run on tokens summed by posterior; a step is one number a domain.
+    ``keep`` just what it has; documents whose likeliest domain that is keep a rate of 1 or more. Every step sums tokens over all
+    rows in the tasks; only sums, one a domain and length, come to the driver.
     """
-    return _descend(*_cells(seen), domains, targets, keep, most)[0]
+    p = [F.col(f"p{k}") for k in range(len(domains))]
+    rows = seen.select(F.col("n_words").cast("double").alias("n"), *[F.col("posterior")[k].alias(f"p{k}") for k in range(len(domains))], _least(domains, keep).alias("least"))
+
+    def sums(tried: list[np.ndarray]) -> np.ndarray:
+        # what is tried is data, so that all steps share one compiled plan
+        each = rows.select("*", F.posexplode(constant([t.tolist() for t in tried], "array<array<double>>")).alias("i", "u"))
+        rate = _rate(p, [F.col("u")[k] for k in range(len(domains))], F.col("least"), most)
+        out = np.zeros((len(tried), len(domains)))
+        for r in each.groupBy("i").agg(*[F.sum(F.col("n") * rate * x).alias(f"s{k}") for k, x in enumerate(p)]).collect():
+            out[r["i"]] = [r[f"s{k}"] or 0.0 for k in range(len(domains))]
+        return out
+
+    there = np.array([v or 0.0 for v in rows.agg(*[F.sum(F.col("n") * x) for x in p]).first()]) if domains else np.zeros(0)
+    whole = there.sum()
+    taken = before = np.zeros(len(domains))
+    if not whole:
+        return taken.tolist()
+    budget = there[domains.index(keep)] / targets[keep] if keep in domains and targets.get(keep) else whole
+    want = np.array([targets.get(d, 0.0) for d in domains]) * budget
+    # squares weighted by one over the domain's tokens: a step of length 1 is then never too long
+    weight = np.divide(1.0, there, out=np.zeros(len(there)), where=there > 0)
+    off = sums([taken])[0] - want
+    for _ in range(STEPS):
+        if np.abs(off).max() <= CLOSE * whole:
+            return taken.tolist()
+        tried = [taken + a * off * weight + b * (taken - before) for a in LENGTHS for b in ONWARD]
+        offs = sums(tried) - want
+        squares = (offs**2 * weight).sum(axis=1)
+        best = int(squares.argmin())
+        now = (off**2 * weight).sum()
+        if squares[best] >= now * (1 - STILL):
+            break
+        before, taken, off = taken, tried[best], offs[best]
+    missed = ", ".join(f"{d} {o / whole:+.5f}" for d, o in zip(domains, off))
+    _log.warning("targets not met, off by parts of all tokens: %s", missed)
+    return taken.tolist()
 
 
 def rated(seen: DataFrame, domains: list[str], targets: dict[str, float], keep: str | None = None, most: float | None = None) -> DataFrame:
-    """``seen`` with the ``rate`` after the steps of ``fit_rates``: one for each posterior, so they go by broadcast."""
-    p, tokens = _cells(seen)
-    _, rates = _descend(p, tokens, domains, targets, keep, most)
-    rows = [(list(map(float, x)), float(r)) for x, r in zip(p, rates)]
-    table = stored(seen.sparkSession.createDataFrame(rows, "posterior array<double>, rate double"))
-    return seen.join(F.broadcast(table), "posterior")
+    """``seen`` with the ``rate`` that ``fit_rates`` leaves."""
+    taken = fit_rates(seen, domains, targets, keep, most)
+    return seen.withColumn("rate", _rate([F.col("posterior")[k] for k in range(len(domains))], [F.lit(u) for u in taken], _least(domains, keep), most))
 
 
 def mix(
