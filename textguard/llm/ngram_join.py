@@ -9,9 +9,11 @@ Each document is the set of its distinct n-grams (64-bit hashes). Equal sets are
    A token that few sets have is a signature by itself. Frequent tokens fall into classes by hash, and
    the pairs within a class are signatures. A prefix is extended until it has more signatures than a
    partner's missing tokens can spoil, so partners always share one.
-3. *Verification.* Sets that share a signature are compared exactly. In large groups all are first compared
-   with one of them; sets that are connected by then need no further comparison, so a group of
-   many near copies never becomes all its pairs. What is still apart is then compared in full.
+3. *Verification.* Sets that share a signature are compared exactly. In a group all are first compared
+   with the most central of them, the leader, which connects a group of many near copies without its pairs. What two
+   sets have in common follows from how each differs from the leader and from the differences they share. If one of them
+   has no link to the leader, they can only be similar if they share more than about half of the other's differences:
+   the rarest of these are indexed, and only sets that meet there are compared.
 
 Links are exact and complete between classes of connected sets: no cap on partners or on groups.
 """
@@ -24,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.llm.common import fresh, join_groups, join_same, stored, text_of
@@ -39,10 +41,10 @@ RARE = 16
 CLASS = 4
 #: A prefix by hash is longer by this percentage of the set.
 EXTRA = 5
-#: Pairs for each set that are few enough to compare at once.
-ENOUGH = 4
-#: Rounds of comparing a group with one of its members, before all that is still apart is compared.
-ROUNDS = 12
+#: Rounds of comparing groups with one of their members.
+ROUNDS = 2
+#: Pairs with the same set that meet in one task, roughly.
+MET = 1000
 
 MEMORY = 300_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -165,66 +167,99 @@ def _keyed(rows: DataFrame, percent: int) -> DataFrame:
                 keys = signatures(n, tokens, counts, percent)
                 # how far the set lies among others: tokens that many sets have, for each of its own
                 middle = float(counts.sum()) / n
-                yield pd.DataFrame({"key": keys, "sid": np.full(len(keys), sid), "n": np.full(len(keys), n), "middle": np.full(len(keys), middle)})
+                each = {"sid": sid, "n": n, "s": len(tokens), "middle": middle}
+                yield pd.DataFrame({"key": keys, **{c: np.full(len(keys), v) for c, v in each.items()}})
 
-    return rows.mapInPandas(run, "key long, sid long, n long, middle double")
+    return rows.mapInPandas(run, "key long, sid long, n long, s long, middle double")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b, ca, cb) those that are similar enough."""
-    one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
+    """Of distinct pairs (a, b, ca) those that are similar enough. Pairs with the same ``a`` are dealt out, its tokens repeated."""
+    fan = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")).withColumn("parts", F.ceil(F.col("w") / MET).cast("long")))
+    pairs = join_groups(pairs, fan, ["a"], "w", F.col("b")).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("w", "parts")
+    one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")).join(fan, "a")
+    one = one.select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     two = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    met = pairs.join(one, "a").join(two, "b")
-    return met.where(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b", "ca", "cb")
+    met = pairs.join(two, "b").join(one, ["a", "part"])
+    return met.where(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b", "ca")
 
 
-def _connect(entries: DataFrame, sets: DataFrame, percent: int, n_sets: int) -> DataFrame:
-    """``sid``, ``comp`` for the sets that share a key (key, sid, n, middle) with another and have a link.
+def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ca) that may be similar although one of the two has no link to their leader; members: p, np, sid, n, s, comp.
 
-    In a round every group whose members are not known to be connected is compared with one member; groups
-    in which hardly more pairs than members are still apart are compared in full and are then done, and so are all
-    groups once their pairs together are in proportion to the number of sets. What rounds know of connections
-    may lag behind, which only costs comparisons; the components come from all links at the end.
+    With A the tokens of the leader that a set lacks and B those it has beyond them, a and b share |p| - |A_a| - |A_b| tokens and the
+    differences they have in common. So they need c_a + w_b common ones, w = (100 |A| + percent |B|) / (100 + percent) and
+    c_a above 0 where a has no link to p: one of any |A_b| + |B_b| - floor(w_b) differences of b is among those of a.
     """
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("ca") != F.col("cb"))
-    entries, links = entries.withColumn("comp", F.col("sid")), []
-    for round_ in range(ROUNDS + 1):
-        # first the member in the middle of its like, which has most links; then any
-        first = F.xxhash64("sid", F.lit(round_)) if round_ else -F.col("middle")
-        member = F.struct(first.alias("h"), "sid", "n", "comp")
-        by_comp = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(member).alias("p"))
+    fan = stored(members.groupBy("p").agg(F.count(F.lit(1)).alias("w")).withColumn("parts", F.ceil(F.col("w") / MET).cast("long")))
+    dealt = join_groups(members, fan, ["p"], "w", F.col("sid")).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts"))).drop("w", "parts")
+    leaders = sets.select(F.col("sid").alias("p"), F.col("tokens").alias("tp")).join(fan, "p")
+    leaders = leaders.select("p", "tp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    met = dealt.join(sets.select("sid", F.col("tokens").alias("t")), "sid").join(leaders, ["p", "part"])
+    met = met.select("p", "np", "sid", "n", "s", "comp", F.array_except("tp", "t").alias("lacks"), F.array_except("t", "tp").alias("has"))
+    both = F.col("np") - F.size("lacks")
+    away = both * 100 < (F.col("n") + F.col("np") - both) * percent
+    most = F.size("lacks") + F.size("has") - F.floor((F.size("lacks") * 100 + F.size("has") * percent) / (100 + percent)).cast("int")
+    met = stored(met.select("p", "sid", "n", "s", "comp", away.alias("away"), most.alias("most"), F.concat("lacks", "has").alias("delta")))
+    each = met.select("p", "sid", F.explode("delta").alias("token"))
+    twice = stored(each.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    known = join_groups(each, twice, ["p", "token"], "c", F.col("sid"))
+    # differences that no other set of the leader has come first
+    known = known.groupBy("p", "sid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token"))).alias("d"))
+    met = stored(met.drop("delta").join(known, ["p", "sid"]))
+    shared = lambda d: F.explode(F.transform(F.filter(d, lambda x: x["c"] > 1), lambda x: x["token"])).alias("token")
+    one = met.where("away").select("p", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"), shared(F.col("d")))
+    two = met.where("most > 0").select("p", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("cb"), shared(F.slice("d", F.lit(1), F.col("most"))))
+    on = (one["p"] == two["p"]) & (one["token"] == two["token"]) & (F.col("ca") != F.col("cb")) & _near(percent)
+    return one.join(two, on).select("a", "b", "ca").dropDuplicates(["a", "b"])
+
+
+def _near(percent: int) -> Column:
+    """Whether sizes, and tokens that others have at all, allow a link."""
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return sizes & (F.least("sa", "sb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+
+
+def _connect(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``sid``, ``comp`` for the sets that share a key (key, sid, n, s, middle; s: tokens that others have) with another and have a link.
+
+    ``labels`` names sets that are known to be connected; it may lag behind, which only costs comparisons. The
+    components come from all links at the end.
+    """
+    own = F.struct((-F.col("middle")).alias("h"), "sid").alias("comp")
+    labels, links = stored(entries.select("sid", own, F.lit(False).alias("led")).distinct()), []
+    for round_ in range(ROUNDS):
+        seen = entries.join(labels, "sid")
+        # the most central member, of those that are not connected to others and have not been it before
+        by_comp = seen.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct(~F.col("led"), "middle", "sid", "n", "s")).alias("p"))
         groups = by_comp.groupBy("key").agg(
-            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("square"), F.count(F.lit(1)).alias("comps"),
-            F.max(F.struct("c", "comp"))["comp"].alias("main"), F.min("p").alias("p"),
-        )
-        apart = ((F.col("m") * F.col("m") - F.col("square")) / 2).alias("apart")
-        groups = stored(groups.where("comps > 1").select("key", "m", "main", apart, "p.sid", "p.n", "p.comp").toDF(
-            "key", "m", "main", "apart", "p_sid", "p_n", "p_comp"))
-        total = groups.agg(F.sum("apart")).first()[0]
-        if not total:
-            break
-        full = F.lit(True) if round_ == ROUNDS or total <= ENOUGH * n_sets else F.col("apart") <= 2 * F.col("m")
-        groups = groups.withColumn("full", full).drop("apart")
-        open_ = stored(join_groups(entries, groups, ["key"], "m", F.col("sid")).where("m IS NOT NULL"))
-        member = [F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")]
-        star = open_.where("NOT full").select(F.col("p_sid").alias("a"), F.col("p_n").alias("na"), F.col("p_comp").alias("ca"), *member)
-        rest = open_.where("full AND comp <> main").select(
-            "key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("main").alias("_m"))
-        rest = rest.join(open_.where("full").select("key", *member), "key").where((F.col("cb") == F.col("_m")) | (F.col("a") < F.col("b")))
-        pairs = star.unionByName(rest.select(star.columns)).where(near)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb").dropDuplicates(["a", "b"])
-        found = stored(_linked(pairs, sets, percent))
+            F.sum("c").alias("m"), F.count(F.lit(1)).alias("comps"), F.max(F.struct((F.col("c") == 1).alias("alone"), "p", "comp")).alias("first"),
+        ).where("comps > 1")
+        groups = stored(groups.select("key", "m", F.col("first.p.sid").alias("a"), F.col("first.p.n").alias("na"), F.col("first.p.s").alias("sa"), F.col("first.comp").alias("ca")))
+        open_ = stored(join_groups(seen, groups, ["key"], "m", F.col("sid")).where("m IS NOT NULL"))
+        star = open_.where("comp <> ca").select("a", "na", "sa", "ca", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+        found = stored(_linked(star.where(_near(percent)).select("a", "b", "ca").dropDuplicates(["a", "b"]), sets, percent))
         links.append(found.select("a", "b"))
-        # each component joins the smallest one it has a link to, and that one's smallest
-        ends = found.select(F.col("ca").alias("comp"), F.col("cb").alias("to")).unionByName(found.select(F.col("cb").alias("comp"), F.col("ca").alias("to")))
-        least = stored(ends.groupBy("comp").agg(F.least(F.min("to"), F.col("comp")).alias("to")))
-        further = least.select(F.col("comp").alias("to"), F.col("to").alias("further"))
-        moved = least.join(further, "to", "left").select("comp", F.coalesce("further", "to").alias("root"))
-        entries = open_.where("NOT full").select("key", "sid", "n", "middle", "comp").join(moved, "comp", "left")
-        entries = stored(entries.select("key", "sid", "n", "middle", F.coalesce("root", "comp").alias("comp")))
-    if not links:
-        return entries.select("sid", "comp").where(F.lit(False))
+        if not round_:
+            # differences are measured from the first leader; a group of two is settled by now
+            first = groups.select("key", F.col("a").alias("p"), F.col("na").alias("np"))
+            entries = open_.where("m > 2").select("key", "sid", "n", "s", "middle")
+        # a set joins the most central leader that it has a link to, and what that one has joined
+        joined = found.groupBy(F.col("b").alias("sid")).agg(F.min("ca").alias("to"))
+        led = groups.select(F.col("a").alias("sid"), F.lit(True).alias("leads")).distinct()
+        now = labels.join(joined, "sid", "left").join(led, "sid", "left")
+        now = stored(now.select("sid", F.least("comp", "to").alias("comp"), (F.col("led") | F.col("leads").isNotNull()).alias("led")))
+        further = now.select(F.col("sid").alias("root"), F.col("comp").alias("further"))
+        weights = now.groupBy(F.col("comp.sid").alias("root")).agg(F.count(F.lit(1)).alias("w"))
+        further = stored(weights.join(further, "root"))
+        now = now.withColumn("root", F.col("comp.sid"))
+        labels = stored(join_groups(now, further, ["root"], "w", F.col("sid")).select("sid", F.coalesce("further", "comp").alias("comp"), "led"))
+    seen = entries.join(labels.drop("led"), "sid")
+    groups = stored(seen.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_distinct("comp").alias("comps")).where("comps > 1").join(first, "key"))
+    open_ = join_groups(seen, groups.drop("comps"), ["key"], "m", F.col("sid")).where("m IS NOT NULL")
+    members = stored(open_.select("p", "np", "sid", "n", "s", "comp").distinct())
+    links.append(stored(_linked(_apart(members, sets, percent), sets, percent)).select("a", "b"))
     found = components(reduce(DataFrame.unionByName, links))
     return found.select(F.col("node").alias("sid"), F.col("root").alias("comp"))
 
@@ -271,7 +306,7 @@ def near_duplicates(
     entries = join_groups(entries, several, ["key"], "w", F.col("sid")).where("w IS NOT NULL").drop("w")
 
     # 3: links and components
-    nodes = _connect(entries, whole, percent, sets.count())
+    nodes = _connect(entries, whole, percent)
     classes = stored(sets.join(nodes, "sid", "left").select(*key, "w", "min_id", "id", "th", F.coalesce("comp", "sid").alias("comp")))
     # the row that stays: the smallest id, then the smallest hash of the text; a row without an id only if all are
     stays = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("min_id", "id").alias("id"), "th")).alias("s")
