@@ -3,6 +3,7 @@
 import pytest
 
 from tests.compare import connect, differences
+from tests.llm.test_ngram_join import brute
 from textguard.llm.queries import entries
 
 QUERIES = entries()
@@ -20,7 +21,13 @@ def test_sql(spark, con, sf, name):
     assert diff == ""
 
 
-@pytest.mark.parametrize("name", sorted(n for n, (_, sql) in QUERIES.items() if not sql and not n.startswith("op8")))
+@pytest.mark.parametrize("name", sorted(n for n, (_, sql) in QUERIES.items() if not sql))
 def test_a_row_for_each_document(spark, sf, name):
     got = [r["doc_id"] for r in QUERIES[name][0](spark, sf).select("doc_id").collect()]
     assert sorted(got) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+
+
+def test_ngram_join_next_to_all_pairs(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = QUERIES["op8_ngram_join"][0](spark, sf).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 4, 85)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from textguard.llm import quality
@@ -45,7 +48,7 @@ def _count(kind):
 
 
 #: Folder of the public vocabularies; none of them is part of this repository.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _docs(spark, sf_dir):
