@@ -10,6 +10,8 @@ from textguard.operators.ratelimit import offender_sessions, rate_limit
 from textguard.plans.fixtures import (
     RATE_EVENTS_SQL, RATE_LIMIT, REQUEST_LOG_SQL, rate_events, request_log, sql_list,
 )
+from textguard.sources.shared import shared_folder
+
 
 def _round_one(x: str) -> str:
     """``x`` rounded to one digit by the exact value of the double, as in ``stats.round_one``."""
@@ -102,6 +104,25 @@ def rate_limited(spark, sf_dir):
     return rate_limit(rate_events(spark, sf_dir), RATE_LIMIT)
 
 
+RANKS, RANK_ERROR = (0.5, 0.95, 0.99), 0.0133
+
+
+def latency_sketch(spark, sf_dir):
+    """Daily latency quantiles from stored hourly sketches, and whether their exact ranks lie within the sketch's error."""
+    log = request_log(spark, sf_dir)
+    folder = shared_folder(spark)
+    S.latency_sketches(log).write.parquet(f"{folder}/hours")
+    days = S.latency_by_day(spark.read.parquet(f"{folder}/hours"), RANKS)
+    met = log.select("provider", F.window("ts", "1 day")["start"].alias("day"), "latency_ms").join(days, ["provider", "day"])
+    below = [F.sum((F.col("latency_ms") < F.col("quantiles")[i]).cast("int")).alias(f"below{i}") for i in range(3)]
+    upto = [F.sum((F.col("latency_ms") <= F.col("quantiles")[i]).cast("int")).alias(f"upto{i}") for i in range(3)]
+    ranks = met.groupBy("provider", "day").agg(F.first("requests").alias("requests"), F.count("latency_ms").alias("n"), *below, *upto)
+    # a quantile covers all ranks from the values below it to those up to it
+    room = RANK_ERROR * F.col("n") + 1
+    near = [(F.col(f"below{i}") <= r * F.col("n") + room) & (F.col(f"upto{i}") >= r * F.col("n") - room) for i, r in enumerate(RANKS)]
+    return ranks.select("provider", F.unix_micros("day").alias("day"), "requests", *[x.alias(c) for x, c in zip(near, ("p50_near", "p95_near", "p99_near"))])
+
+
 def offenders(spark, sf_dir):
     return offender_sessions(request_log(spark, sf_dir))
 
@@ -137,6 +158,9 @@ def entries():
             log + "SELECT provider, count(*) AS requests, quantile_cont(latency_ms, 0.5) AS p50_ms, quantile_cont(latency_ms, 0.95) AS p95_ms, "
             "quantile_cont(latency_ms, 0.99) AS p99_ms, sum(latency_ms) / count(*) AS mean_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms "
             "FROM request_log GROUP BY provider"),
+        "latency_sketch": (
+            latency_sketch,
+            log + "SELECT provider, epoch_us(date_trunc('day', ts)) AS day, count(*) AS requests, true AS p50_near, true AS p95_near, true AS p99_near FROM request_log GROUP BY ALL"),
         "stats_hourly": (_micros(_log(lambda d: S.windowed(d, "1 hour")), "window_start"), _window_sql(1, 60)),
         "stats_sliding": (_micros(_log(lambda d: S.windowed(d, "1 hour", "15 minutes")), "window_start"), _window_sql(4, 15)),
         "rate_limit": (rate_limited, RATE_SQL),
