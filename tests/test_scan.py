@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textguard.functions.literals import Literals
 from textguard.operators.corpus import scan_distinct
 from textguard.operators.decide import is_blocked, max_severity, policy_blocks, verdict_by_detector
+from textguard.operators.increments import scan_new
 from textguard.operators.scan import FINDING_COLUMNS, scan, scan_rows
 from textguard.plans.fixtures import full_pack, planted
 from textguard.rules import rule_pack
@@ -112,6 +113,22 @@ def test_partitioning_and_copies_do_not_change_findings(spark, sf):
     assert sorted(map(tuple, copies.collect())) == want
 
 
+def test_a_second_run_scans_only_new_texts(spark, tmp_path):
+    first = [(1, "mail ann@example.org"), (2, "nothing"), (3, None), (4, "mail ann@example.org")]
+    second = [*first, (5, "nothing"), (6, "jailbreak"), (7, "mail bob@example.org"), (7, "mail bob@example.org")]
+    schema, store, rules = "id long, text string", str(tmp_path / "store"), rule_pack(["pii", "jailbreak"])
+
+    def found(df):
+        return sorted(map(tuple, df.select("id", *FINDING_COLUMNS).collect()))
+
+    one, two = spark.createDataFrame(first, schema), spark.createDataFrame(second, schema)
+    assert found(scan_new(one, "id", "text", store, 1, rules)) == found(scan(one, ["id"], "text", rules))
+    for _ in range(2):  # a run that is repeated replaces what it stored
+        assert found(scan_new(two, "id", "text", store, 2, rules)) == found(scan(two, ["id"], "text", rules))
+        assert {r["run"]: r["count"] for r in spark.read.parquet(store).groupBy("run").count().collect()} == {1: 2, 2: 2}
+    assert found(scan_new(two.limit(0), "id", "text", store, 3, rules)) == []
+
+
 def test_scan_plan_reads_two_columns_and_does_not_shuffle(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = scan(docs, ["doc_id"], "text")._jdf.queryExecution().executedPlan().toString()

@@ -10,6 +10,7 @@ from textguard.functions.nfkc import decompositions
 from textguard.functions.validators import aadhaar, luhn, public_ip
 from textguard.operators.corpus import scan_distinct
 from textguard.operators.evaluate import pack_changes
+from textguard.operators.increments import scan_new
 from textguard.operators.keywords import keyword_findings
 from textguard.operators.pii import exposure, mask, pii_values
 from textguard.operators.scan import scan
@@ -21,6 +22,7 @@ from textguard.plans.fixtures import (
 from textguard.rules import DETECTORS, rule_pack
 from textguard.rules.jailbreak import CONFUSABLES, MANY_SHOT_PAIRS
 from textguard.rules.pii import PRIVATE_IP
+from textguard.sources.shared import shared_folder
 from textguard.sources.tables import spread, table
 
 FINDING_LIST = [c.strip() for c in COLUMNS.split(",")]
@@ -123,6 +125,15 @@ def scan_corpus(spark, sf_dir):
     return scan_distinct(_documents(spark, sf_dir), "doc_id", "text", rule_pack()).select("doc_id", *FINDING_LIST)
 
 
+def scan_increments(spark, sf_dir):
+    """The corpus in two runs: the documents up to the middle, then the whole table, of which only the rest is scanned."""
+    docs = _documents(spark, sf_dir)
+    middle = docs.agg(F.expr("percentile_approx(doc_id, 0.5)")).first()[0] or 0
+    store = shared_folder(spark)
+    scan_new(docs.where(F.col("doc_id") <= middle), "doc_id", "text", store, 1, rule_pack())
+    return scan_new(docs, "doc_id", "text", store, 2, rule_pack()).select("doc_id", *FINDING_LIST)
+
+
 def _pages(spark, sf_dir):
     return spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id")
 
@@ -328,6 +339,7 @@ def entries():
         "scan_base64": (_scan(b64), _scan_sql(b64)),
         "scan_all": (_scan(full_pack()), _scan_sql(full_pack())),
         "scan_corpus": (scan_corpus, _scan_sql(rule_pack(), texts_sql("documents", "doc_id"))),
+        "scan_increments": (scan_increments, _scan_sql(rule_pack(), texts_sql("documents", "doc_id"))),
         "scan_pages": (_scan(rule_pack(), _pages, "page_id"), _scan_sql(rule_pack(), texts_sql("pages", "page_id", "html"), "page_id")),
         "many_shot": (many_shot_texts, _many_shot_sql(planted_sql(), "doc_id")),
         "many_shot_conversations": (
