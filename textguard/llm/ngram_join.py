@@ -204,13 +204,14 @@ def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = stored(met.select("p", "sid", "n", "s", "comp", away.alias("away"), most.alias("most"), F.concat("lacks", "has").alias("delta")))
     each = met.select("p", "sid", F.explode("delta").alias("token"))
     twice = stored(each.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    known = join_groups(each, twice, ["p", "token"], "c", F.col("sid"))
-    # differences that no other set of the leader has come first
-    known = known.groupBy("p", "sid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token"))).alias("d"))
-    met = stored(met.drop("delta").join(known, ["p", "sid"]))
-    shared = lambda d: F.explode(F.transform(F.filter(d, lambda x: x["c"] > 1), lambda x: x["token"])).alias("token")
+    # differences that no other set of the leader has would come first in the index and meet nobody: only their number counts
+    known = join_groups(each, twice, ["p", "token"], "c", F.col("sid")).where("c IS NOT NULL")
+    known = known.groupBy("p", "sid").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("d"))
+    rarest = (F.col("most") - (F.size("delta") - F.size("d"))).alias("rarest")
+    met = stored(met.join(known, ["p", "sid"]).select("p", "sid", "n", "s", "comp", "away", rarest, "d"))
+    shared = lambda d: F.explode(F.transform(d, lambda x: x["token"])).alias("token")
     one = met.where("away").select("p", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"), shared(F.col("d")))
-    two = met.where("most > 0").select("p", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("cb"), shared(F.slice("d", F.lit(1), F.col("most"))))
+    two = met.where("rarest > 0").select("p", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("comp").alias("cb"), shared(F.slice("d", F.lit(1), F.col("rarest"))))
     on = (one["p"] == two["p"]) & (one["token"] == two["token"]) & (F.col("ca") != F.col("cb")) & _near(percent)
     return one.join(two, on).select("a", "b", "ca").dropDuplicates(["a", "b"])
 
