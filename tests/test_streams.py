@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textguard.operators.ratelimit import offender_sessions, rate_limit
 from textguard.operators.stats import kept_counters, windowed
-from textguard.plans.stream_queries import in_batches
+from textguard.plans.stream_queries import audit_of_stream, findings_of_stream, in_batches
 from textguard.streaming.jobs import audit_batches, count_arrivals, run_audit, stream_audit
 from textguard.streaming.stateful import alive, stream_counters, stream_offenders, stream_rate_limit
 
@@ -91,3 +91,15 @@ def test_audit_entries_are_written_once(spark, tmp_path):
     got = spark.read.schema(stream().schema).json(out).collect()
     assert sorted(r["request_id"] for r in got) == list(range(20))
     assert sum(r["finding_count"] for r in got) == 10
+
+
+@pytest.mark.parametrize("query", [audit_of_stream, findings_of_stream])
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path, query):
+    rows = [(1, 0, "user", "mail ann@example.org"), (1, 1, "assistant", "nothing"), (2, 0, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.repartition(2).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file" / "conversations.parquet")
+    of_folder, of_file = (sorted(map(tuple, query(spark, str(tmp_path / t)).collect()), key=repr) for t in ("folder", "file"))
+    assert of_folder == of_file and len(of_file) == (3 if query is audit_of_stream else 1)
