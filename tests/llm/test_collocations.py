@@ -85,3 +85,15 @@ def test_trie_holds_all_phrases_and_no_others():
         ids = np.array([trie.letters["en"].get(w, 0) for w in phrase.split()])
         at, of = co.advance(trie, ids, 3)
         assert [trie.phrases[i] for i in of] == ([phrase] if phrase in inside else [])
+
+
+def test_a_word_with_very_many_followers_takes_no_others():
+    # every number follows either 0 or 1
+    side = np.random.default_rng(4).integers(0, 2, 8_000).tolist()
+    phrases = [f"{side[i]} {i}" for i in range(2, 8_000)]
+    trie = co.build_trie(["en"] * len(phrases), phrases)
+    letters = trie.letters["en"]
+    for first in (0, 1):
+        ids = np.array([x for i in range(2, 8_000) for x in (letters[str(first)], letters[str(i)], 0)])
+        at, of = co.advance(trie, ids, 2)
+        assert [trie.phrases[i] for i in of] == [f"{first} {i}" for i in range(2, 8_000) if side[i] == first]

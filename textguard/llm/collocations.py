@@ -239,9 +239,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], n
 
 @dataclass
 class Trie:
-    """A double-array trie whose letters are (language, word): state s goes with letter x to t = base + x if check[t] is s.
+    """A double-array trie whose letters are (language, word): state s goes with letter x to t = base[g] + x if check[t] is g.
 
-    A state has one base for every 2 or so of its letters (``base[first[s] + (x & mask[s])]``), so that states with very many letters find room, too.
+    A state has a group g of its own for every 2 or so of its letters (``first[s] + (x & mask[s])``), so that states with very many letters find
+    room, too. The state alone would not tell t: with another letter of it, another base may lead there.
     """
 
     letters: dict[str, dict[str, int]]
@@ -283,16 +284,17 @@ def build_trie(langs: list[str], phrases: list[str]) -> Trie:
         width = 1 << np.ceil(np.log2(np.maximum(fan / 2, 1))).astype(np.int64)
         mask[some] = width - 1
         first[some] = sum(map(len, bases)) + np.cumsum(width) - width
-        group = first[parents] + (letter & mask[parents]) - sum(map(len, bases))
-        found, slots = _place(parents, letter, group, int(width.sum()), check, top, rng)
+        group = first[parents] + (letter & mask[parents])
+        found, slots = _place(letter, group, sum(map(len, bases)), int(width.sum()), check, top, rng)
         bases.append(found)
     accept = np.full(size, -1, np.int64)
     accept[slots[state.ravel()]] = np.arange(len(phrases))
     return Trie(dict(letters), first, mask, np.concatenate(bases), check, accept, phrases)
 
 
-def _place(parents: np.ndarray, letter: np.ndarray, group: np.ndarray, groups: int, check: np.ndarray, top: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    """A base for every group of letters at which all their slots are free, and the slots. Groups without room try again elsewhere."""
+def _place(letter: np.ndarray, numbers: np.ndarray, start: int, groups: int, check: np.ndarray, top: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """A base for every group of letters (numbered from ``start``) at which all their slots are free, and the slots. Groups without room try again elsewhere."""
+    group = numbers - start
     found, left = np.zeros(groups, np.int64), np.arange(len(group))
     while len(left):
         there = np.unique(group[left])
@@ -303,7 +305,7 @@ def _place(parents: np.ndarray, letter: np.ndarray, group: np.ndarray, groups: i
         bad = np.zeros(len(found), bool)
         bad[group[left][~alone | (check[slots] != 0)]] = True
         good = ~bad[group[left]]
-        check[slots[good]] = parents[left[good]]
+        check[slots[good]] = numbers[left[good]]
         left = left[~good]
     return found, found[group] + letter
 
@@ -314,8 +316,9 @@ def advance(trie: Trie, ids: np.ndarray, words: int) -> tuple[np.ndarray, np.nda
     state = ids[at]
     for k in range(1, words):
         letter = ids[at + k]
-        to = trie.base[trie.first[state] + (letter & trie.mask[state])] + letter
-        on = (letter > 0) & (trie.check[to] == state)
+        group = trie.first[state] + (letter & trie.mask[state])
+        to = trie.base[group] + letter
+        on = (letter > 0) & (trie.check[to] == group)
         at, state = at[on], to[on]
     return at, trie.accept[state]
 
