@@ -2,6 +2,7 @@
 
 import re
 
+from textguard.operators import keywords as K
 from textguard.operators.keywords import keyword_findings
 
 KEYWORDS = ["Project Heron", "a.b+c", "(secret) plan", "naïve Ünder", "x", "C-3", "ſtop sign", "$cash", "o'neil [1]", "nothing like it",
@@ -22,3 +23,11 @@ def test_keywords_equal_the_plain_loop(spark):
     d = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
     k = spark.createDataFrame([(k,) for k in KEYWORDS * 2], "keyword string")
     assert {tuple(r) for r in keyword_findings(d, "id", "text", k).collect()} == want
+
+
+def test_only_words_that_may_match_are_joined(spark):
+    d = spark.createDataFrame([(i, "the red hen and the sly fox met on the way to the sea " * 50) for i in range(20)], "id int, text string")
+    k = spark.createDataFrame([("on the way",), ("the big sea",), *[(f"the n{i} of",) for i in range(300)]], "keyword string")
+    places = K._places(d, "id", "text", K._listed(k, "keyword"))
+    assert places.count() == 20 * 50
+    assert {tuple(r) for r in keyword_findings(d, "id", "text", k).collect()} == {(i, "on the way", "[KEYWORD: on the way]", 32) for i in range(20)}
