@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from textguard.functions.columns import let
 from textguard.functions.nfkc import nfkc
@@ -48,25 +51,20 @@ def lowered(col: Column) -> Column:
     return F.lower(F.when(~is_ascii(col) & odd, plain).otherwise(col))
 
 
+def _bits(text: str) -> float:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points):
+        return 0.0
+    counts = np.bincount(points) if points.max() < 1 << 16 else np.unique(points, return_counts=True)[1]
+    counts = counts[counts > 0].astype(np.float64)
+    # added one by one, in the order of the characters
+    return float(np.log2(len(points)) - np.add.accumulate(counts * np.log2(counts))[-1] / len(points))
+
+
+def _entropies(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _bits(t) for t in texts.to_pylist()], pa.float64())
+
+
 def char_entropy(col: Column) -> Column:
     """Shannon entropy over characters in bits; 0 for empty text."""
-    chars = F.split(col, "")
-    n = F.char_length(col).cast("double")
-    # sorted characters make equal ones adjacent, so one pass counts the runs
-    start = F.struct(
-        F.lit("").alias("c"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s")
-    )
-
-    def close(a):
-        return a["s"] + F.when(a["n"] > 0, a["n"] * F.log2(a["n"].cast("double"))).otherwise(0.0)
-
-    def step(a, c):
-        same = a["c"] == c
-        return F.struct(
-            c.alias("c"),
-            F.when(same, a["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"),
-            F.when(same, a["s"]).otherwise(close(a)).alias("s"),
-        )
-
-    total = F.aggregate(F.array_sort(chars), start, step, close)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - total / n)
+    return F.arrow_udf(_entropies, DoubleType())(col)
