@@ -202,3 +202,24 @@ def test_gates_hold_for_every_blank(spark):
     assert found == ungated
     want = {(i, r.rule_id) for i, w in enumerate(words) for r in rules if r.compiled().search(unicodedata.normalize("NFKC", w))}
     assert found == want
+
+
+def test_pack_changes_scans_only_what_may_differ(spark, monkeypatch):
+    from textguard.operators import evaluate
+
+    old = rule_pack()
+    ending = next(r for r in old if r.detector == "toxic" and r.shape == "hidden")
+    low = [r.rule_id for r in old if r.severity == "low"][:3]
+    toxic = next(r for r in old if r.detector == "toxic" and r.shape != "hidden")
+    texts = [r.hit for r in old] + [f"{ending.hit} {toxic.hit}", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    scanned, plain = [], evaluate.scan
+    monkeypatch.setattr(evaluate, "scan", lambda df, keys, text, rules: scanned.append([r.rule_id for r in rules]) or plain(df, keys, text, rules))
+    for gone in (low, [toxic.rule_id]):
+        new = [r for r in old if r.rule_id not in gone]
+        got = evaluate.pack_changes(d, ["id"], "t", old, new)
+        columns = ["id", "rule_id", "occurrence", "position"]
+        want = evaluate.findings_diff(plain(d, ["id"], "t", old), plain(d, ["id"], "t", new), columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    ends = {r.rule_id for r in old if r.detector == "toxic" and r.shape == "hidden"}
+    assert set(scanned[0]) <= {*low, *ends} and set(scanned[1]) == {toxic.rule_id, *ends}

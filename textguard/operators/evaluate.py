@@ -53,8 +53,8 @@ def findings_diff(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFra
 def pack_changes(df: DataFrame, keys: list[str], text: str, old: list[Rule], new: list[Rule]) -> DataFrame:
     """Findings of ``text`` that only one of two packs reports: change, keys, rule_id, occurrence, position, ``n``.
 
-    The texts are scanned once, with the rules of both. A rule in both packs is told by its id and must be the same.
-    Packs whose rules end a detector's scan differently are scanned one by one.
+    A rule in both packs is told by its id and must be the same, so its findings cancel out. The texts are scanned once, with the rules of
+    one pack only and those that may end their detector's scan. Packs whose rules end a detector's scan differently are scanned one by one.
     """
     columns = [*keys, "rule_id", "occurrence", "position"]
 
@@ -66,5 +66,8 @@ def pack_changes(df: DataFrame, keys: list[str], text: str, old: list[Rule], new
     before, after = {r.rule_id for r in old}, {r.rule_id for r in new}
     both = [*old, *[r for r in new if r.rule_id not in before]]
     added, removed = sorted(after - before), sorted(before - after)
-    found = scan(df, keys, text, both).where(F.col("rule_id").isin(*added, *removed))
+    changed = {*added, *removed}
+    toxic = any(r.detector == "toxic" for r in both if r.rule_id in changed)
+    needed = [r for r in both if r.rule_id in changed or (toxic and r.rule_id in ending(both))]
+    found = scan(df, keys, text, needed or both).where(F.col("rule_id").isin(*added, *removed))
     return found.groupBy(F.when(F.col("rule_id").isin(*added), "added").otherwise("removed").alias("change"), *columns).agg(F.count(F.lit(1)).alias("n"))
