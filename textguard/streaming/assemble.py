@@ -26,9 +26,13 @@ def _pieces(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _before_done(items: Column) -> Column:
+def _end() -> Column:
+    """The place of the first end marker of a group, or null."""
+    return F.min(F.when(F.col("done"), F.col("seq")))
+
+
+def _before_done(items: Column, end: Column) -> Column:
     """Items in order up to the first end marker."""
-    end = F.array_min(F.transform(F.filter(items, lambda x: x["done"]), lambda x: x["seq"]))
     return F.filter(items, lambda x: end.isNull() | (x["seq"] < end))
 
 
@@ -48,12 +52,12 @@ def assemble(chunks: DataFrame) -> DataFrame:
     consecutive chunks become strings first, then the strings of a request are joined.
     """
     block = _pieces(chunks).groupBy("request_id", "provider", F.floor(F.col("seq") / BLOCK).alias("block")).agg(
-        F.array_sort(F.collect_list(_item())).alias("items")
+        F.sort_array(F.collect_list(_item())).alias("items"), _end().alias("end")
     )
-    kept = _before_done(F.col("items"))
+    kept = _before_done(F.col("items"), F.col("end"))
     blocks = block.select(
         "request_id", "provider", "block",
-        F.exists("items", lambda x: x["done"]).alias("done"),
+        F.col("end").isNotNull().alias("done"),
         kept.alias("kept"),
     ).select(
         "request_id", "provider",
@@ -64,7 +68,7 @@ def assemble(chunks: DataFrame) -> DataFrame:
             _last(F.col("kept"), "tokens_out").alias("tokens_out"),
         ).alias("b"),
     )
-    joined = blocks.groupBy("request_id", "provider").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    joined = blocks.groupBy("request_id", "provider").agg(F.sort_array(F.collect_list("b")).alias("bs"))
     end = F.array_min(F.transform(F.filter("bs", lambda x: x["done"]), lambda x: x["block"]))
     until = F.filter("bs", lambda x: end.isNull() | (x["block"] <= end))
     return _result(joined.select("request_id", "provider", until.alias("_i")))
@@ -89,6 +93,6 @@ def assemble_stream(chunks: DataFrame, timeout: str = TIMEOUT, lateness: str = "
     """
     d = _pieces(chunks.withWatermark("ts", lateness))
     g = d.groupBy("request_id", "provider", F.session_window("ts", timeout)).agg(
-        F.array_sort(F.collect_list(_item())).alias("items")
+        F.sort_array(F.collect_list(_item())).alias("items"), _end().alias("end")
     )
-    return _result(g.select("request_id", "provider", _before_done(F.col("items")).alias("_i")))
+    return _result(g.select("request_id", "provider", _before_done(F.col("items"), F.col("end")).alias("_i")))
