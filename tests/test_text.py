@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import unicodedata
 
 import pandas as pd
@@ -58,6 +59,15 @@ def test_normal_forms_stay_in_the_jvm(spark, sf):
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_normal_forms_read_a_long_text_with_one_pattern_and_cut_it_once(spark):
+    plan = spark.range(1).select(F.lit("x").alias("t")).select(N.nfkc(F.col("t")).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"RLIKE\(t#\d+,|t#\d+ RLIKE", plan)) == 1
+    assert len(re.findall(r"regexp_extract_all\(t#\d+,", plan)) == 1
+    # a piece is judged by its first characters, wherever a later one stands
+    texts = ["a" * 5000 + "e\u0301" + "b" * 5000, "\u0915" * 300 + "\u093c", "x" * 300 + "\ufb01" + "\u4e2d" * 300 + "\u3099", "\u0301" + "a" * 300, "\u0e33" * 40 + "\U0001f600" * 40]
+    assert column(spark, texts, N.nfkc) == [unicodedata.normalize("NFKC", t) for t in texts]
+
+
 def test_entropy(spark):
     texts = ["", "a", "aab", "abcd" * 5, "é中\U0001f600é"]
     want = []

@@ -83,7 +83,9 @@ def _listed(chars: list[str]) -> str:
 
 
 def _everyday() -> str:
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in EVERYDAY)
+    """The ranges, each nested in the one before: the commonest characters are settled by the first comparison."""
+    ranges = [f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in EVERYDAY]
+    return "[".join(ranges) + "]" * (len(ranges) - 1)
 
 
 def _table(values: dict[str, object], kind: str) -> Column:
@@ -202,11 +204,12 @@ def nfkc(text: Column) -> Column:
     def settled(piece: Column) -> Column:
         # only a character with what follows on it goes through all steps; everyday letters go through none
         ordered = _in_order(_each(piece, _forms("NFKD")), moved, order)
-        near = F.when(piece.rlike(follows), let(ordered, lambda t: _put_together(t, order)))
-        return near.when(piece.rlike(f"^{everyday}"), piece).otherwise(_each(piece, _forms("NFKC")))
+        # the first two characters tell what a piece is, however long it is
+        same = F.when(piece.rlike(f"^{everyday}(?!{follows})"), piece).when(~piece.rlike(f"{changes}|{moved}{{2}}"), piece)
+        near = same.when(piece.rlike(f"^[^{follows}]?{follows}"), let(ordered, lambda t: _put_together(t, order)))
+        return near.otherwise(_each(piece, _forms("NFKC")))
 
     # a character and what acts on it; everyday letters; other characters
     pieces = F.regexp_extract_all(text, F.lit(f"[^{follows}]?{follows}+|{everyday}+(?!{follows})|{rare}+(?!{follows})"), F.lit(0))
     whole = F.array_join(F.transform(pieces, settled), "")
-    plain = text.rlike(f"^{everyday}*+\\z")
-    return F.when(~plain & text.rlike(f"{changes}|{moved}{{2}}"), whole).otherwise(text)
+    return F.when(text.rlike(f"^{everyday}*+\\z"), text).otherwise(whole)
