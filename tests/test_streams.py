@@ -32,6 +32,18 @@ def test_rate_limit_goes_on_from_its_checkpoint(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, rate_limit(df, 4).collect()), key=repr)
 
 
+def test_rate_limit_keeps_late_requests_of_open_slots(spark, tmp_path):
+    schema = "client long, ts_ms long, n long"
+    one = spark.createDataFrame([(1, 30_000, 0), (1, 100_000, 1), (None, 100_000, 2)], schema).coalesce(1)
+    # behind the watermark, in a slot that it has not passed; a millisecond twice
+    two = spark.createDataFrame([(1, 70_000, 3), (1, 70_000, 4), (None, 119_999, 5)], schema).coalesce(1)
+    end = spark.sql("SELECT 9L client, 900000000L ts_ms, -1L n")
+    got = in_batches(spark, [one, two, end], lambda s: stream_rate_limit(s, 2, late="1 second"), str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, rate_limit(one.unionByName(two), 2).collect()), key=repr)
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert "TransformWithState" not in stream_rate_limit(stream, 2)._jdf.queryExecution().analyzed().toString()
+
+
 def test_counters_end_and_begin_again(spark, tmp_path):
     day = 86_400_000
     rows = [(1, 0), (1, day), (2, 0), (2, 8 * day), (3, 2 * day), (3, 9 * day), (4, 3 * day), (4, 4 * day), (5, 9 * day + 5)]

@@ -10,10 +10,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from textguard.operators.ratelimit import DEFAULT_LIMIT, WINDOW_MS
 from textguard.operators.stats import RETENTION_DAYS
@@ -33,51 +33,24 @@ def state_store(spark: SparkSession):
         spark.conf.set(STORE, before)
 
 
-class _Slot(StatefulProcessor):
-    """One client's requests of one window-long slot and the one before; they leave with their counts when the watermark passes the slot."""
+def _seen(window_ms: int):
+    """For every request of the slots (start of the one before, times, times in the one before): the milliseconds with requests in the window that ends at it."""
 
-    def __init__(self, schema: StructType, ts_ms: str, limit: int, window_ms: int) -> None:
-        self.schema, self.limit, self.window_ms = schema, limit, window_ms
-        self.at = schema.fieldNames().index(ts_ms)
-        self.out = Row(*schema.fieldNames(), "in_window", "allowed")
+    def count(start: pa.Array, here: pa.Array, before: pa.Array) -> pa.Array:
+        ends, starts = here.value_lengths().to_numpy(zero_copy_only=False), start.to_numpy(zero_copy_only=False)
+        own = np.repeat(np.arange(len(starts)), ends)
+        other = np.repeat(np.arange(len(starts)), before.value_lengths().to_numpy(zero_copy_only=False))
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.requests = handle.getListState("requests", self.schema)
-        self.before = handle.getMapState("before", "ts_ms long", "seen boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        own, earlier = [], set()
-        for r in rows:
-            if r["_own"]:
-                own.append(tuple(r[c] for c in self.schema.fieldNames()))
-            else:
-                earlier.add(r["_ts"])
-        if own:
-            if not self.requests.exists():
-                self.handle.registerTimer((key[1] + 1) * self.window_ms)
-            self.requests.appendList(own)
-        elif not self.requests.exists() and not self.before.exists():
-            self.handle.registerTimer((key[1] + 1) * self.window_ms)
-        # a bounded ring: each millisecond of the slot before once
-        for t in earlier:
-            self.before.updateValue((t,), (True,))
-        return iter(())
+        def place(slot: np.ndarray, times: pa.Array) -> np.ndarray:
+            # the slots lie in one line, with room for a window between them
+            return slot * (4 * window_ms) + 2 * window_ms + times.flatten().to_numpy(zero_copy_only=False) - starts[slot]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        rows = list(self.requests.get()) if self.requests.exists() else []
-        if rows:
-            here = np.array([r[self.at] for r in rows], np.int64)
-            before = np.array([k[0] for k in self.before.keys()], np.int64)
-            instants = np.unique(np.concatenate([here, before]))
-            seen = np.searchsorted(instants, here, side="right") - np.searchsorted(instants, here - (self.window_ms - 1))
-            for r, n in zip(rows, seen.tolist()):
-                yield self.out(*r, n, n <= self.limit)
-        self.requests.clear()
-        self.before.clear()
+        at = place(own, here)
+        instants = np.unique(np.concatenate([at, place(other, before)]))
+        seen = np.searchsorted(instants, at, side="right") - np.searchsorted(instants, at - (window_ms - 1))
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32), pa.array(seen.astype(np.int64)))
 
-    def close(self) -> None:
-        pass
+    return F.arrow_udf(count, "array<long>")
 
 
 def stream_rate_limit(
@@ -89,13 +62,19 @@ def stream_rate_limit(
     is dealt out over its slots. A request leaves when the watermark (``late`` behind the latest one) has passed its
     slot; later ones are dropped. Requests without a time are dropped, those without a client share one limit.
     """
-    columns = [f for f in requests.schema.fields]
-    slot = F.floor(F.col(ts_ms) / window_ms)
+    columns = requests.columns
     d = requests.where(F.col(ts_ms).isNotNull()).withColumn("_time", F.timestamp_millis(ts_ms)).withWatermark("_time", late)
-    d = d.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_next"))
-    d = d.select("*", (slot + F.col("_next")).alias("_slot"), (F.col("_next") == 0).alias("_own"), F.col(ts_ms).cast("long").alias("_ts"), F.col(client).alias("_client"))
-    out = StructType([*columns, StructField("in_window", LongType()), StructField("allowed", BooleanType())])
-    return d.groupBy("_client", "_slot").transformWithState(_Slot(StructType(columns), ts_ms, limit, window_ms), out, "append", "eventTime")
+    # a slot and the one before it are a window of twice the length
+    d = d.select("*", F.window("_time", f"{2 * window_ms} milliseconds", f"{window_ms} milliseconds").alias("_both"), F.col(client).alias("_client"))
+    d = d.select("*", F.col(ts_ms).cast("long").alias("_ts"), (F.col(ts_ms) >= F.unix_millis("_both.start") + window_ms).alias("_own"))
+    slots = d.groupBy("_both", "_client").agg(
+        F.collect_list(F.when(F.col("_own"), F.struct(F.struct(*columns).alias("r"), "_ts"))).alias("_here"),
+        F.collect_set(F.when(~F.col("_own"), F.col("_ts"))).alias("_before"),
+    )
+    slots = slots.where(F.size("_here") > 0).select("_here", F.unix_millis("_both.start").alias("_start"), "_before")
+    seen = slots.select(F.col("_here.r").alias("r"), _seen(window_ms)("_start", F.col("_here._ts"), "_before").alias("n"))
+    out = seen.select(F.explode(F.arrays_zip("r", "n")).alias("x")).select("x.r.*", F.col("x.n").alias("in_window"))
+    return out.select("*", (F.col("in_window") <= limit).alias("allowed"))
 
 
 _CHANGE = Row("client", "requests", "last_us", "at_us")
