@@ -1,7 +1,7 @@
 """Unicode's compatibility composition (NFKC) as column expressions: decomposition, canonical order, composition.
 
 All tables are made from the character database of the running Python. A text of everyday letters is settled by one
-pattern; only texts with a character that may change are taken apart, and of these only characters near a mark go through all three steps.
+pattern; only texts with another character are taken apart, and of these only characters near a mark go through all three steps.
 """
 
 from __future__ import annotations
