@@ -8,7 +8,7 @@ from textguard.operators.ratelimit import offender_sessions, rate_limit
 from textguard.operators.stats import kept_counters, windowed
 from textguard.plans.stream_queries import audit_of_stream, findings_of_stream, in_batches
 from textguard.streaming.jobs import audit_batches, count_arrivals, run_audit, stream_audit
-from textguard.streaming.stateful import alive, stream_counters, stream_offenders, stream_rate_limit
+from textguard.streaming.stateful import _Counter, _Offender, alive, stream_counters, stream_offenders, stream_rate_limit
 
 
 @pytest.fixture(autouse=True)
@@ -55,6 +55,51 @@ def test_counters_end_and_begin_again(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [(2, 1, 8 * day * 1000), (3, 1, 9 * day * 1000), (4, 2, 4 * day * 1000), (5, 1, (9 * day + 5) * 1000)]
 
 
+class _Handle:
+    """Stands for a key's state: counts calls, and knows its timers without listing them."""
+
+    def __init__(self):
+        self.timers, self.values = set(), {}
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def get(self):
+                return handle.values.get(name)
+
+            def update(self, value):
+                handle.values[name] = value
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize(("make", "ends"), [(lambda: _Counter(7), lambda last: (last + 7 * 86_400_000_000) // 1000), (lambda: _Offender(60_000_000), lambda last: -(-(last + 120_000_000) // 1000))])
+def test_a_key_has_one_timer_and_does_not_look_it_up(make, ends):
+    state, handle = make(), _Handle()
+    state.init(handle)
+    for times in ([5, 70_000_001], [70_000_001], [3], [90_000_000_000]):
+        rows = [{"first_us": t, "last_us": t, "n": 1} for t in times]
+        list(state.handleInputRows((1,), iter(rows), None))
+        last = (handle.values.get("counter") or handle.values["open"])[1]
+        assert handle.timers == {ends(last)}
+
+
+def test_no_window_goes_to_python(spark, tmp_path):
+    at(spark, [(1, 0)]).withColumn("blocked", F.lit(True)).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("client long, ts timestamp, blocked boolean").parquet(str(tmp_path / "in"))
+    for out in (stream_counters(stream), stream_offenders(stream)):
+        plan = out._jdf.queryExecution().analyzed()
+        assert "TransformWithState" in plan.nodeName()
+        assert "timestamp" not in plan.children().apply(0).schema().simpleString()
+
+
 def test_offenders_across_batches(spark, tmp_path):
     minute = 60_000
     rows = [(1, m * minute, True) for m in (0, 29, 58, 100, 130, 131, 132, 161, 300)] + [(2, 5 * minute, True), (None, 7 * minute, True), (1, 90 * minute, False)]

@@ -77,6 +77,21 @@ def stream_rate_limit(
     return out.select("*", (F.col("in_window") <= limit).alias("allowed"))
 
 
+def _move_timer(handle, before: int | None, now: int) -> None:
+    """A key has one timer; ``before`` follows from its state, so it need not be looked up (each call is a round trip to the JVM)."""
+    if before == now:
+        return
+    if before is not None:
+        handle.deleteTimer(before)
+    handle.registerTimer(now)
+
+
+def _summed(minutes: DataFrame) -> DataFrame:
+    """Requests of a window and client: client, n, first_us, last_us. The window stays behind: Python would turn its two times of every row into datetimes."""
+    out = minutes.agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
+    return out.select("client", "n", "first_us", "last_us")
+
+
 _CHANGE = Row("client", "requests", "last_us", "at_us")
 
 
@@ -91,13 +106,12 @@ class _Counter(StatefulProcessor):
         self.counter = handle.getValueState("counter", "requests long, last_us long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, last = self.counter.get() if self.counter.exists() else (0, None)
+        before = self.counter.get()
+        n, last = before or (0, None)
         for first, end, some in sorted((r["first_us"], r["last_us"], r["n"]) for r in rows):
             n = some if last is None or first - last >= self.kept else n + some
             last = end if last is None else max(last, end)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last + self.kept) // 1000)
+        _move_timer(self.handle, before and (before[1] + self.kept) // 1000, (last + self.kept) // 1000)
         self.counter.update((n, last))
         yield _CHANGE(key[0], n, last, last)
 
@@ -115,8 +129,7 @@ def stream_counters(log: DataFrame, days: int = RETENTION_DAYS, late: str = "10
 
     Requests are summed by client and minute before they meet the client's state, so a busy client sends one row a minute.
     """
-    d = log.withWatermark("ts", late).groupBy(F.window("ts", "1 minute").alias("w"), "client")
-    d = d.agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
+    d = _summed(log.withWatermark("ts", late).groupBy(F.window("ts", "1 minute").alias("w"), "client"))
     kind = log.schema["client"].dataType.simpleString()
     return d.groupBy("client").transformWithState(_Counter(days), f"client {kind}, requests long, last_us long, at_us long", "append", "eventTime")
 
@@ -141,13 +154,17 @@ class _Offender(StatefulProcessor):
         self.open = handle.getValueState("open", "first long, last long, blocks long")
         self.past = handle.getValueState("past", "session_no long, blocks_so_far long, blocks long")
 
+    def _ends(self, last: int) -> int:
+        # a slot may hold requests of up to a gap before it ends
+        return -(-(last + 2 * self.gap) // 1000)
+
     def _close(self, key, first: int, last: int, blocks: int) -> Row:
-        no, total, before = self.past.get() if self.past.exists() else (0, 0, None)
+        no, total, before = self.past.get() or (0, 0, None)
         self.past.update((no + 1, total + blocks, blocks))
         return _SESSION(key[0], no + 1, first, last + self.gap, blocks, total + blocks, before is not None and blocks > before)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now = tuple(self.open.get()) if self.open.exists() else None
+        before = now = self.open.get()
         out = []
         for first, last, n in sorted((r["first_us"], r["last_us"], r["n"]) for r in rows):
             if now and first - now[1] < self.gap:
@@ -156,10 +173,7 @@ class _Offender(StatefulProcessor):
                 if now:
                     out.append(self._close(key, *now))
                 now = (first, last, n)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        # a slot may hold requests of up to a gap before it ends
-        self.handle.registerTimer(-(-(now[1] + 2 * self.gap) // 1000))
+        _move_timer(self.handle, before and self._ends(before[1]), self._ends(now[1]))
         self.open.update(now)
         return iter(out)
 
@@ -177,8 +191,7 @@ def stream_offenders(log: DataFrame, gap_minutes: int = 30, late: str = "10 minu
 
     Requests are summed by client and slot before they meet the client's state, as in the batch form.
     """
-    d = log.where("blocked").withWatermark("ts", late).groupBy(F.window("ts", f"{gap_minutes} minutes").alias("w"), "client")
-    d = d.agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
+    d = _summed(log.where("blocked").withWatermark("ts", late).groupBy(F.window("ts", f"{gap_minutes} minutes").alias("w"), "client"))
     kind = log.schema["client"].dataType.simpleString()
     out = f"client {kind}, session_no long, session_start long, session_end long, blocks long, blocks_so_far long, escalated boolean"
     return d.groupBy("client").transformWithState(_Offender(gap_minutes * 60_000_000), out, "append", "eventTime")
