@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textguard.llm import repeat_removal
@@ -79,3 +80,29 @@ def test_suffix_arrays():
         if names and rng.random() < 0.3:
             names = (names[: rng.randint(1, 5)] * 20)[:n]
         assert suffix_array(np.array(names, np.int64)).tolist() == sorted(range(len(names)), key=lambda i: names[i:])
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_texts_worked_on_together_have_the_runs_of_each(letters):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 39, 40, 41, 300]))) for _ in range(60)]
+    texts += [texts[-1], "ab" * 200, "a" * 300, "x" * (repeat_removal.TEXTS + 1), ""]
+    raw, ends = repeat_removal._bytes_of(pa.array(["before", *texts]).slice(1))
+    found, calls = [], 0
+    for text, begins, at in repeat_removal._parts(ends, 40):
+        begins, calls = begins - begins[0], calls + 1
+        a = int(ends[text]) + at
+        first, end, keys, weight = repeat_removal.runs_of(raw[a : a + int(begins[-1])], 40, 8, begins)
+        of = np.searchsorted(begins, first, side="right") - 1
+        found += zip((text + of).tolist(), (first - begins[of] + at).tolist(), (end - begins[of] + at).tolist(), keys.tolist(), weight.tolist())
+    want = []
+    for i, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        keys = repeat_removal.keys_of(data, 40, 8).view(np.int64).tolist() if len(data) >= 40 else []
+        h = repeat_removal._gram_hashes(data, 8).view(np.int64).tolist() if len(data) >= 40 else []
+        begin = [j for j in range(len(keys)) if not j or keys[j] != keys[j - 1]]
+        for a, b in zip(begin, [*begin[1:], len(keys)]):
+            # the places of the smallest string in the strings that start in the run
+            want.append((i, a, b, keys[a], sum(x == keys[a] for x in h[a : b + 32])))
+    assert found == want
+    assert calls < 10

@@ -32,6 +32,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """``df`` stored, and the shuffle files that led to it given up.
+
+    Spark removes these files once the driver's JVM has collected the plans that point to them, which a driver with little to do may put off to
+    the end. So large steps ask for it.
+    """
+    spark, out = df.sparkSession, stored(df)
+    del df  # it holds the plan, and so does Spark's listener until another query has ended
+    out.isEmpty()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores in front as keep it apart from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

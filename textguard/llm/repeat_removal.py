@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import join_groups, join_same, stored
+from textguard.llm.common import join_groups, join_same, released, stored
 from textguard.llm.suffix_groups import suffix_array
 
 LENGTH = 200
@@ -36,13 +36,14 @@ HOT = 1000
 TOGETHER = 4 << 20
 #: Bytes of the contexts of many keys that share one suffix array.
 BATCH = 1 << 18
-#: Bytes of a text worked on at a time, and starts in one context at most.
+#: Bytes of a text worked on at a time, of short texts worked on together, and starts in one context at most.
 WINDOW = 1 << 22
+TEXTS = 1 << 15
 RUN = 1 << 14
 
 _ODD = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Byte pairs between which a token ends: about one in fourteen, and equal bytes.
-_CUT = np.random.default_rng(11).random((256, 256)) < 0.07
+#: Byte pairs between which a token ends: about one in twenty-five, and equal bytes.
+_CUT = np.random.default_rng(11).random((256, 256)) < 0.04
 _CUT |= np.eye(256, dtype=bool)
 
 
@@ -67,11 +68,13 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    n = len(data) - gram + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(gram // 8):
-        h += _words(data[8 * j :], n) * _ODD[j]
-    return _mixed(h)
+    """A hash of every string of ``gram`` bytes, never 0: strings of eight bytes are joined two by two."""
+    h, size = _words(data, len(data) - 7) * _ODD[0], 8
+    while size < gram:
+        step = min(size, gram - size)
+        h = h[:-step] * _ODD[step % 61] + h[step:]
+        size += step
+    return _mixed(h) | np.uint64(1)
 
 
 def keys_of(data: np.ndarray, length: int, gram: int, level: int = 0) -> np.ndarray:
@@ -82,44 +85,77 @@ def keys_of(data: np.ndarray, length: int, gram: int, level: int = 0) -> np.ndar
     return _sliding(h, length - gram + 1, np.minimum)
 
 
-def runs_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First start, end of starts, key, and how often the key's smallest string occurs, of every run of starts."""
+def runs_of(data: np.ndarray, length: int, gram: int, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First start, end of starts, key, and at how many places the key's smallest string occurs, of every run of starts.
+
+    ``begins`` tells where the texts that ``data`` consists of begin, and where the last one ends (one text, if left out).
+    """
+    begins = np.array([0, len(data)]) if begins is None else begins
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = _gram_hashes(data, gram)
     keys = _sliding(h, length - gram + 1, np.minimum)
+    # strings that reach into the next text have no key
+    over = np.zeros(len(data) + 1, np.int32)
+    np.add.at(over, np.maximum(begins[1:-1] - length + 1, 0), 1)
+    np.add.at(over, begins[1:-1], -1)
+    keys[np.cumsum(over[: len(keys)]) > 0] = 0
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     end = np.append(first[1:], len(keys))
-    # positions that are the smallest of some string
+    some = keys[first] > 0
+    first, end = first[some], end[some]
+    # positions that are the smallest of some string: those of a run are neighbours, and come in the order of runs
     pad = np.zeros(length - gram, np.uint64)
-    smallest = h[h == _sliding(np.concatenate([pad, keys, pad]), length - gram + 1, np.maximum)]
-    found, counts = np.unique(smallest, return_counts=True)
-    return first, end, keys[first].view(np.int64), counts[np.searchsorted(found, keys[first])]
-
-
-def _raw(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    least = np.flatnonzero(h == _sliding(np.concatenate([pad, keys, pad]), length - gram + 1, np.maximum))
+    text = np.searchsorted(begins, least, side="right")
+    new = np.flatnonzero(np.concatenate([[True], (h[least[1:]] != h[least[:-1]]) | (text[1:] != text[:-1])])[: len(least)])
+    return first, end, keys[first].view(np.int64), np.diff(np.append(new, len(least)))
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts (no nulls) as they lie one after the other, and where each begins and the last one ends."""
+    _, ends, raw = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(ends, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if ends else np.zeros(1, np.int64)
+    return np.frombuffer(raw or b"", np.uint8), ends
+
+
+def _parts(ends: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(text, begins, at): short texts together, from ``text`` on; of a long one a window, from its byte ``at`` on."""
+    row = 0
+    while row < len(ends) - 1:
+        size = int(ends[row + 1] - ends[row])
+        if size > TEXTS:
+            for at in range(0, max(size - length + 1, 0), WINDOW):
+                yield row, ends[row] + np.array([at, min(at + WINDOW + length - 1, size)]), at
+            row += 1
+            continue
+        end = max(row + 1, int(np.searchsorted(ends, ends[row] + TEXTS, side="right")) - 1)
+        yield row, ends[row : end + 1], 0
+        row = end
 
 
 def _all_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = _raw(batch.column("t")[i].as_py())
-                for at in range(0, max(len(data) - length + 1, 0), WINDOW):
-                    part = data[at : at + WINDOW + length - 1]
-                    first, end, keys, weight = runs_of(part, length, gram)
-                    # no context is longer than a fixed size
-                    cuts = -(-(end - first) // RUN)
-                    own = np.repeat(np.arange(len(first)), cuts)
-                    step = np.arange(len(own)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-                    lo = first[own] + step * RUN
-                    hi = np.minimum(lo + RUN, end[own])
-                    k = len(own)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(pa.array(np.full(k, i))),
-                         pa.array(np.full(k, batch.column("th")[i].as_py(), np.int64)), pa.array(lo + at), pa.array(hi + at),
-                         pa.array(keys[own]), pa.array(weight[own])],
-                        ["id", "th", "lo", "hi", "key", "weight"],
-                    )
+            raw, ends = _bytes_of(batch.column("t"))
+            hashes = batch.column("th").to_numpy()
+            for text, begins, at in _parts(ends, length):
+                begins = begins - begins[0]
+                a = int(ends[text]) + at
+                first, end, keys, weight = runs_of(raw[a : a + int(begins[-1])], length, gram, begins)
+                # no context is longer than a fixed size
+                cuts = -(-(end - first) // RUN)
+                own = np.repeat(np.arange(len(first)), cuts)
+                step = np.arange(len(own)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                lo = first[own] + step * RUN
+                hi = np.minimum(lo + RUN, end[own])
+                of = np.searchsorted(begins, lo, side="right") - 1
+                lo, hi = lo - begins[of] + at, hi - begins[of] + at
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(text + of)), pa.array(hashes[text + of]), pa.array(lo), pa.array(hi), pa.array(keys[own]), pa.array(weight[own])],
+                    ["id", "th", "lo", "hi", "key", "weight"],
+                )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "th", "t").mapInArrow(run, f"id {kind}, th long, lo long, hi long, key long, weight long")
@@ -128,27 +164,33 @@ def _all_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """id, th, key, lo, ctx of the runs in ``runs`` (lo, hi, key, hot); hot ones are divided by two further hashes."""
 
+    def divided(data: np.ndarray, key: int) -> Iterator[tuple[int, int, bytes]]:
+        second, third = keys_of(data, length, gram, 1), keys_of(data, length, gram, 2)
+        sub = _mixed(_mixed(np.uint64(key & (2**64 - 1)) + second) + third).view(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1]]))
+        for a, b in zip(first.tolist(), np.append(first[1:], len(sub)).tolist()):
+            yield int(sub[a]), a, data[a : b + length - 1].tobytes()
+
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = _raw(batch.column("t")[i].as_py())
+            raw, ends = _bytes_of(batch.column("t"))
+            each, own = batch.column("runs").flatten(), np.repeat(np.arange(batch.num_rows), batch.column("runs").value_lengths())
+            lo, hi, keys = (each.field(f).to_numpy() for f in ("lo", "hi", "key"))
+            hot = each.field("hot").to_numpy(zero_copy_only=False)
+            begin, size = ends[own] + lo, hi - lo + length - 1
+            for at in range(0, len(own), 1024):
+                some = range(at, min(at + 1024, len(own)))
                 rows = []
-                for r in batch.column("runs")[i].as_py():
-                    lo, hi, key = r["lo"], r["hi"], r["key"]
-                    if not r["hot"]:
-                        rows.append((key, lo, data[lo : hi + length - 1].tobytes()))
-                        continue
-                    part = data[lo : hi + length - 1]
-                    second, third = keys_of(part, length, gram, 1), keys_of(part, length, gram, 2)
-                    sub = _mixed(_mixed(np.uint64(key & (2**64 - 1)) + second) + third).view(np.int64)
-                    first = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1]]))
-                    for a, b in zip(first, np.append(first[1:], len(sub))):
-                        rows.append((int(sub[a]), lo + int(a), part[a : b + length - 1].tobytes()))
-                for at in range(0, len(rows), 4096):
-                    some = rows[at : at + 4096]
+                for i, a, b in zip(some, begin[some].tolist(), (begin + size)[some].tolist()):
+                    if hot[i]:
+                        rows += [(i, key, int(lo[i]) + off, ctx) for key, off, ctx in divided(raw[a:b], int(keys[i]))]
+                    else:
+                        rows.append((i, keys[i], lo[i], raw[a:b].tobytes()))
+                for begun in range(0, len(rows), 4096):
+                    i, key, start, ctx = zip(*rows[begun : begun + 4096])
+                    of = pa.array(own[list(i)])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(pa.array(np.full(len(some), i))), pa.array(np.full(len(some), batch.column("th")[i].as_py(), np.int64)),
-                         pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.binary())],
+                        [batch.column("id").take(of), batch.column("th").take(of), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(ctx, pa.binary())],
                         ["id", "th", "key", "lo", "ctx"],
                     )
 
@@ -169,39 +211,36 @@ def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     token_at = np.flatnonzero(cut)
     token_of = np.cumsum(cut[:n]) - 1
     left = token_at[token_of + 1] - np.arange(n)  # bytes up to the end of the token
-    # the bytes up to the end of the token, eight by eight, in their own order, then zeros
-    columns = []
-    for j in range(-(-min(int(left.max()), length) // 8)):
-        use = np.clip(left - 8 * j, 0, 8).astype(np.uint64)
-        word = _words(data[8 * j :], n).byteswap()
-        shift = (np.uint64(8) - use) * np.uint64(8)
-        columns.append(np.where(use > 0, (word >> np.minimum(shift, np.uint64(63))) << np.minimum(shift, np.uint64(63)), np.uint64(0)))
     reach = np.minimum(left, length)
     # names of whole tokens in the order of their bytes
-    heads = token_at[:-1]
-    order = np.lexsort([reach[heads], *[c[heads] for c in reversed(columns)]])
-    differs = np.zeros(len(heads), bool)
-    for c in (reach, *columns):
-        v = c[heads][order]
-        differs[1:] |= v[1:] != v[:-1]
-    names = np.empty(len(heads), np.int64)
-    names[order] = np.cumsum(differs)
+    raw, heads = data.tobytes(), token_at[:-1]
+    tokens = [raw[a:b] for a, b in zip(heads.tolist(), (heads + reach[heads]).tolist())]
+    number = {token: i for i, token in enumerate(sorted(set(tokens)))}
+    names = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
     rank = np.zeros(len(heads) + 1, np.int64)
     rank[suffix_array(names)] = np.arange(1, len(heads) + 1)
-    # starts in the order of the bytes up to the next token, then of the suffix that begins there
+    # starts in the order of the bytes up to the next token, then of the suffix that begins there; equal strings have the same ``reach``
     start = np.concatenate([np.arange(b, b + s - length + 1) for b, s in zip(begin, sizes)])
-    after = rank[token_of[start] + 1]
-    order = start[np.lexsort([after, reach[start], *[c[start] for c in reversed(columns)]])]
-    equal = np.ones(max(len(order) - 1, 0), bool)
-    for j in range(0, length - 7, 8):
+    after = reach[start] * (len(heads) + 1) + rank[token_of[start] + 1]
+    order, less = [], 0
+    for most in (*(w for w in (8, 16, 32, 64) if w < length), length):
+        some = np.flatnonzero((reach[start] > less) & (reach[start] <= most))
+        at, columns, less = start[some], [], most
+        for j in range(0, most, 8):
+            # the bytes up to the end of the token, eight by eight, in their own order, then zeros
+            shift = (np.uint64(8) - np.clip(reach[at] - j, 0, 8).astype(np.uint64)) * np.uint64(8)
+            word = _words(data[j:], n)[at].byteswap()
+            columns.append(np.where(shift < 64, (word >> np.minimum(shift, np.uint64(63))) << np.minimum(shift, np.uint64(63)), np.uint64(0)))
+        order.append(at[np.lexsort([after[some], *reversed(columns)])])
+    order = np.concatenate(order)
+    # neighbours that are equal
+    equal = np.arange(max(len(order) - 1, 0))
+    for j in (*range(0, length - 7, 8), length - 8):
         w = _words(data[j:], n)
-        equal &= w[order[1:]] == w[order[:-1]]
-    if length % 8:
-        w = _words(data[length - 8 :], n)
-        equal &= w[order[1:]] == w[order[:-1]]
+        equal = equal[w[order[equal + 1]] == w[order[equal]]]
     twice = np.zeros(n, bool)
-    twice[order[1:][equal]] = True
-    twice[order[:-1][equal]] = True
+    twice[order[equal + 1]] = True
+    twice[order[equal]] = True
     return [twice[b : b + s - length + 1] for b, s in zip(begin, sizes)]
 
 
@@ -290,25 +329,34 @@ def _cut_out(texts: DataFrame, length: int) -> DataFrame:
     """id, n_bytes, spans, kept bytes of texts (id, t, starts)."""
     kind = texts.schema["id"].dataType
 
+    spans_kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+
     def run(batches):
         for batch in batches:
+            raw, ends = _bytes_of(batch.column("t"))
+            first, held, size = 0, [], 0
             for i in range(batch.num_rows):
-                data = _raw(batch.column("t")[i].as_py()).tobytes()
+                data = raw[ends[i] : ends[i + 1]].tobytes()
                 spans: list[list[int]] = []
-                for x in sorted(batch.column("starts")[i].as_py() or [], key=lambda x: x["from"]):
-                    a, b = x["from"], x["to"] - 1 + length
+                starts = batch.column("starts")[i].values
+                found = [] if starts is None else sorted(zip(starts.field("from").to_pylist(), starts.field("to").to_pylist()))
+                for a, b in found:
+                    b += length - 1
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(b, spans[-1][1])
                     else:
                         spans.append([a, b])
                 edges = [0, *(e for s in spans for e in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, 1), pa.array([len(data)], pa.int64()),
-                     pa.array([[{"from": a, "to": b} for a, b in spans]], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
-                     pa.array([kept], pa.binary())],
-                    ["id", "n_bytes", "spans", "kept"],
-                )
+                held.append((len(data), [{"from": a, "to": b} for a, b in spans], kept))
+                size += len(kept)
+                if size > WINDOW or i + 1 == batch.num_rows:
+                    n, spans_of, kept_of = zip(*held)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").slice(first, len(held)), pa.array(n, pa.int64()), pa.array(spans_of, spans_kind), pa.array(kept_of, pa.binary())],
+                        ["id", "n_bytes", "spans", "kept"],
+                    )
+                    first, held, size = i + 1, [], 0
 
     return texts.select("id", "t", "starts").mapInArrow(
         run, f"id {kind.simpleString()}, n_bytes long, spans array<struct<from:long,to:long>>, kept binary"
@@ -326,18 +374,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
     runs = _all_runs(own, length, gram)
-    keys = stored(runs.groupBy("key").agg(F.sum("weight").alias("places"), F.count(F.lit(1)).alias("w")).where("places > 1"))
+    keys = released(runs.groupBy("key").agg(F.sum("weight").alias("places"), F.count(F.lit(1)).alias("w")).where("places > 1"))
     met = join_groups(runs, keys, ["key"], "w", F.xxhash64("id", "th", "lo")).where("places IS NOT NULL")
     one = F.struct("lo", "hi", "key", (F.col("w") > HOT).alias("hot"))
     per_doc = met.groupBy("id", "th").agg(F.collect_set(one).alias("runs"))
-    texts = stored(join_same(own, per_doc, ["id", "th"]))
+    texts = released(join_same(own, per_doc, ["id", "th"]))
     touched = texts.where("runs IS NOT NULL")
 
     contexts = _contexts(touched, length, gram)
     c1, c2 = F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(1), "ctx").alias("c2")
     groups = contexts.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n")).select("key", c1, c2, "ctx", "n")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(_settle(groups.repartition(tasks, "key").sortWithinPartitions("key"), length))
+    found = released(_settle(groups.repartition(tasks, "key").sortWithinPartitions("key"), length))
     settled = found.where("rest IS NULL").select("key", "c1", "c2", "starts", "n")
     rest = found.where("rest IS NOT NULL")
     if not rest.isEmpty():
