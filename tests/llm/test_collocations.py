@@ -97,3 +97,32 @@ def test_a_word_with_very_many_followers_takes_no_others():
         ids = np.array([x for i in range(2, 8_000) for x in (letters[str(first)], letters[str(i)], 0)])
         at, of = co.advance(trie, ids, 2)
         assert [trie.phrases[i] for i in of] == [f"{first} {i}" for i in range(2, 8_000) if side[i] == first]
+
+
+def test_candidates_leave_a_task_by_range(spark):
+    words = [f"w{i}" for i in range(60)]
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice(words) for _ in range(500)), "en") for _ in range(40)]
+    docs = spark.createDataFrame(rows, "t string, lang string").repartition(8)
+    blocks = co._blocks(docs).select("lang", "words", "codes")
+    buckets = co.Buckets(1 << 16, 4)
+    step = co._Step(1, None, True, [])
+    hot = buckets.full(co._counted(blocks, step, buckets).where("range IS NOT NULL").select("range", "places", "counts"), 1)
+    given = co._candidates(blocks, step, buckets, hot)
+    assert given.count() <= 8 * 4
+    want = {" ".join(p) for text, _ in rows for p in zip(text.split(), text.split()[1:])}
+    got = [r["phrase"] for r in co._distinct(given).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # their counts, too, are a row for many phrases
+    pairs = next(co._tries(co._distinct(given), 2, 10_000))
+    counted = co._counted(blocks, pairs, None)
+    assert counted.count() <= 8
+    n = Counter(" ".join(p) for text, _ in rows for p in zip(text.split(), text.split()[1:]))
+    assert sorted(map(tuple, co._summed(counted, pairs, 3).collect())) == sorted(("en", p, c) for p, c in n.items() if c >= 3)
+
+
+def test_candidates_beyond_what_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(co, "GIVEN", 10)
+    rows = corpus(7, 80)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    assert sorted(map(tuple, co.collocations(df, support=4).collect())) == plain(rows, 4, 5, 2000)

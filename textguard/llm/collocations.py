@@ -42,8 +42,10 @@ TRIE = 300_000
 RANGE = 1 << 24
 RANGES = 256
 BITS = 1 << 27
-#: Candidates that a task remembers at most.
+#: Candidates that a task holds at most, and a block's.
 GIVEN = 500_000
+#: Phrases of a trie whose counts of a task are one row.
+SLICE = 1 << 12
 #: Rows that one task ranks, roughly, before the ranks of a language are merged.
 RANKED = 50_000
 
@@ -325,11 +327,12 @@ def advance(trie: Trie, ids: np.ndarray, words: int) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class _Step:
-    """What a pass over blocks needs: the trie of phrases of ``words`` words (none: single words), and whether it holds all of them."""
+    """What a pass over blocks needs: the trie of phrases of ``words`` words (none: single words), whether it holds all of them, their languages."""
 
     words: int
     trie: Trie | None
     whole: bool
+    langs: list[str]
 
     def begin(self, lang: str, known: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Where phrases begin, which they are, and their list."""
@@ -355,53 +358,116 @@ class _Step:
 
 
 def _counted(blocks: DataFrame, step: _Step, buckets: Buckets | None) -> DataFrame:
-    """(lang, phrase, n) of the trie's phrases in all blocks of a task, and (range, places, counts) of every block's buckets of phrases with one word more."""
+    """(slice, places, counts) of the trie's phrases in all blocks of a task, a row for each ``SLICE`` of them, and (range, places, counts) of every
+    block's buckets of phrases with one word more."""
     shared = blocks.sparkSession.sparkContext.broadcast(step)
-    names = ["lang", "phrase", "n", "range", "places", "counts"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["slice", "range", "places", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value.trie
-        total, of_lang = np.zeros(len(trie.phrases) if trie else 0, np.int64), {}
+        total = np.zeros(len(trie.phrases) if trie else 0, np.int64)
         with np.errstate(over="ignore"):
             for lang, known, codes in _rows(batches):
                 at, of, _ = shared.value.begin(lang, known, codes)
                 if trie:
-                    seen = np.bincount(of, minlength=len(total))
-                    total += seen
-                    # a phrase of the trie belongs to one language
-                    of_lang[lang] = seen > 0 if lang not in of_lang else of_lang[lang] | (seen > 0)
+                    total += np.bincount(of, minlength=len(total))
                 if buckets:
                     rows = _range_batch(list(buckets.rows(shared.value.longer(lang, known, codes, at)[1])))
-                    yield pa.RecordBatch.from_arrays([*[pa.nulls(rows.num_rows, k) for k in kinds[:3]], *rows.columns], names)
-        for lang, there in of_lang.items():
-            there = np.flatnonzero(there)
-            counted = [[lang] * len(there), [trie.phrases[i] for i in there], total[there]]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(counted, kinds)], *[pa.nulls(len(there), k) for k in kinds[3:]]], names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int64()), *rows.columns], names)
+        there = np.flatnonzero(total)
+        of, place = np.divmod(there, SLICE)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
+            row = [pa.array([of[a]], pa.int64()), pa.nulls(1, pa.int64())]
+            row += [pa.array([x.tobytes()], pa.binary()) for x in (place[a:b].astype(np.uint16), total[there[a:b]])]
+            yield pa.RecordBatch.from_arrays(row, names)
+
+    return blocks.mapInArrow(run, "slice long, range long, places binary, counts binary")
+
+
+def _summed(rows: DataFrame, step: _Step, support: int) -> DataFrame:
+    """(lang, phrase, f) of the trie's phrases that all tasks together have often enough."""
+    shared = rows.sparkSession.sparkContext.broadcast((step.langs, step.trie.phrases))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, phrases = shared.value
+        now, total = None, np.zeros(SLICE, np.int64)
+
+        def close() -> pa.RecordBatch:
+            often = np.flatnonzero(total >= support)
+            some = (now * SLICE + often).tolist()
+            return pa.RecordBatch.from_arrays([pa.array([langs[i] for i in some], pa.string()), pa.array([phrases[i] for i in some], pa.string()), pa.array(total[often])], ["lang", "phrase", "f"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["slice"] != now:
+                    if now is not None:
+                        yield close()
+                    now, total = r["slice"], np.zeros(SLICE, np.int64)
+                total[np.frombuffer(r["places"], np.uint16)] += np.frombuffer(r["counts"], np.int64)
+        if now is not None:
+            yield close()
 
-    return blocks.mapInArrow(run, "lang string, phrase string, n long, range long, places binary, counts binary")
+    dealt = rows.where("slice IS NOT NULL").select("slice", "places", "counts").repartition("slice").sortWithinPartitions("slice")
+    return dealt.mapInArrow(run, "lang string, phrase string, f long")
 
 
 def _candidates(blocks: DataFrame, step: _Step, buckets: Buckets, hot: np.ndarray) -> DataFrame:
-    """(lang, phrase) of phrases with one word more in full buckets; a task remembers a bounded number of those it has given."""
+    """(range, lang, phrases) of phrases with one word more in full buckets: a row for each range and language of a task, or for so many phrases.
+
+    A phrase lies in the range of its bucket, whichever task has it.
+    """
     shared = blocks.sparkSession.sparkContext.broadcast((step, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, hot = shared.value
-        given: dict[str, set[str]] = defaultdict(set)
+        held: dict[tuple[int, str], set[str]] = defaultdict(set)
+        size = 0
+
+        def given() -> pa.RecordBatch:
+            of, langs = zip(*held) if held else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(langs, pa.string()), pa.array(map(list, held.values()), pa.list_(pa.string()))], ["range", "lang", "phrases"])
+
         with np.errstate(over="ignore"):
             for lang, known, codes in _rows(batches):
                 at, of, phrases = step.begin(lang, known, codes)
                 on, h = step.longer(lang, known, codes, at)
-                on = on[buckets.among(h, hot)]
-                heads, tails = np.divmod(np.unique(of[on] * (len(known) + 1) + codes[at[on] + step.words]), len(known) + 1)
-                found = {f"{phrases[i]} {known[j - 1]}" for i, j in zip(heads.tolist(), tails.tolist())} - given[lang]
-                if sum(map(len, given.values())) > GIVEN:
-                    given.clear()
-                given[lang] |= found
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string())], ["lang", "phrase"])
+                full = buckets.among(h, hot)
+                on, ranges = on[full], buckets.split(h[full])[0]
+                code, first = np.unique(of[on] * (len(known) + 1) + codes[at[on] + step.words], return_index=True)
+                heads, tails = np.divmod(code, len(known) + 1)
+                for i, j, r in zip(heads.tolist(), tails.tolist(), ranges[first].tolist()):
+                    held[r, lang].add(f"{phrases[i]} {known[j - 1]}")
+                size += len(code)
+                # counted again, as most have been there before
+                if size > GIVEN and (size := sum(map(len, held.values()))) > GIVEN:
+                    yield given()
+                    held.clear()
+                    size = 0
+        yield given()
+
+    return blocks.mapInArrow(run, "range long, lang string, phrases array<string>")
+
+
+def _distinct(found: DataFrame) -> DataFrame:
+    """(lang, phrase): each phrase of ``_candidates`` once. A range holds few of them, as it has few full buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, defaultdict(set)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for lang, phrases in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(list(phrases), pa.string())], ["lang", "phrase"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if (of := batch.column("range")[row].as_py()) != now:
+                    yield from close()
+                    now, held = of, defaultdict(set)
+                held[batch.column("lang")[row].as_py()].update(batch.column("phrases")[row].as_py())
+        yield from close()
 
-    return blocks.mapInArrow(run, "lang string, phrase string")
+    return found.repartition("range").sortWithinPartitions("range").mapInArrow(run, "lang string, phrase string")
 
 
 def _tries(phrases: DataFrame, words: int, trie: int) -> Iterator[_Step]:
@@ -411,7 +477,8 @@ def _tries(phrases: DataFrame, words: int, trie: int) -> Iterator[_Step]:
     for part in range(parts):
         mine = dealt.where(F.col("part") == part).select("lang", "phrase").toArrow()
         if mine.num_rows:
-            yield _Step(words, build_trie(mine.column("lang").to_pylist(), mine.column("phrase").to_pylist()), parts == 1)
+            langs = mine.column("lang").to_pylist()
+            yield _Step(words, build_trie(langs, mine.column("phrase").to_pylist()), parts == 1, langs)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, longest: int = LONGEST, trie: int = TRIE) -> tuple[DataFrame, DataFrame]:
@@ -428,11 +495,11 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", suppo
     buckets = Buckets.of(totals.agg(F.sum("n")).first()[0] or 0)
     blocks = stored(_frequent_only(blocks, buckets, buckets.full(_word_buckets(frequent, buckets), 1)))
 
-    steps, rows = [_Step(1, None, True)], _counted(blocks, _Step(1, None, True), buckets)
+    steps, rows = [_Step(1, None, True, [])], _counted(blocks, _Step(1, None, True, []), buckets)
     for k in range(2, longest + 1):
         hot = buckets.full(rows.where("range IS NOT NULL").select("range", "places", "counts"), support)
         found = reduce(DataFrame.unionByName, [_candidates(blocks, step, buckets, hot) for step in steps])
-        found = stored(found.distinct())
+        found = stored(_distinct(found))
         last, seen, steps = k == longest, [], []
         for step in _tries(found, k, trie):
             seen.append(stored(_counted(blocks, step, None if last else buckets)))
@@ -440,7 +507,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", suppo
         if not seen:
             break
         rows = reduce(DataFrame.unionByName, seen)
-        f = rows.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+        f = reduce(DataFrame.unionByName, [_summed(mine, step, support) for mine, step in zip(seen, steps)])
         counts.append(stored(f.select("lang", "phrase", F.lit(k).alias("words"), "f")))
     return stored(reduce(DataFrame.unionByName, counts)), totals
 
