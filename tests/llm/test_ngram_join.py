@@ -73,6 +73,18 @@ def test_odd_tables(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def test_few_queries_for_a_small_table(spark):
+    """Every query and exchange takes memory of the driver, whatever the size of the table."""
+    df = spark.createDataFrame(corpus(5, 60), "doc_id long, text string").coalesce(2)
+    spark.sparkContext.setJobGroup("few", "")
+    try:
+        near_duplicates(df, words=4, percent=85).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    assert n < 175
+
+
 def _lit(value):
     from pyspark.sql import functions as F
 

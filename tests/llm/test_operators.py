@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textguard.llm import exact_dedup, fingerprints, language, line_dedup, mixing, sentence_pieces, token_counts
-from textguard.llm.common import join_groups, stored
+from textguard.llm.common import join_groups, likely_in, measured_groups, stored
 from textguard.llm.components import components
 from textguard.llm.merge_pairs import PairTokens
 from textguard.llm.queries import TOKENIZERS
@@ -366,3 +366,33 @@ def test_join_groups(spark):
     groups = stored(spark.createDataFrame([(k, n, -k) for k, n in sizes.items() if k % 2 == 0], "k long, n long, v long"))
     got = join_groups(df, groups, ["k"], "n", F.col("i")).collect()
     assert sorted((r["i"], r["v"]) for r in got) == sorted((i, -k if k is not None and k % 2 == 0 else None) for i, k in rows)
+
+
+def test_few_groups_meet_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(i % 7, i) for i in range(200)] + [(None, -1), (99, -2)], "k long, v long").repartition(3)
+    groups, sizes = measured_groups(rows.where("k < 5").groupBy("k").agg(F.count(F.lit(1)).alias("n")), "n")
+    met = join_groups(rows, groups, ["k"], "n", F.col("v"), sizes)
+    n = Counter(i % 7 for i in range(200))
+    assert sorted(map(tuple, met.collect()), key=str) == sorted([(i % 7, i, n[i % 7] if i % 7 < 5 else None) for i in range(200)] + [(None, -1, None), (99, -2, None)], key=str)
+    assert sizes == {"total": sum(n[k] for k in range(5)), "most": 29, "count": 5}
+    assert "SortMergeJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    none, sizes = measured_groups(groups.where("n < 0"), "n")
+    assert sizes["count"] == 0 and {r["n"] for r in join_groups(rows, none, ["k"], "n", F.col("v"), sizes).collect()} == {None}
+
+
+def test_many_even_groups_meet_in_one_shuffle_join(spark):
+    rows = spark.range(6000).select((F.col("id") % 2000).alias("k"), F.col("id").alias("v"))
+    groups, sizes = measured_groups(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "n")
+    met = join_groups(rows, groups, ["k"], "n", F.col("v"), sizes)
+    assert "_salt" not in met._jdf.queryExecution().analyzed().toString()
+    assert {r["n"] for r in met.collect()} == {3} and met.count() == 6000
+
+
+def test_rows_that_are_likely_in_another_table(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), F.col("id").cast("string").alias("b"))
+    other = rows.where("a IS NULL OR a % 100 = 7").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    found = likely_in(rows, other, {"a": "x", "b": "y"})
+    assert found.columns == rows.columns
+    assert 201 <= found.count() < 300
+    assert other.exceptAll(found).count() == 0
+    assert likely_in(rows, other.limit(0), {"a": "x", "b": "y"}).count() == 0

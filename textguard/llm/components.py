@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import join_groups, stored
+from textguard.llm.common import join_groups, measured, measured_groups, stored
 
 
 def _step(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -13,13 +13,13 @@ def _step(links: DataFrame, both_ways: bool) -> DataFrame:
     turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     # a: the node, b: a neighbour; smaller neighbours only, unless both ways
     seen = links.union(turned) if both_ways else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = stored(seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
-    met = join_groups(seen, least, ["a"], "n", F.col("b"))
+    least, sizes = measured_groups(seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "n")
+    met = join_groups(seen, least, ["a"], "n", F.col("b"), sizes)
     if both_ways:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return stored(out.where("a <> b").distinct())
+    return out.where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,8 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links.where("a <> b").select("a", "b").distinct())
     mark = None
     while True:
-        links = _step(_step(links, True), False)
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        links = _step(stored(_step(links, True)), False)
+        links, now = measured(links, n=F.count(F.lit(1)), h=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         if now == mark:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now

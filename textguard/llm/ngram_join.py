@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import fresh, join_groups, join_same, stored, text_of
+from textguard.llm.common import fresh, join_groups, join_same, likely_in, measured_groups, released, stored, text_of
 from textguard.llm.components import components
 
 #: Production values of near-duplicate stages; a query may set others.
@@ -175,8 +175,9 @@ def _keyed(rows: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b, ca) those that are similar enough. Pairs with the same ``a`` are dealt out, its tokens repeated."""
-    fan = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")).withColumn("parts", F.ceil(F.col("w") / MET).cast("long")))
-    pairs = join_groups(pairs, fan, ["a"], "w", F.col("b")).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("w", "parts")
+    fan, sizes = measured_groups(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")).withColumn("parts", F.ceil(F.col("w") / MET).cast("long")), "w")
+    sets = likely_in(sets, pairs.select(F.explode(F.array("a", "b")).alias("sid")), {"sid": "sid"})
+    pairs = join_groups(pairs, fan, ["a"], "w", F.col("b"), sizes).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("w", "parts")
     one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")).join(fan, "a")
     one = one.select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     two = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
@@ -192,8 +193,10 @@ def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     differences they have in common. So they need c_a + w_b common ones, w = (100 |A| + percent |B|) / (100 + percent) and
     c_a above 0 where a has no link to p: one of any |A_b| + |B_b| - floor(w_b) differences of b is among those of a.
     """
-    fan = stored(members.groupBy("p").agg(F.count(F.lit(1)).alias("w")).withColumn("parts", F.ceil(F.col("w") / MET).cast("long")))
-    dealt = join_groups(members, fan, ["p"], "w", F.col("sid")).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts"))).drop("w", "parts")
+    fan, sizes = measured_groups(members.groupBy("p").agg(F.count(F.lit(1)).alias("w")).withColumn("parts", F.ceil(F.col("w") / MET).cast("long")), "w")
+    # a leader is a member of its group
+    sets = likely_in(sets, members, {"sid": "sid"})
+    dealt = join_groups(members, fan, ["p"], "w", F.col("sid"), sizes).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts"))).drop("w", "parts")
     leaders = sets.select(F.col("sid").alias("p"), F.col("tokens").alias("tp")).join(fan, "p")
     leaders = leaders.select("p", "tp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     met = dealt.join(sets.select("sid", F.col("tokens").alias("t")), "sid").join(leaders, ["p", "part"])
@@ -203,9 +206,9 @@ def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     most = F.size("lacks") + F.size("has") - F.floor((F.size("lacks") * 100 + F.size("has") * percent) / (100 + percent)).cast("int")
     met = stored(met.select("p", "sid", "n", "s", "comp", away.alias("away"), most.alias("most"), F.concat("lacks", "has").alias("delta")))
     each = met.select("p", "sid", F.explode("delta").alias("token"))
-    twice = stored(each.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    twice, sizes = measured_groups(each.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "c")
     # differences that no other set of the leader has would come first in the index and meet nobody: only their number counts
-    known = join_groups(each, twice, ["p", "token"], "c", F.col("sid")).where("c IS NOT NULL")
+    known = join_groups(each, twice, ["p", "token"], "c", F.col("sid"), sizes).where("c IS NOT NULL")
     known = known.groupBy("p", "sid").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("d"))
     rarest = (F.col("most") - (F.size("delta") - F.size("d"))).alias("rarest")
     met = stored(met.join(known, ["p", "sid"]).select("p", "sid", "n", "s", "comp", "away", rarest, "d"))
@@ -237,10 +240,12 @@ def _connect(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         groups = by_comp.groupBy("key").agg(
             F.sum("c").alias("m"), F.count(F.lit(1)).alias("comps"), F.max(F.struct((F.col("c") == 1).alias("alone"), "p", "comp")).alias("first"),
         ).where("comps > 1")
-        groups = stored(groups.select("key", "m", F.col("first.p.sid").alias("a"), F.col("first.p.n").alias("na"), F.col("first.p.s").alias("sa"), F.col("first.comp").alias("ca")))
-        open_ = stored(join_groups(seen, groups, ["key"], "m", F.col("sid")).where("m IS NOT NULL"))
+        groups = groups.select("key", "m", F.col("first.p.sid").alias("a"), F.col("first.p.n").alias("na"), F.col("first.p.s").alias("sa"), F.col("first.comp").alias("ca"))
+        groups, sizes = measured_groups(groups, "m")
+        open_ = stored(join_groups(seen, groups, ["key"], "m", F.col("sid"), sizes).where("m IS NOT NULL"))
         star = open_.where("comp <> ca").select("a", "na", "sa", "ca", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-        found = stored(_linked(star.where(_near(percent)).select("a", "b", "ca").dropDuplicates(["a", "b"]), sets, percent))
+        found = _linked(star.where(_near(percent)).select("a", "b", "ca").dropDuplicates(["a", "b"]), sets, percent)
+        found = stored(found) if round_ else released(found)
         links.append(found.select("a", "b"))
         if not round_:
             # differences are measured from the first leader; a group of two is settled by now
@@ -253,12 +258,13 @@ def _connect(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         now = stored(now.select("sid", F.least("comp", "to").alias("comp"), (F.col("led") | F.col("leads").isNotNull()).alias("led")))
         further = now.select(F.col("sid").alias("root"), F.col("comp").alias("further"))
         weights = now.groupBy(F.col("comp.sid").alias("root")).agg(F.count(F.lit(1)).alias("w"))
-        further = stored(weights.join(further, "root"))
+        further, sizes = measured_groups(weights.join(further, "root"), "w")
         now = now.withColumn("root", F.col("comp.sid"))
-        labels = stored(join_groups(now, further, ["root"], "w", F.col("sid")).select("sid", F.coalesce("further", "comp").alias("comp"), "led"))
+        labels = stored(join_groups(now, further, ["root"], "w", F.col("sid"), sizes).select("sid", F.coalesce("further", "comp").alias("comp"), "led"))
     seen = entries.join(labels.drop("led"), "sid")
-    groups = stored(seen.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_distinct("comp").alias("comps")).where("comps > 1").join(first, "key"))
-    open_ = join_groups(seen, groups.drop("comps"), ["key"], "m", F.col("sid")).where("m IS NOT NULL")
+    groups = seen.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_distinct("comp").alias("comps")).where("comps > 1").join(first, "key")
+    groups, sizes = measured_groups(groups.drop("comps"), "m")
+    open_ = join_groups(seen, groups, ["key"], "m", F.col("sid"), sizes).where("m IS NOT NULL")
     members = stored(open_.select("p", "np", "sid", "n", "s", "comp").distinct())
     links.append(stored(_linked(_apart(members, sets, percent), sets, percent)).select("a", "b"))
     found = components(reduce(DataFrame.unionByName, links))
@@ -287,34 +293,38 @@ def near_duplicates(
     # 1: sets with enough tokens of their extended prefix elsewhere
     shown = join_same(rows.select("id", "th", "prefix"), sets.select("id", "th", "sid", "n"), ["id", "th"], "inner")
     tokens = shown.select("sid", "n", F.explode("prefix").alias("token"))
-    twice = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1"))
-    met = join_groups(tokens, twice, ["token"], "n_sets", F.col("sid")).where("n_sets IS NOT NULL")
+    twice, sizes = measured_groups(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1"), "n_sets")
+    met = join_groups(tokens, twice, ["token"], "n_sets", F.col("sid"), sizes).where("n_sets IS NOT NULL")
     least = F.ceil(F.col("n") * percent / 100).cast("long")
     enough = F.col("hits") >= 1 + F.floor(least * EXTRA / 100)
     left = met.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("hits")).where(enough).select("sid")
-    left = stored(sets.join(left, "sid").select("sid", "n", "id", "th"))
+    left = released(sets.join(left, "sid").select("sid", "n", "id", "th"))
 
     # 2: exact counts of their tokens, and signatures
+    own = likely_in(own, left, {"id": "id", "th": "th"})
     texts = join_same(own, left, ["id", "th"], "inner").select("sid", "t")
-    whole = stored(_whole_sets(texts, words).dropDuplicates(["sid"]))
+    whole = released(_whole_sets(texts, words).dropDuplicates(["sid"]))
     tokens = whole.select("sid", F.explode("tokens").alias("token"))
-    twice = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1"))
-    met = join_groups(tokens, twice, ["token"], "n_sets", F.col("sid")).where("n_sets IS NOT NULL")
+    twice, sizes = measured_groups(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1"), "n_sets")
+    met = join_groups(tokens, twice, ["token"], "n_sets", F.col("sid"), sizes).where("n_sets IS NOT NULL")
     shared = met.groupBy("sid").agg(F.collect_list(F.struct("token", "n_sets")).alias("shared"))
     shared = shared.join(left.select("sid", "n"), "sid").where(F.size("shared") >= least)
-    entries = stored(_keyed(shared, percent))
-    several = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("w")).where("w > 1"))
-    entries = join_groups(entries, several, ["key"], "w", F.col("sid")).where("w IS NOT NULL").drop("w")
+    entries = released(_keyed(shared, percent))
+    # of keys with the same sets, which near copies have many of, one is enough
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "sid")).alias(f"x{i}") for i in range(2)]
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("w"), *marks).where("w > 1")
+    several, sizes = measured_groups(several.groupBy("w", "x0", "x1").agg(F.min("key").alias("key")).select("key", "w"), "w")
+    entries = stored(join_groups(entries, several, ["key"], "w", F.col("sid"), sizes).where("w IS NOT NULL").drop("w"))
 
     # 3: links and components
     nodes = _connect(entries, whole, percent)
     classes = stored(sets.join(nodes, "sid", "left").select(*key, "w", "min_id", "id", "th", F.coalesce("comp", "sid").alias("comp")))
     # the row that stays: the smallest id, then the smallest hash of the text; a row without an id only if all are
     stays = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("min_id", "id").alias("id"), "th")).alias("s")
-    names = stored(classes.groupBy("comp").agg(F.min("min_id").alias("component_id"), stays, F.count(F.lit(1)).alias("_w")))
-    named = join_groups(classes, names, ["comp"], "_w", F.xxhash64("f1"))
-    named = stored(named.select(*key, "component_id", F.col("s.id").alias("stay_id"), F.col("s.th").alias("stay_th"), "w"))
-    out = join_groups(rows.select("id", "th", *key), named, key, "w", F.col("id"))
+    names, sizes = measured_groups(classes.groupBy("comp").agg(F.min("min_id").alias("component_id"), stays, F.count(F.lit(1)).alias("_w")), "_w")
+    named = join_groups(classes, names, ["comp"], "_w", F.xxhash64("f1"), sizes)
+    named, sizes = measured_groups(named.select(*key, "component_id", F.col("s.id").alias("stay_id"), F.col("s.th").alias("stay_th"), "w"), "w")
+    out = join_groups(rows.select("id", "th", *key), named, key, "w", F.col("id"), sizes)
     kept = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("th") == F.col("stay_th")))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
