@@ -72,6 +72,22 @@ def test_odd_tables(spark):
     assert remove_repeats(df.limit(0)).collect() == []
 
 
+def test_texts_without_runs_stay_where_they_are(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[5], None])), "doc_id long, text string").repartition(3)
+    moved, join_same = [], repeat_removal.join_same
+
+    def counted(left, *rest):
+        moved.append(left.count())
+        return join_same(left, *rest)
+
+    monkeypatch.setattr(repeat_removal, "join_same", counted)
+    got = {r["doc_id"]: (r["n_bytes"], [(s["from"], s["to"]) for s in r["spans"]], len(r["kept"])) for r in remove_repeats(df).collect()}
+    assert got == {i: (400, [(0, 400)], 0) if i in (5, 60) else (400, [], 400) for i in range(61)} | {61: (0, [], 0)}
+    assert max(moved) == 2
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(1500):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import join_groups, join_same, released, stored
+from textguard.llm.common import join_groups, join_same, marks_of, parted, released, stored
 from textguard.llm.suffix_groups import suffix_array
 
 LENGTH = 200
@@ -377,8 +377,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keys = released(runs.groupBy("key").agg(F.sum("weight").alias("places"), F.count(F.lit(1)).alias("w")).where("places > 1"))
     met = join_groups(runs, keys, ["key"], "w", F.xxhash64("id", "th", "lo")).where("places IS NOT NULL")
     one = F.struct("lo", "hi", "key", (F.col("w") > HOT).alias("hot"))
-    per_doc = met.groupBy("id", "th").agg(F.collect_set(one).alias("runs"))
-    texts = released(join_same(own, per_doc, ["id", "th"]))
+    per_doc = released(met.groupBy("id", "th").agg(F.collect_set(one).alias("runs")))
+    # texts that surely have no runs neither move nor are stored
+    some, none = parted(own, stored(marks_of(per_doc, ["id", "th"])), ["id", "th"])
+    texts = released(join_same(some, per_doc, ["id", "th"]))
     touched = texts.where("runs IS NOT NULL")
 
     contexts = _contexts(touched, length, gram)
@@ -398,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     per_doc = met.groupBy("id", "th").agg(F.flatten(F.collect_list(moved)).alias("starts"))
     cut = _cut_out(join_same(touched.select("id", "th", "t"), per_doc, ["id", "th"]), length)
     no_spans = F.array().cast("array<struct<from:long,to:long>>")
-    clean = texts.where("runs IS NULL").select(
+    clean = texts.where("runs IS NULL").select("id", "t").unionByName(none.select("id", "t")).select(
         "id", F.octet_length("t").cast("long").alias("n_bytes"), no_spans.alias("spans"), F.col("t").cast("binary").alias("kept")
     )
     return cut.unionByName(clean).withColumnRenamed("id", id_col)
