@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,60 @@ def test_candidates_beyond_what_a_task_holds(spark, monkeypatch):
     rows = corpus(7, 80)
     df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
     assert sorted(map(tuple, co.collocations(df, support=4).collect())) == plain(rows, 4, 5, 2000)
+
+
+@pytest.mark.parametrize("trie", [300_000, 40])
+def test_more_words_than_are_broadcast_are_counted_by_tries(spark, monkeypatch, trie):
+    monkeypatch.setattr(co, "WORDS", 0)
+    rows = corpus(8, 150)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert sorted(map(tuple, co.collocations(df, support=4, trie=trie).collect())) == plain(rows, 4, 5, 2000)
+
+
+def test_many_candidates_take_no_more_passes(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(co, "stored", lambda df, one=co.stored: made.append(df.columns) or one(df))
+    rows = corpus(9, 150)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    passes = []
+    for trie in (300_000, 7):
+        made.clear()
+        co.phrase_counts(df, support=3, trie=trie)
+        passes.append(len(made))
+    assert passes[0] == passes[1]
+
+
+def test_phrases_beyond_what_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(co, "HELD", 100)
+    rows = corpus(10, 150)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert sorted(map(tuple, co.collocations(df, support=4).collect())) == plain(rows, 4, 5, 2000)
+
+
+def test_full_buckets_are_only_a_hint(spark, monkeypatch):
+    monkeypatch.setattr(co.Buckets, "of", lambda words: co.Buckets(1 << 8, 4))
+    rows = corpus(11, 150)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert sorted(map(tuple, co.collocations(df, support=4).collect())) == plain(rows, 4, 5, 2000)
+
+
+def test_words_and_phrases_that_share_a_hash_stay_apart(spark, monkeypatch):
+    old = co._keys
+    # rare words meet frequent ones, all phrases each other
+    monkeypatch.setattr(co, "_keys", lambda lang, words, salt: old(lang, words, salt) % np.uint64(300))
+    monkeypatch.setattr(co, "_mixed", lambda number: np.zeros(number.shape, np.uint64))
+    vocabulary = co.Vocabulary.make(pa.table({"lang": ["en", "de", "en"], "word": ["a", "a", "b"], "f": [5, 9, 7]}))
+    assert vocabulary.numbers("en", pa.array(["a", "b", "c", *map(str, range(500))])).tolist() == [3, 2, 0, *[0] * 500]
+    assert vocabulary.numbers("de", pa.array(["a", "b"])).tolist() == [1, 0]
+    assert [x.to_pylist() for x in vocabulary.phrases(np.array([[3, 1], [2, 1]]))] == [["en", "de"], ["a b", "a a"]]
+    assert vocabulary.numbers("fr", pa.array(["a"])).tolist() == [0]
+    sums = co._Sums(2, 3)
+    columns = np.array([[1, 2, 1, 2, 1], [1, 1, 2, 1, 1]], np.uint32)
+    sums.add(np.zeros(5, np.uint64), columns, np.arange(1, 6))
+    h, columns, n = sums.given()
+    assert sorted(zip(*columns.tolist(), n.tolist())) == [(1, 1, 6), (1, 2, 3), (2, 1, 6)]
+    buckets = co.Buckets(1 << 16, 256)
+    of, cells = co._cells(buckets, h, columns, n)
+    assert of == [0]
+    _, columns, n = co._from_cells(cells[0], 2)
+    assert sorted(zip(*columns.tolist(), n.tolist())) == [(1, 1, 6), (1, 2, 3), (2, 1, 6)]

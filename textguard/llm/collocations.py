@@ -4,11 +4,16 @@ Texts are tokenised once into blocks: the words of many texts of one language as
 Then, level by level:
 
 1. *Candidates.* A phrase can only be frequent if its parts are, and if the bucket that it hashes into is. So a phrase of k words is
-   hashed where a frequent phrase of k - 1 words is followed by a frequent word (and, if one trie holds them all, by a frequent phrase).
+   hashed where a phrase of k - 1 words that may be frequent is followed by a frequent word, and by such a phrase from the next word on.
    Blocks send the places of their buckets, not phrases; buckets are summed range by range, and the full ones come
    back as a bitmap of bounded size. Phrases in full buckets are candidates: a superset of the frequent ones.
-2. *Tries.* Candidates go into double-array tries of bounded size, which are broadcast one after the other. A task moves the states of all
-   positions of a block at once, word by word, and counts the accepting states; the counts of all blocks are summed.
+2. *Counts.* Frequent words have numbers, which are broadcast. A task counts the candidates in its own blocks as rows of these numbers and sends them
+   by the range of their bucket; ranges are summed. The same pass hashes the phrases with one word more, so a level is one pass over the blocks,
+   however many candidates it has.
+
+*Tries* count where the frequent words are too many for a broadcast. Candidates of all tasks go into double-array tries of bounded size, which
+are broadcast one after the other. A task moves the states of all positions of a block at once, word by word, and counts the accepting states; the
+counts of all blocks are summed. Every trie is a pass over the blocks.
 
 The scores are joins of these counts with those of the phrases' parts, in exact decimals.
 """
@@ -23,7 +28,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +44,10 @@ UNKNOWN = "und"
 #: Words of a block, and words that a task keeps in open blocks at most (one text more).
 BLOCK = 1 << 18
 OPEN = 1 << 21
+#: Frequent words that are broadcast with their numbers at most (some 30 bytes each); beyond, tries count.
+WORDS = 1 << 22
+#: Places of phrases that a task holds, roughly, before it sums them up.
+HELD = 1 << 19
 #: Candidates of a trie: bounds what the driver holds and broadcasts at a time (some 30 MB).
 TRIE = 300_000
 #: Buckets of a range at most (one array of counts in a task), ranges at least, and bits of a broadcast bitmap at most (16 MB).
@@ -154,24 +166,39 @@ class Buckets:
             now, total = None, np.zeros(0, np.int64)
 
             def close():
-                hot = np.zeros(self.bits, bool)
-                hot[np.flatnonzero(total >= support) % self.bits] = True
-                return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(hot).tobytes()], pa.binary())], ["range", "hot"])
-
-            for batch in batches:
-                for r in batch.to_pylist():
-                    if r["range"] != now:
-                        if now is not None:
-                            yield close()
-                        now, total = r["range"], np.zeros(self.size // self.ranges, np.int64)
-                    total[np.cumsum(_bytes_together(r["places"]))] += _bytes_together(r["counts"])
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([self.bitmap(total, support)], pa.binary())], ["range", "hot"])
+
+            for r in _each(batches):
+                if r["range"] != now:
+                    if now is not None:
+                        yield close()
+                    now, total = r["range"], self.empty()
+                self.add(total, r)
             if now is not None:
                 yield close()
 
-        out = np.zeros((self.ranges, max(1, self.bits // 8)), np.uint8)
         dealt = rows.repartition("range").sortWithinPartitions("range")
+        return self.gathered(dealt.mapInArrow(run, "range long, hot binary"))
+
+    def empty(self) -> np.ndarray:
+        """A range's counts."""
+        return np.zeros(self.size // self.ranges, np.int64)
+
+    def add(self, total: np.ndarray, row: dict) -> None:
+        """Adds a row of ``rows`` to its range's counts."""
+        total[np.cumsum(_bytes_together(row["places"]))] += _bytes_together(row["counts"])
+
+    def bitmap(self, total: np.ndarray, support: int) -> bytes:
+        """A range's part of the bitmap."""
+        hot = np.zeros(self.bits, bool)
+        hot[np.flatnonzero(total >= support) % self.bits] = True
+        return np.packbits(hot).tobytes()
+
+    def gathered(self, parts: DataFrame) -> np.ndarray:
+        """The bitmap from its parts (range, hot)."""
+        out = np.zeros((self.ranges, max(1, self.bits // 8)), np.uint8)
         # BITS bits at most
-        for r in dealt.mapInArrow(run, "range long, hot binary").collect():
+        for r in parts.collect():
             out[r["range"]] = np.frombuffer(r["hot"], np.uint8)
         return out
 
@@ -181,11 +208,19 @@ class Buckets:
         return (hot[of, place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows, one at a time; bytes are not copied."""
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns))
+        for row in range(batch.num_rows):
+            yield {name: c[row].as_buffer() if pa.types.is_binary(c.type) else c[row].as_py() for name, c in columns.items()}
+
+
 def _bytes_apart(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _bytes_together(raw: bytes) -> np.ndarray:
+def _bytes_together(raw: bytes | pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
@@ -206,6 +241,15 @@ def _range_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], ["range", "places", "counts"])
 
 
+def _kept(codes: np.ndarray, places: np.ndarray, words: int) -> bytes:
+    """The codes of a block of so many words if its list is cut down to those at ``places``; a 0 stands for all that is between."""
+    new = np.zeros(words + 1, np.int32)
+    new[places + 1] = np.arange(1, len(places) + 1)
+    codes = new[codes]
+    # several gaps in a row are one
+    return _packed(codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])], len(places))
+
+
 def _frequent_only(blocks: DataFrame, buckets: Buckets, hot: np.ndarray) -> DataFrame:
     """Blocks (lang, words, codes) without the words that are surely rare; a 0 stands for all that is between."""
     shared = blocks.sparkSession.sparkContext.broadcast(hot)
@@ -213,15 +257,9 @@ def _frequent_only(blocks: DataFrame, buckets: Buckets, hot: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, codes in _rows(batches):
             places = np.flatnonzero(buckets.among(_hash(lang, words), shared.value))
-            new = np.zeros(len(words) + 1, np.int32)
-            new[places + 1] = np.arange(1, len(places) + 1)
-            codes = new[codes]
-            # several gaps in a row are one
-            codes = codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]
             kept = pa.array([words[i] for i in places], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.ListArray.from_arrays([0, len(kept)], kept), pa.array([_packed(codes, len(kept))], pa.binary())], ["lang", "words", "codes"]
-            )
+            codes = _kept(codes, places, len(words))
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.ListArray.from_arrays([0, len(kept)], kept), pa.array([codes], pa.binary())], ["lang", "words", "codes"])
 
     return blocks.select("lang", "words", "codes").mapInArrow(run, "lang string, words array<string>, codes binary")
 
@@ -230,13 +268,16 @@ def _packed(codes: np.ndarray, words: int) -> bytes:
     return codes.astype(np.uint16 if words < 1 << 16 else np.uint32).tobytes()
 
 
+def _unpacked(codes: pa.Scalar, words: int) -> np.ndarray:
+    return np.frombuffer(codes.as_buffer(), np.uint16 if words < 1 << 16 else np.uint32).astype(np.int64)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray]]:
     """lang, words and codes of blocks."""
     for batch in batches:
         for row in range(batch.num_rows):
             words = batch.column("words")[row].as_py()
-            raw = batch.column("codes")[row].as_buffer()
-            yield batch.column("lang")[row].as_py(), words, np.frombuffer(raw, np.uint16 if len(words) < 1 << 16 else np.uint32).astype(np.int64)
+            yield batch.column("lang")[row].as_py(), words, _unpacked(batch.column("codes")[row], len(words))
 
 
 @dataclass
@@ -481,20 +522,10 @@ def _tries(phrases: DataFrame, words: int, trie: int) -> Iterator[_Step]:
             yield _Step(words, build_trie(langs, mine.column("phrase").to_pylist()), parts == 1, langs)
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, longest: int = LONGEST, trie: int = TRIE) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, words, f) of every phrase of 1 to ``longest`` words with f >= ``support``, and (lang, n): the words of each language.
-
-    Empty tables give empty tables. A null text counts as an empty one, a null language as ``und``.
-    """
-    own = docs.select(text_of(text).alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    blocks = stored(_blocks(own))
-    words = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    totals = stored(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
-    frequent = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= support))
-    counts = [frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")]
-    buckets = Buckets.of(totals.agg(F.sum("n")).first()[0] or 0)
+def _by_tries(blocks: DataFrame, frequent: DataFrame, buckets: Buckets, support: int, longest: int, trie: int) -> list[DataFrame]:
+    """(lang, phrase, words, f) of the frequent phrases of 2 words, of 3 and so on, counted by tries."""
+    counts = []
     blocks = stored(_frequent_only(blocks, buckets, buckets.full(_word_buckets(frequent, buckets), 1)))
-
     steps, rows = [_Step(1, None, True, [])], _counted(blocks, _Step(1, None, True, []), buckets)
     for k in range(2, longest + 1):
         hot = buckets.full(rows.where("range IS NOT NULL").select("range", "places", "counts"), support)
@@ -509,6 +540,280 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", suppo
         rows = reduce(DataFrame.unionByName, seen)
         f = reduce(DataFrame.unionByName, [_summed(mine, step, support) for mine, step in zip(seen, steps)])
         counts.append(stored(f.select("lang", "phrase", F.lit(k).alias("words"), "f")))
+    return counts
+
+
+def _keys(lang: str, words: pa.Array, salt: int) -> np.ndarray:
+    """64 bits for every word of a language, in one go."""
+    key = hashlib.blake2b(f"{salt}\0{lang}".encode(), digest_size=8).hexdigest()
+    return pd.util.hash_array(np.array(words.to_pylist(), object), hash_key=key, categorize=False)
+
+
+@dataclass
+class Vocabulary:
+    """The frequent words of all languages, numbered from 1 on, the most frequent ones first. ``keys`` are sorted hashes, all different."""
+
+    words: pa.Array
+    langs: dict[str, int]
+    of: np.ndarray
+    salt: int
+    keys: np.ndarray
+    number: np.ndarray
+
+    @staticmethod
+    def make(frequent: pa.Table) -> Vocabulary:
+        order = np.argsort(-frequent.column("f").to_numpy(), kind="stable")
+        words = frequent.column("word").combine_chunks().take(pa.array(order))
+        coded = frequent.column("lang").combine_chunks().dictionary_encode()
+        langs, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()[order]
+        by_lang = np.argsort(of, kind="stable")
+        parts = np.split(by_lang, np.cumsum(np.bincount(of, minlength=len(langs)))[:-1]) if langs else []
+        for salt in itertools.count():
+            keys = np.zeros(len(words), np.uint64)
+            for lang, part in zip(langs, parts):
+                keys[part] = _keys(lang, words.take(pa.array(part)), salt)
+            number = np.argsort(keys)
+            keys = keys[number]
+            if (keys[1:] != keys[:-1]).all():
+                return Vocabulary(words, {lang: i for i, lang in enumerate(langs)}, of, salt, keys, number + 1)
+
+    def numbers(self, lang: str, words: pa.Array) -> np.ndarray:
+        """The numbers of a language's words; 0 for rare ones."""
+        out = np.zeros(len(words), np.int64)
+        if lang not in self.langs or not len(words):
+            return out
+        keys = _keys(lang, words, self.salt)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        # a hash is a hint
+        likely = np.flatnonzero(self.keys[at] == keys)
+        found = self.number[at[likely]]
+        same = pc.equal(self.words.take(pa.array(found - 1)), words.take(pa.array(likely))).to_numpy(zero_copy_only=False)
+        out[likely] = np.where(same & (self.of[found - 1] == self.langs[lang]), found, 0)
+        return out
+
+    def phrases(self, columns: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """The languages and the phrases of rows of numbers."""
+        langs = pa.array(list(self.langs), pa.string()).take(pa.array(self.of[columns[0] - 1]))
+        return langs, pc.binary_join_element_wise(*[self.words.take(pa.array(c - 1)) for c in columns], " ")
+
+
+def _numbered(blocks: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """(numbers, codes) of blocks without their rare words: the number of each word of the block, and 1 + its place in this list, a 0 for all that is between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = batch.column("words")[row].values
+                number = vocabulary.value.numbers(batch.column("lang")[row].as_py(), words)
+                places = np.flatnonzero(number)
+                codes = _kept(_unpacked(batch.column("codes")[row], len(words)), places, len(words))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (number[places].astype(np.uint32).tobytes(), codes)], ["numbers", "codes"])
+
+    return blocks.select("lang", "words", "codes").mapInArrow(run, "numbers binary, codes binary")
+
+
+def _mixed(number: np.ndarray) -> np.ndarray:
+    """64 bits for every number."""
+    x = number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+def _one_more(bits: np.ndarray, at: np.ndarray, h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the places of phrases that another one follows from the next word on, and the hashes of phrases that are a word longer, ``words`` words now."""
+    there = np.zeros(len(bits) + 1, bool)
+    there[at] = True
+    on = there[at + 1]
+    at = at[on]
+    return at, _extended(h[on], bits[at + words - 1])
+
+
+@dataclass
+class _Sums:
+    """Phrases of equally many words, as columns of numbers, and their counts, summed beyond ``held`` of them or twice as many as there were left."""
+
+    words: int
+    held: int
+
+    def __post_init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = self.limit = 0
+
+    def add(self, h: np.ndarray, columns: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((h, columns, n))
+        self.size += len(h)
+        if self.size > max(self.held, self.limit):
+            self.parts = [self.given()]
+            self.size = len(self.parts[0][0])
+            self.limit = 2 * self.size
+
+    def given(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, columns and counts of all phrases, each once."""
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros((self.words, 0), np.uint32), np.zeros(0, np.int64)
+        h, columns, n = (np.concatenate(x, axis=-1) for x in zip(*self.parts))
+        order = np.argsort(h)
+        new = _starts(h[None, order])
+        if not np.array_equal(new, _starts(columns[:, order])):
+            # phrases that share a hash
+            order = np.lexsort(columns)
+            new = _starts(columns[:, order])
+        firsts = order[new]
+        return h[firsts], columns[:, firsts], np.add.reduceat(n[order], new) if len(new) else n
+
+
+def _starts(columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    differ = np.ones(columns.shape[1], bool)
+    differ[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
+    return np.flatnonzero(differ)
+
+
+def _cells(buckets: Buckets, h: np.ndarray, columns: np.ndarray, n: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Ranges, and their phrases and counts as bytes that compress well."""
+    of = buckets.split(h)[0]
+    order = np.argsort(of << 32 | columns[0])
+    of, table = of[order], np.concatenate([columns, n[None].astype(np.uint32)])[:, order]
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    out = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
+        part = table[:, a:b].copy()
+        part[0, 1:] = np.diff(part[0])
+        out.append(_bytes_apart(part.ravel()))
+    return of[starts].tolist(), out
+
+
+def _from_cells(raw: bytes | pa.Buffer, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, columns and counts."""
+    table = _bytes_together(raw).reshape(words + 1, -1)
+    table[0] = np.cumsum(table[0])
+    h = _mixed(table[0])
+    for c in table[1:-1]:
+        h = _extended(h, _mixed(c))
+    return h, table[:-1].astype(np.uint32), table[-1]
+
+
+def _passed(blocks: DataFrame, words: int, hots: list[Broadcast], buckets: Buckets, last: bool) -> DataFrame:
+    """(range, places, counts, cells) of numbered blocks: the candidates of ``words`` words and their counts, and the buckets of phrases with one word more.
+
+    ``hots`` are the bitmaps of 2 to ``words`` words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, ahead, size, seen = _Sums(words, HELD), [], 0, 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            of, cells = _cells(buckets, *sums.given())
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *[pa.nulls(len(of), pa.binary())] * 2, pa.array(cells, pa.binary())], ["range", "places", "counts", "cells"])
+
+        def next_buckets() -> Iterator[pa.RecordBatch]:
+            rows = _range_batch(list(buckets.rows(np.concatenate(ahead)))) if ahead else _range_batch([])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary())], ["range", "places", "counts", "cells"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                number = np.frombuffer(batch.column("numbers")[row].as_buffer(), np.uint32)
+                codes = _unpacked(batch.column("codes")[row], len(number))
+                bits = np.concatenate([np.zeros(1, np.uint64), _mixed(number)])[codes]
+                at = np.flatnonzero(codes)
+                h = bits[at]
+                for k, hot in enumerate(hots, 2):
+                    at, h = _one_more(bits, at, h, k)
+                    full = buckets.among(h, hot.value)
+                    at, h = at[full], h[full]
+                if words > 1:
+                    ids = np.concatenate([np.zeros(1, np.uint32), number])[codes]
+                    sums.add(h, np.stack([ids[at + k] for k in range(words)]), np.ones(len(at), np.int64))
+                    seen += len(at)
+                    # counts have 32 bits
+                    if sums.limit > HELD or seen >> 31:
+                        yield from given()
+                        sums, seen = _Sums(words, HELD), 0
+                if not last:
+                    ahead.append(_one_more(bits, at, h, words + 1)[1])
+                    size += len(ahead[-1])
+                    if size > HELD:
+                        yield from next_buckets()
+                        ahead, size = [], 0
+        yield from given()
+        yield from next_buckets()
+
+    return blocks.mapInArrow(run, "range long, places binary, counts binary, cells binary")
+
+
+def _passed_on(rows: DataFrame, words: int, buckets: Buckets, support: int, vocabulary: Broadcast) -> DataFrame:
+    """What the rows of ``_passed`` come to: (lang, phrase, f) of the frequent phrases, (range, hot) of the full buckets' bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, sums = None, None, _Sums(words, HELD)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            _, columns, f = sums.given()
+            often = f >= support
+            langs, phrases = vocabulary.value.phrases(columns[:, often].astype(np.int64))
+            here = [] if total is None else [buckets.bitmap(total, support)]
+            empty, none = len(phrases), len(here)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([None] * empty + [now] * none, pa.int64()),
+                    pa.array([None] * empty + here, pa.binary()),
+                    *[pa.concat_arrays([x, pa.nulls(none, pa.string())]) for x in (langs, phrases)],
+                    pa.array([*f[often].tolist(), *[None] * none], pa.int64()),
+                ],
+                ["range", "hot", "lang", "phrase", "f"],
+            )
+
+        for r in _each(batches):
+            if r["range"] != now:
+                if now is not None:
+                    yield from close()
+                now, total, sums = r["range"], None, _Sums(words, HELD)
+            if r["cells"] is not None:
+                sums.add(*_from_cells(r["cells"], words))
+            else:
+                total = buckets.empty() if total is None else total
+                buckets.add(total, r)
+        if now is not None:
+            yield from close()
+
+    dealt = rows.repartition("range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, "range long, hot binary, lang string, phrase string, f long")
+
+
+def _by_numbers(blocks: DataFrame, frequent: DataFrame, buckets: Buckets, support: int, longest: int) -> list[DataFrame]:
+    """(lang, phrase, words, f) of the frequent phrases of 2 words, of 3 and so on, counted as rows of numbers of words."""
+    context = blocks.sparkSession.sparkContext
+    vocabulary = context.broadcast(Vocabulary.make(frequent.select("lang", "word", "f").toArrow()))
+    blocks = stored(_numbered(blocks, vocabulary))
+    counts, hots = [], []
+    for k in range(1, longest + 1):
+        out = stored(_passed_on(_passed(blocks, k, hots, buckets, k == longest), k, buckets, support, vocabulary))
+        if k > 1:
+            counts.append(out.where("phrase IS NOT NULL").select("lang", "phrase", F.lit(k).alias("words"), "f"))
+        if k < longest:
+            hot = buckets.gathered(out.where("hot IS NOT NULL").select("range", "hot"))
+            if not hot.any():
+                break
+            hots.append(context.broadcast(hot))
+    return counts
+
+
+def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, longest: int = LONGEST, trie: int = TRIE) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, words, f) of every phrase of 1 to ``longest`` words with f >= ``support``, and (lang, n): the words of each language.
+
+    Empty tables give empty tables. A null text counts as an empty one, a null language as ``und``.
+    """
+    own = docs.select(text_of(text).alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
+    blocks = stored(_blocks(own))
+    words = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    totals = stored(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
+    frequent = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= support))
+    counts = [frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")]
+    buckets = Buckets.of(totals.agg(F.sum("n")).first()[0] or 0)
+    if frequent.count() <= WORDS:
+        counts += _by_numbers(blocks, frequent, buckets, support, longest)
+    else:
+        counts += _by_tries(blocks, frequent, buckets, support, longest, trie)
     return stored(reduce(DataFrame.unionByName, counts)), totals
 
 
