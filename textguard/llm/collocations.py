@@ -209,18 +209,19 @@ class Buckets:
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows, one at a time; bytes are not copied."""
+    """Rows, one at a time; none is held while the next batch is read."""
     for batch in batches:
         columns = dict(zip(batch.schema.names, batch.columns))
         for row in range(batch.num_rows):
-            yield {name: c[row].as_buffer() if pa.types.is_binary(c.type) else c[row].as_py() for name, c in columns.items()}
+            yield {name: c[row].as_py() for name, c in columns.items()}
+        del batch, columns
 
 
 def _bytes_apart(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _bytes_together(raw: bytes | pa.Buffer) -> np.ndarray:
+def _bytes_together(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
@@ -563,7 +564,7 @@ class Vocabulary:
     @staticmethod
     def make(frequent: pa.Table) -> Vocabulary:
         order = np.argsort(-frequent.column("f").to_numpy(), kind="stable")
-        words = frequent.column("word").combine_chunks().take(pa.array(order))
+        words = frequent.column("word").combine_chunks().cast(pa.string()).take(pa.array(order))
         coded = frequent.column("lang").combine_chunks().dictionary_encode()
         langs, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()[order]
         by_lang = np.argsort(of, kind="stable")
@@ -683,7 +684,7 @@ def _cells(buckets: Buckets, h: np.ndarray, columns: np.ndarray, n: np.ndarray)
     return of[starts].tolist(), out
 
 
-def _from_cells(raw: bytes | pa.Buffer, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _from_cells(raw: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, columns and counts."""
     table = _bytes_together(raw).reshape(words + 1, -1)
     table[0] = np.cumsum(table[0])
